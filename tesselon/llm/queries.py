@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm import avi, byte_bpe, chat_events, concat_cut, cws, url_rules
+from tesselon.llm import anchor_dedup, avi, byte_bpe, chat_events, concat_cut, cws, jaccard_join, url_rules
 
 #: action, host, path
 URL_RULES = (
@@ -25,6 +25,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.document_components(_read(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
 def op4_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprint_pairs(_read(spark, sf_dir, "documents"))
 
@@ -53,8 +57,12 @@ def op9_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat_cut.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchor_dedup.digests(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op4_cws_fingerprints, op5_avi_mjpeg, op6_byte_bpe, op7_chat_events, op8_url_rules, op9_concat_cut)
+    own = (op3_jaccard_components, op4_cws_fingerprints, op5_avi_mjpeg, op6_byte_bpe, op7_chat_events, op8_url_rules, op9_concat_cut, op10_anchor_dedup)
     return {f.__name__: f for f in own}
 
 
