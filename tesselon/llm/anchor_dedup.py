@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,6 +160,24 @@ def digests(docs: DataFrame) -> DataFrame:
     return _finish(docs, removed_spans(docs), keep_text=False)
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns; texts that lose words become their kept words joined by spaces, and n_chars follows."""
+    named = docs.withColumns(dict(zip(("_k1", "_k2"), _keys(), strict=True)))
+    spans = removed_spans(docs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
+    met = cluster.sized_join(named, spans, ["_k1", "_k2"], "left", 40, "_spans")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else b" ".join(_kept(t, s)[0]).decode() for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    hit = F.col("_spans").isNotNull()
+    met = met.withColumn("_new", cut(F.when(hit, F.col("text")), "_spans"))
+    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col("_new")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(hit, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return met.select(*[v.alias(c) for c, v in out.items()])
+
+
 def _finish(docs: DataFrame, removed: DataFrame, keep_text: bool) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(), F.col("text"))
     met = cluster.sized_join(keyed, removed, ["k1", "k2"], "left", 40, "spans").select("doc_id", "k1", "k2", "text", "spans")

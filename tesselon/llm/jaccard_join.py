@@ -281,6 +281,21 @@ def _linked(index: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return labels
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, that are the least document of their component; equal rows stay once."""
+    found = cluster.stored(document_components(docs), "classes")
+    key = F.coalesce("component_id", F.lit(_NULL_ID))
+    gone = cluster.stored(found.filter(F.col("k1") != key).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "copies")
+    named = docs.withColumn("_k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = cluster.sized_join(named, gone, ["_k1", "_k2"], "left_anti", 40)
+    again = cluster.stored(found.filter((F.col("n_shingles") > 0) & (F.col("k1") == key)).groupBy(F.col("k1").alias("_k1")).count().filter("count > 1").select("_k1"), "repeated")
+    if again.limit(1).count():
+        repeated = cluster.sized_join(left, again, "_k1", "left_semi", 24)
+        once = repeated.filter("trim(coalesce(text, '')) <> ''").dropDuplicates(["_k1"])
+        left = cluster.sized_join(left, again, "_k1", "left_anti", 24).unionByName(once).unionByName(repeated.filter("trim(coalesce(text, '')) = ''"))
+    return left.drop("_k1", "_k2")
+
+
 def document_components(docs: DataFrame) -> DataFrame:
     """k1, k2, doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession

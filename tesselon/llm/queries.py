@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm import anchor_dedup, avi, byte_bpe, chat_events, concat_cut, cws, jaccard_join, url_rules
+from tesselon.llm import anchor_dedup, avi, byte_bpe, chat_events, concat_cut, cws, importance, jaccard_join, ngram_trie, url_rules
 
 #: action, host, path
 URL_RULES = (
@@ -25,6 +25,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.selected(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.scored(_read(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.document_components(_read(spark, sf_dir, "documents")).drop("k1", "k2")
 
@@ -62,7 +70,7 @@ def op10_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_jaccard_components, op4_cws_fingerprints, op5_avi_mjpeg, op6_byte_bpe, op7_chat_events, op8_url_rules, op9_concat_cut, op10_anchor_dedup)
+    own = (op1_importance_resampling, op2_ngram_trie, op3_jaccard_components, op4_cws_fingerprints, op5_avi_mjpeg, op6_byte_bpe, op7_chat_events, op8_url_rules, op9_concat_cut, op10_anchor_dedup)
     return {f.__name__: f for f in own}
 
 
