@@ -33,6 +33,10 @@ from tesselon.llm.wordbytes import _SPACE, edges, flat, range_hashes, slices
 ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xe1\xa0\x8e|\xe2\x80\x8b|\xef\xbb\xbf")
 
 
+#: Stands between segments that are encoded together; no segment holds a space between other characters, unless odd.
+MARK = "\n<mark> \n"
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -84,7 +88,7 @@ def _codec(json: str) -> tuple[SegmentCache, list[bytes]]:
     table = [b""] * (max(vocab.values()) + 1)
     for name, i in vocab.items():
         table[i] = bytes(back[c] for c in name)
-    return SegmentCache(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)], as_text=True), table
+    return SegmentCache(tokenizer, MARK, as_text=True), table
 
 
 def segments(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -24,10 +24,16 @@ from pyspark.sql import functions as F
 
 from tesselon.llm import cluster
 from tesselon.llm.token_cache import SegmentCache
-from tesselon.llm.wordbytes import slices, split_words
+from tesselon.llm.wordbytes import Words, range_hashes, slices, split_words
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
+#: Stands between words that are encoded together; it holds white space, so it occurs in none.
+MARK = "\n<mark> \n"
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,;:!?")] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _caches: dict[str, SegmentCache] = {}
 
 
@@ -36,18 +42,38 @@ def _cache(path: str) -> SegmentCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _caches[path] = SegmentCache(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+        _caches[path] = SegmentCache(tokenizer, MARK)
     return _caches[path]
 
 
+def _segments(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, with a closing mark after an ASCII letter or digit split off: start, end, hash, and segments before each word."""
+    words = split_words(texts)
+    buf, start, end = words.buf, words.start, words.end
+    split = (end - start > 1) & _CLOSING[buf[end - 1]]
+    split &= _PLAIN[buf[np.maximum(end - 2, 0)]]
+    before = np.concatenate([[0], np.cumsum(1 + split)])
+    at = before[:-1][split] + 1
+    starts, ends = np.empty(before[-1], np.int64), np.empty(before[-1], np.int64)
+    starts[before[:-1]], ends[before[:-1]] = start, end - split
+    starts[at], ends[at] = end[split] - 1, end[split]
+    # Case in A-Z doesn't matter to ids, but it does to special tokens, which hold a '<'.
+    hashes = range_hashes(buf, starts, ends, lower=True)
+    angled = np.concatenate([[0], np.cumsum(buf == 60)])
+    exact = np.flatnonzero(angled[ends] > angled[starts])
+    hashes[exact] = range_hashes(buf, starts[exact], ends[exact], seed=3)
+    return words, starts, ends, hashes, before
+
+
 def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, each closed by ``end_id``, and the count of each.
 
-    The tokenizer must drop white space, as the default one does: words are then encoded independently.
+    The tokenizer must drop white space, ignore case and part letters, digits and marks, as the
+    default one does: segments are then encoded independently.
     """
-    words = split_words(texts)
-    ids, counts, _ = _cache(path).ids(words.buf, words.start, words.end, words.hashes(lower=False))
-    upto = np.concatenate([[0], np.cumsum(counts)])[words.first]
+    words, start, end, hashes, before = _segments(texts)
+    ids, counts, _ = _cache(path).ids(words.buf, start, end, hashes)
+    upto = np.concatenate([[0], np.cumsum(counts)])[before[words.first]]
     out = np.insert(ids, upto[1:], end_id)
     return out, np.diff(upto) + 1
 

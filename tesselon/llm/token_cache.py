@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
 
 import numpy as np
 
@@ -11,16 +10,42 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct segments remembered by a worker (about 100 MB); beyond that it starts afresh.
 CACHE_ENTRIES = 400_000
+#: Segments that are encoded as one string, with a special token between them.
+TOGETHER = 256
 
 
 class SegmentCache:
-    """Maps byte ranges to token ids through ``encode``: list of strings -> list of id lists."""
+    """Maps byte ranges to token ids by a tokenizer; a copy of it has ``mark`` as a special token."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], as_text: bool = False):
-        self.encode, self.as_text = encode, as_text
+    def __init__(self, tokenizer, mark: str, as_text: bool = False):
+        self.tokenizer, self.mark, self.as_text = tokenizer, mark, as_text
+        self.marked = type(tokenizer).from_str(tokenizer.to_str())
+        self.marked.add_special_tokens([mark])
+        self.mark_id = self.marked.token_to_id(mark)
         self.known: dict[int, bytes] = {}
         self.texts: dict[int, str] = {}
 
+    def _encode(self, segments: list[str]) -> list[list[int]]:
+        odd = [i for i, s in enumerate(segments) if self.mark in s]
+        plain = segments
+        if odd:
+            plain = list(segments)
+            for i in odd:
+                plain[i] = ""
+        joined = [self.mark.join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
+        out: list[list[int]] = []
+        for n, found in enumerate(self.marked.encode_batch_fast(joined, add_special_tokens=False)):
+            ids, at = found.ids, 0
+            cuts = np.flatnonzero(np.array(ids, np.int64) == self.mark_id).tolist()
+            if len(cuts) + 1 != len(plain[n * TOGETHER : (n + 1) * TOGETHER]):
+                raise ValueError("the mark was not kept as one token")
+            for cut in [*cuts, len(ids)]:
+                out.append(ids[at:cut])
+                at = cut + 1
+        for i in odd:
+            out[i] = self.tokenizer.encode(segments[i], add_special_tokens=False).ids
+        return out
+
     def ids(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray):
         """(ids of all segments in order, token count of each segment, text of each segment's ids or None)."""
         unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -29,11 +54,16 @@ class SegmentCache:
             self.known, self.texts = {}, {}
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
-            raw = [buf[start[j] : end[j]].tobytes().decode() for j in at[new].tolist()]
-            for i, found in zip(new, self.encode(raw), strict=True):
-                self.known[keys[i]] = np.array(found, "<u4").tobytes()
-                if self.as_text:
-                    self.texts[keys[i]] = " ".join(map(str, found))
+            whole = buf.tobytes()
+            cuts = zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)
+            found = self._encode([whole[a:b].decode() for a, b in cuts])
+            sizes = np.cumsum([0, *map(len, found)]) * 4
+            raw = np.fromiter((x for f in found for x in f), "<u4", sizes[-1] // 4).tobytes()
+            cuts = sizes.tolist()
+            for n, i in enumerate(new):
+                self.known[keys[i]] = raw[cuts[n] : cuts[n + 1]]
+            if self.as_text:
+                self.texts.update((keys[i], " ".join(map(str, f))) for i, f in zip(new, found, strict=True))
         parts = [self.known[k] for k in keys]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool = np.frombuffer(b"".join(parts), "<u4")
