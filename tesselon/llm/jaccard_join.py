@@ -15,8 +15,9 @@ fewer words).  Documents link when 100 * |intersection| >= 75 * |union|.
    of groups depends on the size class, and a set near the end of its class is indexed in the next
    one too.  If the frequent ones run out first, the remaining need is indexed singly.
 4. *Verifying.*  In each round a signature's members are compared, exactly, with one leader; what
-   is known to be linked needs no further comparison.  After ``LEADER_ROUNDS`` the remaining pairs of
-   different components in a signature are compared one by one, so no link is lost.
+   is known to be linked needs no further comparison.  After ``LEADER_ROUNDS``, sets that share a
+   signature but no component are compared: with components of several sets in blocks of members,
+   so no row is made a pair, and single sets with each other once.  No link is lost.
 
 Cases: null, empty and wordless texts have n_shingles 0 and are their own component; rows that
 share a doc_id count as one document; a null doc_id counts as the least, its component is null;
@@ -42,7 +43,9 @@ NEED, OF = 75, 100
 FREQUENT = 6
 #: Frequent shingles a group should hold in a prefix.
 GROUP = 4
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Members of a component that are compared with an asked set in one go.
+MEMBERS = 64
 #: Members of a leader's group that one task compares.
 SALT = 32
 _NULL_ID = -(1 << 63)
@@ -241,6 +244,76 @@ def _fit(n: str, m: str, s: str, t: str) -> str:
     return f"{OF} * least({n}, {m}) >= {NEED} * greatest({n}, {m}) and {OF + NEED} * least({s}, {t}) >= {NEED} * ({n} + {m})"
 
 
+def _blocked(asked: DataFrame, members: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) of each asked set with any member of a component: rows (component, block) meet, pairs don't.
+
+    ``asked``: component, block, id, grams; ``members``: the same for the members, each in one block.
+    """
+    met = members.select("component", "block", "id", F.lit(0).alias("kind"), "grams").union(asked.select("component", "block", "id", F.lit(1).alias("kind"), "grams"))
+    met = met.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "kind", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, ready = None, [], None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            places = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            ids, kinds = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i in range(batch.num_rows):
+                grams = np.frombuffer(batch.column(4)[i].as_buffer(), "<u8")
+                if places[i] != place:
+                    place, held, ready = places[i], [], None
+                if kinds[i] == 0:
+                    held.append((ids[i], grams.copy()))
+                    continue
+                if ready is None:
+                    tokens = np.concatenate([g for _, g in held])
+                    order = np.argsort(tokens, kind="stable")
+                    owner = np.repeat(np.arange(len(held)), [len(g) for _, g in held])[order]
+                    ready = tokens[order], owner, np.array([len(g) for _, g in held])
+                tokens, owner, sizes = ready
+                low, high = np.searchsorted(tokens, grams), np.searchsorted(tokens, grams, "right")
+                n = high - low
+                at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+                both = np.bincount(owner[at], minlength=len(held))
+                found += [(held[m][0], ids[i]) for m in np.flatnonzero(links(sizes, len(grams), both)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _rest(member: DataFrame, sets: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """Links between different components that share a signature.
+
+    In each signature the largest component is set apart; each other member is compared with
+    every member of the components of several sets (in blocks) that are larger than its own, and
+    single sets are compared with each other at their first common signature.
+    """
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    member = cluster.stored(member.join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))), "sized")
+    rank = F.struct("size", "component")
+    top = member.groupBy("sig").agg(F.max(rank).alias("top"))
+    minor = cluster.stored(member.join(top, "sig").filter(rank < F.col("top")).select("sig", "id", "n", "shared", "component", "size"), "minor")
+
+    large = member.filter("size > 1").select("sig", F.col("component").alias("c"), F.col("size").alias("csize")).distinct()
+    asked = minor.join(large, "sig").filter(F.struct("size", "component") < F.struct("csize", "c")).select("id", "c", "csize").distinct()
+    asked = cluster.stored(asked, "asked")
+    blocks = lambda size: F.ceil(size / MEMBERS).cast("int")
+    spread = asked.select("id", F.col("c").alias("component"), F.explode(F.sequence(F.lit(0), blocks(F.col("csize")) - 1)).alias("block"))
+    sought = asked.select(F.col("c").alias("component"), "csize").distinct()
+    members = labels.join(sought, "component").select("component", F.pmod(F.xxhash64("id"), blocks(F.col("csize"))).cast("int").alias("block"), "id")
+    found = cluster.stored(_blocked(spread.join(sets, "id"), members.join(sets, "id"), parts), "links")
+
+    # Single sets: the signatures of each travel with it, so that a pair meets once.
+    alone = member.filter("size = 1")
+    own = alone.groupBy("id").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    alone = cluster.stored(alone.join(own, "id").select("sig", "id", "n", "shared", "sigs"), "single")
+    other = alone.select(F.col("sig").alias("lsig"), F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("shared").alias("ls"), F.col("sigs").alias("lsigs"))
+    first = F.element_at(F.array_intersect("sigs", "lsigs"), 1)  # in the order of the sorted lists
+    on = F.expr("sig = lsig and id > leader and " + _fit("n", "ln", "shared", "ls")) & (first == F.col("sig"))
+    pairs = cluster.stored(alone.join(other, on).select("leader", "id"), "pairs")
+    return found.union(cluster.stored(_verified(pairs, sets, parts), "links"))
+
+
 def _linked(index: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """(id, component) of every set that links with another."""
     spark = index.sparkSession
@@ -248,36 +321,26 @@ def _linked(index: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     index = cluster.stored(index.join(size, "sig").drop("m"), "index")
     labels = spark.createDataFrame([], "id long, component long")
     edges = spark.createDataFrame([], "a long, b long")
-    tried = spark.createDataFrame([], "leader long, id long")
     for turn in range(LEADER_ROUNDS + 1):
         member = index.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        member = cluster.stored(member, "members")
         order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
         state = member.groupBy("sig").agg(
             F.min(F.struct(order.alias("o"), "id", "n", "shared", "component")).alias("head"),
-            F.count(F.lit(1)).alias("m"),
             F.min("component").alias("lo"),
             F.max("component").alias("hi"),
         )
         state = cluster.stored(state.filter("lo <> hi").drop("lo", "hi"), "groups")
-        left = state.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).first()
-        if not left["m"]:
+        if not state.limit(1).count():
             break
-        last = turn == LEADER_ROUNDS or (turn and left["mm"] <= 40 * left["m"])
-        if last:  # what no leader settled: pairs of different components
-            open_ = member.join(state.select("sig"), "sig", "left_semi")
-            a = open_.select("sig", F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("shared").alias("ls"), F.col("component").alias("lc"))
-            pairs = open_.join(a, "sig").filter("leader < id")
+        if turn == LEADER_ROUNDS:
+            open_ = cluster.stored(member.join(state.select("sig"), "sig", "left_semi"), "open")
+            new = _rest(open_, sets, labels, parts)
         else:
             pairs = member.join(state, "sig").select("id", "n", "shared", "component", F.col("head.id").alias("leader"), F.col("head.n").alias("ln"), F.col("head.shared").alias("ls"), F.col("head.component").alias("lc"))
-        pairs = pairs.filter("component <> lc and " + _fit("n", "ln", "shared", "ls")).select(F.least("leader", "id").alias("leader"), F.greatest("leader", "id").alias("id")).distinct()
-        pairs = cluster.stored(pairs.join(tried, ["leader", "id"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        new = cluster.stored(_verified(pairs, sets, parts), "links")
+            pairs = pairs.filter("component <> lc and " + _fit("n", "ln", "shared", "ls")).select(F.least("leader", "id").alias("leader"), F.greatest("leader", "id").alias("id")).distinct()
+            new = cluster.stored(_verified(cluster.stored(pairs, "pairs"), sets, parts), "links")
         edges = edges.union(new)
         labels = components(edges)
-        if last:
-            break
     return labels
 
 
