@@ -1 +1,96 @@
-QUERIES, SQL = {}, {}
+"""Feature tables, cross-validation, search and scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesselon.operators import evaluation, features, models
+from tesselon.plans import roles
+from tesselon.plans.raster_queries import windows
+from tesselon.plans.roles import rounded
+
+query = roles.Registry()
+QUERIES, SQL = query.queries, query.sql
+
+DIMENSIONS = 16
+FEATURES = [f"f{i}" for i in range(DIMENSIONS)]
+
+
+def labelled(spark, sf_dir):
+    """embeddings as a feature table: 16 features, a binary label and five location folds."""
+    e = roles.table(spark, sf_dir, "embeddings")
+    columns = [F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)]
+    return e.select("vec_id", *columns, (F.col("label") >= 5).cast("int").alias("label"), (F.col("vec_id") % 5).alias("fold"))
+
+
+_W = {r: windows(r, extra=f"a.v AS v, avg(b.v) AS m{r}, stddev_pop(b.v) AS s{r}, max(b.v) AS x{r}, min(b.v) AS n{r}") for r in (1, 2)}
+
+
+@query(f"""WITH w1 AS ({_W[1]}), w2 AS ({_W[2]}), p AS (SELECT vec_id AS cell, vec_id % 8 AS row, label % 8 AS col, CAST(label >= 5 AS INT) AS label FROM embeddings)
+  SELECT cell, label, round(w1.v, 6) AS v_point, round(m1, 6) AS v_mean_1, round(s1, 6) AS v_std_1, round(x1, 6) AS v_max_1, round(n1, 6) AS v_min_1, round(m2, 6) AS v_mean_2, round(s2, 6) AS v_std_2, round(x2, 6) AS v_max_2, round(n2, 6) AS v_min_2, round(w1.v - m2, 6) AS v_contrast
+  FROM p JOIN w1 USING (cell, row, col) JOIN w2 USING (cell, row, col)""")
+def point_features(spark, sf_dir):
+    e = roles.table(spark, sf_dir, "embeddings")
+    points = e.select(F.col("vec_id").alias("cell"), (F.col("vec_id") % 8).cast("int").alias("row"), (F.col("label") % 8).cast("int").alias("col"), (F.col("label") >= 5).cast("int").alias("label"))
+    out = features.at_points(features.window_features(roles.pixels(spark, sf_dir), (1, 2), shape=False), points)
+    return rounded(out.drop("row", "col"))
+
+
+@query()
+def feature_table(spark, sf_dir):
+    """All window features of two radii at one point a tile, with temporal features of its cell."""
+    e = roles.table(spark, sf_dir, "embeddings")
+    points = e.select(F.col("vec_id").alias("cell"), (F.col("vec_id") % 8).cast("int").alias("row"), (F.col("label") % 8).cast("int").alias("col"), (F.col("label") >= 5).cast("int").alias("label"))
+    out = features.at_points(features.window_features(roles.pixels(spark, sf_dir), (1, 2)), points)
+    from tesselon.operators.temporal import with_stability
+
+    return rounded(with_stability(out.withColumn("place", F.floor(F.col("cell") / 3)), ["place"], ["v_point"]))
+
+
+def _cv(kind: str, name: str, **p):
+    def run(spark, sf_dir):
+        return rounded(models.grouped_cv(labelled(spark, sf_dir), FEATURES, kind, **p)[0])
+
+    run.__name__ = name
+    return query()(run)
+
+
+_cv("rf", "rf_loto_cv", n=20, max_depth=5)
+_cv("gbt", "gbt_loto_cv", n=5, max_depth=3)
+_cv("linear", "linear_probe_cv", n=50)
+_cv("mlp", "mlp_probe_cv", n=30, hidden=8)
+
+
+@query()
+def grid_search(spark, sf_dir):
+    return rounded(models.grid_search(labelled(spark, sf_dir), FEATURES, "rf", {"max_depth": (3, 5), "min_leaf": (1, 4)}, (1.0,), n=8))
+
+
+@query()
+def seed_stability(spark, sf_dir):
+    return rounded(models.seed_stability(labelled(spark, sf_dir), FEATURES, "rf", (1, 2, 3), n=8, max_depth=4))
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    found = models.grouped_cv(labelled(spark, sf_dir), FEATURES, "rf", n=10, max_depth=5)[1]
+    return rounded(models.importances(spark, found, FEATURES))
+
+
+@query()
+def production_scoring(spark, sf_dir):
+    """A model of all rows, applied to them: the summary of its scores."""
+    rows = labelled(spark, sf_dir)
+    model = models.build_model("rf", FEATURES, n=20, max_depth=6).fit(models.weighted(rows))
+    return rounded(evaluation.summary(models.score(model, rows), "prob", "vec_id"))
+
+
+@query()
+def dense_predict(spark, sf_dir):
+    """Probability of every valid pixel from its window features."""
+    px = features.window_features(roles.pixels(spark, sf_dir), (1,), shape=False)
+    names = [c for c in px.columns if c not in ("cell", "row", "col")]
+    e = roles.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), (F.col("label") >= 5).cast("int").alias("label"))
+    train = px.filter("row = 4 and col = 4").join(e, "cell")
+    model = models.build_model("rf", names, n=10, max_depth=4).fit(models.weighted(train))
+    return rounded(models.dense_predict(model, px, F.col("v_point") != 0))
