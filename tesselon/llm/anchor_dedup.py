@@ -162,19 +162,19 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns; texts that lose words become their kept words joined by spaces, and n_chars follows."""
-    named = docs.withColumns(dict(zip(("_k1", "_k2"), _keys(), strict=True)))
-    spans = removed_spans(docs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    met = cluster.sized_join(named, spans, ["_k1", "_k2"], "left", 40, "_spans")
+    a, b, held, new = cluster.fresh(docs, "_k1", "_k2", "_spans", "_new")
+    spans = removed_spans(docs).select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("spans").alias(held))
+    met = cluster.sized_join(exchange.named(docs, a, b), spans, [a, b], "left", 40, held)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if s is None else b" ".join(_kept(t, s)[0]).decode() for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    hit = F.col("_spans").isNotNull()
-    met = met.withColumn("_new", cut(F.when(hit, F.col("text")), "_spans"))
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col("_new")).otherwise(F.col("text"))}
+    hit = F.col(held).isNotNull()
+    met = met.withColumn(new, cut(F.when(hit, F.col("text")), held))
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.when(hit, F.col(new)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(hit, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(hit, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return met.select(*[v.alias(c) for c, v in out.items()])
 
 

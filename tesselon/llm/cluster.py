@@ -43,7 +43,18 @@ def parts_for(spark: SparkSession, total_bytes: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_bytes / each), 1)
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int, payload: str | None = None) -> DataFrame:
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have (in any case), made from these."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int, payload: str | None = None) -> DataFrame:
     """Join with ``small`` broadcast if its measured size allows, else shuffled.
 
     ``small`` should be a stored table: it is read once to be measured and once to be joined.

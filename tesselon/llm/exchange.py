@@ -38,6 +38,11 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
 
 
+def named(docs: DataFrame, k1: str, k2: str) -> DataFrame:
+    """``docs`` with the two key columns added."""
+    return docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), k2: F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
 class Chunk:
     """Entries of one chunk in the order of (bucket, key)."""
 

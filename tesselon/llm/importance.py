@@ -241,6 +241,6 @@ def select_documents(docs: DataFrame, labels: DataFrame | None, k: int | None =
     if gone is None:
         least = kept.agg(F.min("key")).first()[0]
         gone = weights.filter(F.col("key") < least) if least is not None else weights
-    gone = cluster.stored(gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "rejected")
-    named = docs.withColumn("_k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return cluster.sized_join(named, gone, ["_k1", "_k2"], "left_anti", 40).drop("_k1", "_k2")
+    a, b = cluster.fresh(docs, "_k1", "_k2")
+    gone = cluster.stored(gone.select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "rejected")
+    return cluster.sized_join(exchange.named(docs, a, b), gone, [a, b], "left_anti", 40).drop(a, b)

@@ -348,15 +348,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, that are the least document of their component; equal rows stay once."""
     found = cluster.stored(document_components(docs), "classes")
     key = F.coalesce("component_id", F.lit(_NULL_ID))
-    gone = cluster.stored(found.filter(F.col("k1") != key).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "copies")
-    named = docs.withColumn("_k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = cluster.sized_join(named, gone, ["_k1", "_k2"], "left_anti", 40)
-    again = cluster.stored(found.filter((F.col("n_shingles") > 0) & (F.col("k1") == key)).groupBy(F.col("k1").alias("_k1")).count().filter("count > 1").select("_k1"), "repeated")
+    a, b = cluster.fresh(docs, "_k1", "_k2")
+    gone = cluster.stored(found.filter(F.col("k1") != key).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "copies")
+    left = cluster.sized_join(exchange.named(docs, a, b), gone, [a, b], "left_anti", 40)
+    # Rows that repeat a doc_id: of those with words one stays.
+    some = found.filter((F.col("n_shingles") > 0) & (F.col("k1") == key))
+    again = cluster.stored(some.groupBy(F.col("k1").alias(a)).agg(F.min("k2").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "repeated")
     if again.limit(1).count():
-        repeated = cluster.sized_join(left, again, "_k1", "left_semi", 24)
-        once = repeated.filter("trim(coalesce(text, '')) <> ''").dropDuplicates(["_k1"])
-        left = cluster.sized_join(left, again, "_k1", "left_anti", 24).unionByName(once).unionByName(repeated.filter("trim(coalesce(text, '')) = ''"))
-    return left.drop("_k1", "_k2")
+        others = cluster.stored(some.join(again.withColumnRenamed(a, "k1"), "k1").filter("k2 <> least").select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "others")
+        left = cluster.sized_join(left, others, [a, b], "left_anti", 40)
+        repeated = cluster.sized_join(left, again.select(a, F.col("least").alias(b)), [a, b], "left_semi", 40)
+        left = cluster.sized_join(left, again.select(a, F.col("least").alias(b)), [a, b], "left_anti", 40).unionByName(repeated.dropDuplicates([a, b]))
+    return left.drop(a, b)
 
 
 def document_components(docs: DataFrame) -> DataFrame:

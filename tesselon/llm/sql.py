@@ -39,4 +39,44 @@ WITH parts AS (
 SELECT s.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM split s LEFT JOIN fits f ON s.page_id = f.page_id
 """
 
-ORACLES = {"op7_chat_events": OP7, "op8_url_rules": OP8}
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP3 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS MATERIALIZED (
+  SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 75 * (x.n + y.n - common)
+), reach AS (
+  SELECT a AS id, b AS other FROM e UNION SELECT id, b FROM reach JOIN e ON other = a
+), c AS (
+  SELECT id, min(other) AS least FROM reach GROUP BY id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+"""
+
+OP10 = f"""
+WITH w AS (
+  SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents
+), words AS (
+  SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 12 <= len(ws) THEN array_to_string(ws[i:i + 12], ' ') END AS wide FROM w, unnest(range(1, len(ws) + 1)) t(i)
+), firsts AS (
+  SELECT wide, min(doc_id) AS first_id FROM words WHERE wide IS NOT NULL GROUP BY wide
+), marked AS (
+  SELECT words.*, max(CASE WHEN first_id < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM words LEFT JOIN firsts ON words.wide = firsts.wide
+), docs AS (
+  SELECT doc_id, count(*) AS n, sum(gone) AS removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN docs ON docs.doc_id = d.doc_id
+"""
+
+ORACLES = {"op3_jaccard_components": OP3, "op10_anchor_dedup": OP10, "op7_chat_events": OP7, "op8_url_rules": OP8}
