@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -41,22 +43,26 @@ def weighted(rows: DataFrame, multiplier: float = 1.0) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("label") == 1, pos).otherwise(1.0))
 
 
-def grouped_cv(rows: DataFrame, features: Sequence[str], kind: str, fold: str = "fold", multiplier: float = 1.0, seed: int = 42, **p) -> tuple[DataFrame, list[PipelineModel]]:
+def grouped_cv(rows: DataFrame, features: Sequence[str], kind: str, fold: str = "fold", multiplier: float = 1.0, seed: int = 42, parallelism: int = 4, **p) -> tuple[DataFrame, list[PipelineModel]]:
     """Leave one group out: the confusion of each fold, and the folds' models.
 
-    The loop is over folds, each a distributed fit on the cached rows; nothing is collected but
-    the list of folds.
+    The loop is over folds, each a distributed fit on the cached rows, ``parallelism`` of them at a
+    time; nothing is collected but the list of folds.
     """
     rows = rows.select(*features, "label", F.col(fold).alias("fold")).cache()
     folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-    out, models = None, []
-    for f in folds:
+
+    def fit(f) -> tuple[PipelineModel, DataFrame]:
         train, test = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
         model = build_model(kind, features, seed, **p).fit(weighted(train, multiplier))
-        found = confusion(model.transform(test), ["fold"], F.col("label"), F.col("prediction").cast("int"))
-        out = found if out is None else out.unionByName(found)
-        models.append(model)
-    return out, models
+        return model, confusion(model.transform(test), ["fold"], F.col("label"), F.col("prediction").cast("int"))
+
+    with ThreadPool(max(1, min(parallelism, len(folds)))) as pool:
+        fitted = pool.map(inheritable_thread_target(rows.sparkSession)(fit), folds)
+    out = fitted[0][1]
+    for _, found in fitted[1:]:
+        out = out.unionByName(found)
+    return out, [m for m, _ in fitted]
 
 
 def grid_search(rows: DataFrame, features: Sequence[str], kind: str, grid: dict[str, Sequence], multipliers: Sequence[float] = (1.0,), seed: int = 42, **fixed) -> DataFrame:

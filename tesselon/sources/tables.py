@@ -119,7 +119,7 @@ NOT_FEATURES = ("point_id", "label", "fold_tile", "x", "y", "n_dates_covered")
 def feature_table(spark: SparkSession, path: str) -> DataFrame:
     """A feature CSV, checked: features without NaN, labels 0 or 1, a fold in each row."""
     df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    bad = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in feature_columns(df)]
+    bad = [F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double")) for c in feature_columns(df)]
     wrong = ~F.col("label").isin(0, 1) | F.col("label").isNull() | F.col("fold_tile").isNull()
     for b in bad:
         wrong = wrong | b
