@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 class Grid:
     """Square tiles of ``size`` metres every ``stride`` metres; row 0 is at the top."""
 
+    # The origin of the tile numbering, the stride and size of tiles, and the slack of its bounds.
     x0: float = 2715098.0
     y0: float = 1120181.0
     stride: float = 89.6

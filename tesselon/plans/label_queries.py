@@ -93,18 +93,19 @@ def dedup_rounded_first_wins(spark, sf_dir):
     return labels.first_wins(_layers(spark, sf_dir), -1, [F.col("source"), F.col("id")]).select("source", "id")
 
 
-@query(f"WITH a AS (SELECT DISTINCT date FROM ({OBSERVATIONS}) WHERE point % 50 = 0), b AS (SELECT DISTINCT date FROM ({OBSERVATIONS}) WHERE point % 50 = 1) SELECT strftime(date, '%Y%m%d') AS day, CASE WHEN date IN (SELECT date FROM b) THEN 'both' ELSE 'missing' END AS state FROM a")
+@query(f"WITH a AS (SELECT DISTINCT date FROM ({OBSERVATIONS}) WHERE chm > 6.9), b AS (SELECT DISTINCT date FROM ({OBSERVATIONS}) WHERE ndvi > 0.7) SELECT strftime(date, '%Y%m%d') AS day, CASE WHEN date IN (SELECT date FROM b) THEN 'both' ELSE 'missing' END AS state FROM a")
 def date_set_algebra(spark, sf_dir):
     o = roles.observations(spark, sf_dir)
-    a, b = (o.filter(f"point % 50 = {i}").select("date").distinct() for i in (0, 1))
+    a, b = (o.filter(f).select("date").distinct() for f in ("chm > 6.9", "ndvi > 0.7"))
     both, missing = a.intersect(b).withColumn("state", F.lit("both")), a.subtract(b).withColumn("state", F.lit("missing"))
     return both.union(missing).select(F.date_format("date", "yyyyMMdd").alias("day"), "state")
 
 
-@query(f"WITH d AS (SELECT * FROM ({points_sql('customer')}) WHERE id % 3 = 0) SELECT id FROM ({points_sql('customer')}) a WHERE NOT EXISTS (SELECT 1 FROM d WHERE round_even(d.x, 3) = round_even(a.x, 3) AND round_even(d.y, 3) = round_even(a.y, 3))")
+@query(f"WITH d AS (SELECT * FROM ({points_sql('customer')}) WHERE id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 2000)) SELECT id FROM ({points_sql('customer')}) a WHERE NOT EXISTS (SELECT 1 FROM d WHERE round_even(d.x, 3) = round_even(a.x, 3) AND round_even(d.y, 3) = round_even(a.y, 3))")
 def resume_anti_join(spark, sf_dir):
     p = roles.points(spark, sf_dir, "customer")
-    return labels.not_done(p, p.filter("id % 3 = 0")).select("id")
+    scored = roles.table(spark, sf_dir, "customer").filter("c_acctbal < 2000").select(F.col("c_custkey").alias("id"))
+    return labels.not_done(p, p.join(scored, "id", "left_semi")).select("id")
 
 
 _DEG = "SELECT id, (x - 2715098) / 1e5 + 9 AS x, (y - 1120181) / 1e5 + 46 AS y FROM ({})"

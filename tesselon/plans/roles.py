@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselon.operators import raster
 
+# The tile grid's origin.
 X0, Y0 = 2715098.0, 1120181.0
 
 

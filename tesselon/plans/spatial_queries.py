@@ -85,11 +85,11 @@ def self_nearest(spark, sf_dir):
     return rounded(spatial.nearest(p, p, 100.0, 3200.0, other_than_self=True).select("id", "d"), 4)
 
 
-@query(f"""WITH s AS (SELECT *, lead(x) OVER (PARTITION BY id % 5 ORDER BY id) AS bx, lead(y) OVER (PARTITION BY id % 5 ORDER BY id) AS ey FROM ({points_sql('supplier')}) WHERE id <= 40), g AS (SELECT x AS ax, y AS ay, bx, ey FROM s WHERE bx IS NOT NULL),
+@query(f"""WITH s AS (SELECT *, lead(x) OVER (PARTITION BY id % 5 ORDER BY id) AS bx, lead(y) OVER (PARTITION BY id % 5 ORDER BY id) AS ey FROM ({points_sql('supplier')})), g AS (SELECT x AS ax, y AS ay, bx, ey FROM s WHERE bx IS NOT NULL),
   d AS (SELECT p.id, least(greatest(((p.x - ax) * (bx - ax) + (p.y - ay) * (ey - ay)) / ((bx - ax) ** 2 + (ey - ay) ** 2), 0), 1) AS t, p.x, p.y, ax, ay, bx, ey FROM ({points_sql('part')}) p, g),
   m AS (SELECT id, min(sqrt((x - (ax + t * (bx - ax))) ** 2 + (y - (ay + t * (ey - ay))) ** 2)) AS d FROM d GROUP BY id) SELECT id, round(CASE WHEN d <= 150 THEN d END, 4) AS d FROM m""")
 def point_segment_distance(spark, sf_dir):
-    s = roles.points(spark, sf_dir, "supplier").filter("id <= 40")
+    s = roles.points(spark, sf_dir, "supplier")
     lines = s.groupBy((F.col("id") % 5).alias("road")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
     out = spatial.segment_distance(roles.points(spark, sf_dir, "part"), spatial.segments(lines, "road"), 150.0)
     return rounded(out.select("id", "d"), 4)

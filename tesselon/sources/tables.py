@@ -113,6 +113,7 @@ def verdicts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(T.StructType([next(f for f in VERDICTS if f.name == c) if c in VERDICTS.names else T.StructField(c, T.StringType()) for c in head])).csv(path)
 
 
+# Columns of a feature table that no model sees.
 NOT_FEATURES = ("point_id", "label", "fold_tile", "x", "y", "n_dates_covered")
 
 
