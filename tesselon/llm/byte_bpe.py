@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tesselon.llm.cluster import small_batches
 from tesselon.llm.token_cache import SegmentCache
 from tesselon.llm.wordbytes import _SPACE, edges, flat, range_hashes, slices
 
@@ -179,4 +180,5 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     text_sha.append(hashlib.sha256(decode_bytes(ids[at[i] : at[i + 1]].tolist(), table)).hexdigest())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

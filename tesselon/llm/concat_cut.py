@@ -108,6 +108,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_LENGTH) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids_width, ids."""
+    cluster.small_batches(docs.sparkSession)
     table = cluster.stored(tokenised(docs, tokenizer_path), "tokens")
     totals = {r["part"]: r["n"] for r in table.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()}  # one number a task
     base, upto = {}, 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.cluster import parts_for
+from tesselon.llm.cluster import parts_for, small_batches
 from tesselon.llm.wordbytes import mix64, slices, split_words
 
 SAMPLES = 64
@@ -101,6 +101,7 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     first range: to the end of the last).  Equal doc_ids are ordered by text; null ids come last.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     least = -(1 << 63)
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(least)))

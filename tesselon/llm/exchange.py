@@ -34,6 +34,7 @@ def partitions(spark: SparkSession, total_bytes: int) -> int:
 
 def with_keys(docs: DataFrame) -> DataFrame:
     """k1 and k2 name a document: doc_id (null: least) and a hash of its text; equal rows have equal keys."""
+    cluster.small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
 

@@ -34,6 +34,8 @@ WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 12
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 BLOCK = 1 << 10
 SMOOTHING = 0.5
+#: Text a task holds as grams at a time.
+SLICE = 1 << 20
 KEEP = 0.995
 FOLDS, HELD_OUT = 5, 1
 #: Bins of the signed logarithm of a key: at most about a thousand.
@@ -112,7 +114,7 @@ def ratios(rows: DataFrame) -> np.ndarray | None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE):
                 doc, bucket = grams(piece.column("text"))
                 good = piece.column("target").to_numpy(zero_copy_only=False)
                 raw += np.bincount(bucket, minlength=BUCKETS)
@@ -158,7 +160,7 @@ def weighed(docs: DataFrame, labels: DataFrame | None, seed: int = 0) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE):
                 doc, bucket = grams(piece.column("text"))
                 n = piece.num_rows
                 weight = np.bincount(doc, table[bucket], n)
