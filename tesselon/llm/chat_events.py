@@ -2,8 +2,8 @@
 
 An event log has one row per event: conversation, message position, sequence number, kind, role
 and text.  Kinds: ``message`` (the whole text), ``delta`` (text appended), ``edit`` (text
-replaced), ``regenerate`` (text replaced and all messages dropped that follow and began before
-it) and ``retract`` (message removed).  Any other or null kind counts as ``message``.
+replaced), ``regenerate`` (text replaced, and all later messages dropped that were last written
+whole before it) and ``retract`` (message removed).  Any other or null kind counts as ``message``.
 
 Rendering marks turns as ``<turn:role>text</turn>\\n``.  Inside roles and texts ``\\ < > [ ]`` are
 written as a backslash and a digit, so no control string of this or another template survives in
@@ -56,7 +56,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     one = Window.partitionBy("conv_id", "position")
     whole = F.col("kind") != "delta"
     log = (
-        log.withColumn("began", F.min("seq").over(one))
+        log.withColumn("began", F.coalesce(F.max(F.when(F.col("kind").isin("message", "regenerate"), F.col("seq"))).over(one), F.min("seq").over(one)))
         .withColumn("base", F.max(F.when(whole, F.col("seq"))).over(one))
         .withColumn("redone", F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(one))
         .filter("base is null or seq >= base or seq is null")
