@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import product
 from multiprocessing.pool import ThreadPool
@@ -11,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.operators.evaluation import confusion, pooled
@@ -100,6 +101,18 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("prob", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def save(model: PipelineModel, path: str, **about) -> None:
+    """The model and what describes it (features, statistics, settings), replacing what is there."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "about string").write.mode("overwrite").json(f"{path}/about")
+
+
+def load(path: str) -> tuple[PipelineModel, dict]:
+    about = SparkSession.active().read.schema("about string").json(f"{path}/about").first()["about"]
+    return PipelineModel.load(f"{path}/model"), json.loads(about)
+
+
 def dense_predict(model: PipelineModel, px: DataFrame, valid) -> DataFrame:
     """cell, row, col and prob of every pixel; null where it isn't valid."""
     on = ["cell", "row", "col"]

@@ -93,6 +93,28 @@ def centre_crop(px: DataFrame, size: int, height: int, width: int) -> DataFrame:
     return px.filter(inside).withColumns({"row": F.col("row") - top, "col": F.col("col") - left})
 
 
+def crops(points: DataFrame, px: DataFrame, half: int, height: int, width: int, clamp: bool = True, value: str = "v", key: str = "id") -> DataFrame:
+    """Square crops of side 2 * half + 1 around points (cell, row, col): key, i, j and the value.
+
+    With ``clamp`` a crop near the edge is moved inside; without, points nearer than ``half`` to the edge have none.
+    Points send their pixels' places, so this is one equi-join.
+    """
+    size = 2 * half + 1
+    if clamp:
+        top, left = (F.least(F.greatest(F.col(c) - half, F.lit(0)), F.lit(n - size)) for c, n in (("row", height), ("col", width)))
+    else:
+        points = points.filter(F.col("row").between(half, height - 1 - half) & F.col("col").between(half, width - 1 - half))
+        top, left = F.col("row") - half, F.col("col") - half
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    sent = points.select(key, "cell", top.alias("_t"), left.alias("_l"), F.explode(steps).alias("i")).withColumn("j", F.explode(steps))
+    return sent.select(key, "cell", "i", "j", (F.col("_t") + F.col("i")).alias("row"), (F.col("_l") + F.col("j")).alias("col")).join(px.select("cell", "row", "col", value), ["cell", "row", "col"]).select(key, "i", "j", value)
+
+
+def crops_with_data(crop: DataFrame, value: str = "v", key: str = "id") -> DataFrame:
+    """Crops of which at most half the pixels are zero."""
+    return crop.join(crop.groupBy(key).agg(F.avg((F.col(value) == 0).cast("int")).alias("_z")).filter("_z <= 0.5").select(key), key, "left_semi")
+
+
 def rasterise_disks(points: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     """Distinct pixels (cell, row, col) within less than ``radius`` of a point's pixel."""
     offsets = [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if dr * dr + dc * dc < radius * radius]

@@ -38,6 +38,16 @@ def spatial_blocks(rows: DataFrame, block: float, val: float, test: float, seed:
     return named.join(ranked.select("bx", "by", split.alias("split")), ["bx", "by"])
 
 
+def controls(px: DataFrame, keep: Column, per_tile: int, n: int, seed: str) -> DataFrame:
+    """n control pixels that meet ``keep``: at most ``per_tile`` a tile, tiles in hashed order, as a scan tile by tile would find them."""
+    from tesselon.operators.temporal import capped
+
+    name = F.concat_ws("_", F.lit(seed), "cell", "row", "col")
+    tile = F.md5(F.concat_ws("_", F.lit(seed), "cell").cast("binary"))
+    drawn = capped(px.filter(keep), ["cell"], name, per_tile)
+    return drawn.orderBy(tile, draw(name)).limit(n)
+
+
 def even_ranks(n: int, k: int) -> list[int]:
     """Distinct ranks spread evenly over 0 .. n - 1, ties to the even rank."""
     if n <= 0 or k <= 0:

@@ -231,6 +231,35 @@ def focal_kernel_tier(spark, sf_dir):
     return rounded(out.select("cell", F.floor(F.col("p") / 8).cast("int").alias("row"), (F.col("p") % 8).cast("int").alias("col"), "s.mean", "s.std", "s.lo", "s.hi"))
 
 
+_POINTS = "SELECT vec_id AS id, vec_id AS cell, vec_id % 8 AS row, label % 8 AS col FROM embeddings"
+
+
+def _points(spark, sf_dir):
+    e = roles.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("cell"), (F.col("vec_id") % 8).cast("int").alias("row"), (F.col("label") % 8).cast("int").alias("col"))
+
+
+@query(f"WITH p AS (SELECT id, cell, least(greatest(row - 2, 0), 3) AS t, least(greatest(col - 2, 0), 3) AS l FROM ({_POINTS})) SELECT id, px.row - t AS i, px.col - l AS j, round(v, 6) AS v FROM p JOIN ({PIXELS}) px ON px.cell = p.cell AND px.row BETWEEN t AND t + 4 AND px.col BETWEEN l AND l + 4")
+def crops_at_points(spark, sf_dir):
+    return rounded(raster.crops(_points(spark, sf_dir), roles.pixels(spark, sf_dir), 2, 8, 8).withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")}))
+
+
+@query(f"WITH p AS ({_POINTS}), c AS (SELECT p.id, CASE WHEN v > 0 THEN v ELSE 0 END AS v FROM p JOIN ({PIXELS}) px ON px.cell = p.cell AND abs(px.row - p.row) <= 2 AND abs(px.col - p.col) <= 2 WHERE p.row BETWEEN 2 AND 5 AND p.col BETWEEN 2 AND 5) SELECT id, round(avg(v), 6) AS mean, count(*) AS n FROM c GROUP BY id HAVING avg(CASE WHEN v = 0 THEN 1 ELSE 0 END) <= 0.5")
+def windows_with_full_margin(spark, sf_dir):
+    px = roles.pixels(spark, sf_dir).withColumn("v", F.greatest("v", F.lit(0.0)))
+    kept = raster.crops_with_data(raster.crops(_points(spark, sf_dir), px, 2, 8, 8, clamp=False))
+    return rounded(kept.groupBy("id").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n")))
+
+
+@query(f"""WITH c AS (SELECT cell, row, col, '11_' || cell || '_' || row || '_' || col AS name FROM ({BANDS}) WHERE date = 0 AND chm BETWEEN 0.5 AND 4), r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY md5(name), name) AS n FROM c)
+  SELECT cell, row, col FROM (SELECT * FROM r WHERE n <= 2 ORDER BY md5('11_' || cell), md5(name) LIMIT 60)""")
+def canopy_controls(spark, sf_dir):
+    from tesselon.operators import sampling
+
+    px = roles.bands(spark, sf_dir).filter("date = 0")
+    return sampling.controls(px, F.col("chm").between(0.5, 4.0), 2, 60, "11").select("cell", "row", "col")
+
+
 @query(f"SELECT cell, row, col, (row // 4) * 2 + col // 4 AS patch, (row % 4) * 4 + col % 4 AS token, round(v, 6) AS v FROM ({PIXELS})")
 def patchify(spark, sf_dir):
     return rounded(masking.patchify(roles.pixels(spark, sf_dir), 4, 8))

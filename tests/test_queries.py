@@ -44,7 +44,7 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
-def test_models(spark):
+def test_models(spark, tmp_path):
     from tesselon.operators import evaluation, models
     from tesselon.plans.model_queries import FEATURES, labelled
 
@@ -52,6 +52,9 @@ def test_models(spark):
     folds, fitted = models.grouped_cv(rows, FEATURES[:4], "rf", n=5, max_depth=3)
     assert folds.count() == 5 and evaluation.pooled(folds).first().pooled_accuracy > 0.3
     assert models.importances(spark, fitted, FEATURES[:4]).count() == 4
+    models.save(fitted[0], str(tmp_path / "m"), features=FEATURES[:4], epoch=3)
+    again, about = models.load(str(tmp_path / "m"))
+    assert about == {"features": FEATURES[:4], "epoch": 3} and models.score(again, rows).select("prob").exceptAll(models.score(fitted[0], rows).select("prob")).count() == 0
     with pytest.raises(ValueError, match="f0"):
         models.score(fitted[0], rows.drop("f0"))
     for kind, p in (("linear", {"n": 10}), ("mlp", {"n": 5, "hidden": 4}), ("gbt", {"n": 2, "max_depth": 2})):
