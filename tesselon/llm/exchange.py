@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm import cluster
-from tesselon.llm.wordbytes import slices
+from tesselon.llm.wordbytes import mix64, slices
 
 #: Text a partition of the exchange stands for, and buckets a partition.
 PARTITION_BYTES = 32 << 20
@@ -64,7 +64,7 @@ class Chunk:
         wide = "<u2" if not len(self.refs) or self.refs.max() < 1 << 16 else "<u4"
         blobs = [np.frombuffer(wide.encode(), np.uint8), self.refs.astype(wide), np.packbits(self.new), *header]
         sizes = np.array([len(blobs), *[b.nbytes for b in blobs]], np.int64)
-        yield (chunk * 40503) % self.buckets, chunk, -1, None, None, sizes.tobytes() + b"".join(b.tobytes() for b in blobs)
+        yield int(mix64(np.array([chunk], np.uint64))[0] % np.uint64(self.buckets)), chunk, -1, None, None, sizes.tobytes() + b"".join(b.tobytes() for b in blobs)
 
 
 class Home:
