@@ -30,7 +30,7 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> int:
 
 def load(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped."""
-    whole = np.memmap(path, np.uint8, "r")
+    whole = np.memmap(path, np.uint8, "r").view(np.ndarray)
     size = int(whole[:8].view("<u8")[0])
     directory = json.loads(whole[8 : 8 + size].tobytes())
     return {k: whole[8 + size + at : 8 + size + at + n * np.dtype(d).itemsize].view(d) for k, (d, n, at) in directory.items()}
@@ -42,7 +42,7 @@ def encode(name: str, values: np.ndarray, universe: int) -> dict[str, np.ndarray
     values = values.astype(np.uint64)
     low = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
     high = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
-    words = np.zeros((n + (universe >> low) + 1) // 64 + 1, np.uint64)
+    words = np.zeros((n + (universe >> low) + 1) // 64 + 2, np.uint64)
     np.bitwise_or.at(words, high >> 6, np.uint64(1) << (high & 63).astype(np.uint64))
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1]
     if low:
@@ -72,18 +72,35 @@ class Sequence:
         self.n, self.low_bits = (int(x) for x in arrays[f"{name}.meta"])
         self.low, self.high, self.ones, self.zeros = (arrays[f"{name}.{k}"] for k in ("low", "high", "ones", "zeros"))
         self.mask = np.uint64((1 << self.low_bits) - 1)
+        # Eight bytes from any byte on, as one integer: overlapping views of the packed low bits.
+        self.octets = np.lib.stride_tricks.as_strided(self.low[:8].view("<u8"), (len(self.low) - 7,), (1,), writeable=False)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
         bit = i * self.low_bits
-        raw = np.ascontiguousarray(self.low[(bit >> 3)[:, None] + np.arange(8)]).view("<u8")[:, 0]
-        return (raw >> (bit & 7).astype(np.uint64)) & self.mask
+        return (self.octets[bit >> 3] >> (bit & 7).astype(np.uint64)) & self.mask
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
         return word * 64 + _select(~self.high[word], k - self.zeros[word].astype(np.int64))
 
+    def _ones_from(self, at: np.ndarray) -> np.ndarray:
+        """Set bits in a row from each bit on: the elements of one high part."""
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        window = self.high[word] >> bit
+        window |= np.where(bit > 0, self.high[word + 1] << ((np.uint64(64) - bit) & np.uint64(63)), np.uint64(0))
+        count = np.bitwise_count((window ^ (window + np.uint64(1))) >> np.uint64(1)).astype(np.int64)
+        long = np.flatnonzero(count >= 63)
+        if len(long):
+            zeros = at[long] - self._rank1(at[long])
+            count[long] = self._select0(zeros) - at[long]
+        return count
+
+    def _rank1(self, at: np.ndarray) -> np.ndarray:
+        below = self.high[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.ones[at >> 6].astype(np.int64) + np.bitwise_count(below).astype(np.int64)
+
     def access(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
         at = word * 64 + _select(self.high[word], i - self.ones[word].astype(np.int64))
@@ -97,7 +114,7 @@ class Sequence:
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         target = values & self.mask
         lo = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0)
-        end = self._select0(high) - high
+        end = lo + self._ones_from(lo + high)
         hi = end.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)

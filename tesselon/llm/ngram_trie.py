@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm import cluster, elias_fano, exchange
-from tesselon.llm.wordbytes import mix64, slices, split_words
+from tesselon.llm.wordbytes import gathered, mix64, slices, split_words
 
 M2, M3 = 200.0, 4.0
 LEAST_TRIGRAM = 2
@@ -47,7 +47,7 @@ LEAST_TRIGRAM = 2
 LOWEST = 12.0
 FOLDS, HELD_OUT = 5, 1
 BYTES_A_BUCKET = 16 << 20
-SCORE_SLICE = 6 << 20
+SCORE_SLICE = 4 << 20
 _END_HASH = int(mix64(np.array([0xE0D], np.uint64))[0])
 
 
@@ -87,7 +87,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
             rows = [(b, words[x:y].tobytes(), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "counts"])
 
-    for batch in batches:
+    for batch in gathered(batches, "text", SCORE_SLICE):
         for piece in slices(batch, "text"):
             held.append(np.unique(token_hashes(piece.column("text"))[0], return_counts=True))
             size += len(held[-1][0])
@@ -209,9 +209,22 @@ def _contexts(ids: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarra
     return u, v
 
 
+def _ordered(*keys: np.ndarray) -> np.ndarray:
+    """Order of rows of non-negative integers, packed into as few sort keys as their ranges allow."""
+    packed, room = [keys[0]], int(keys[0].max(initial=0)) + 1
+    for k in keys[1:]:
+        size = int(k.max(initial=0)) + 1
+        if room * size < 1 << 63:
+            packed[-1], room = packed[-1] * size + k, room * size
+        else:
+            packed.append(k)
+            room = size
+    return np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
+
+
 def _count_rows(keys: tuple[np.ndarray, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in lexical order, and how often each occurs."""
-    order = np.lexsort(keys[::-1])
+    order = _ordered(*keys)
     keys = [k[order] for k in keys]
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -239,7 +252,7 @@ def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch], words: Words, spread: Spread) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in gathered(batches, "text", SCORE_SLICE):
         for piece in slices(batch, "text", SCORE_SLICE):
             hashes, first = token_hashes(piece.column("text"))
             unique, which = np.unique(hashes, return_inverse=True)
@@ -261,7 +274,7 @@ def _gram_rows(batches: Iterator[pa.RecordBatch], words: Words, spread: Spread)
 def _summed(blobs: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
     parts = [_unpacked(b, width + 1) for b in blobs]
     columns = [np.concatenate([p[i] for p in parts]) for i in range(width + 1)]
-    order = np.lexsort(columns[:width][::-1])
+    order = _ordered(*columns[:width])
     columns = [c[order] for c in columns]
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -347,17 +360,19 @@ class Model:
 
     def _pairs(self, level, own, u, v, w, p) -> None:
         parents, pairs, q = level
-        at, known = parents.find(v[own])
-        own, at = own[known], at[known]
+        own, at = _found(parents, own, v)
         place, found = pairs.find(at * self.words.width + w[own])
         p[own[found]] += restore(q[place[found]])
 
     def _triples(self, level, own, u, v, w, p) -> None:
         parents, begin, successors, contexts, base, places, back, q = level
-        at, known = parents.find(v[own])
-        own, at = own[known], at[known]
-        context, known = contexts.find(at * self.words.width + u[own])
-        own, at, context = own[known], at[known], context[known]
+        own, at = _found(parents, own, v)
+        key = np.empty(len(u), np.int64)
+        key[own] = at * self.words.width + u[own]
+        parent = np.empty(len(u), np.int64)
+        parent[own] = at
+        own, context = _found(contexts, own, key)
+        at = parent[own]
         if not len(own):
             return
         p[own] *= restore(back[context])
@@ -369,6 +384,18 @@ class Model:
         p[own[found]] += restore(q[at[found]])
 
 
+def _found(sequence: elias_fano.Sequence, own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``own`` whose value the sequence holds, and its place; equal values in a row are sought once."""
+    if not len(own):
+        return own, own
+    sought = values[own]
+    starts = _runs(sought)
+    at, known = sequence.find(sought[starts])
+    sizes = np.diff(np.append(starts, len(own)))
+    known = np.repeat(known, sizes)
+    return own[known], np.repeat(at, sizes)[known]
+
+
 @lru_cache(65536)
 def _exists(path: str) -> bool:
     return os.path.exists(path)
@@ -459,7 +486,7 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = model.words
         start_count = words.find(np.array([_END_HASH], np.uint64))[1][0] if words.size else 0
-        for batch in batches:
+        for batch in gathered(batches, "text", SCORE_SLICE):
             for piece in slices(batch, "text", SCORE_SLICE):
                 hashes, first = token_hashes(piece.column("text"))
                 unique, which = np.unique(hashes, return_inverse=True)
@@ -468,7 +495,7 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
                 u, v = _contexts(w, first, words.start)
                 c_v = _contexts(c, first, start_count)[1]
                 p1 = model.unigram(c)
-                key = np.lexsort((w, u, v))
+                key = _ordered(v, u, w)
                 su, sv, sw = u[key], v[key], w[key]
                 new = np.ones(len(key), bool)
                 new[1:] = (su[1:] != su[:-1]) | (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])
@@ -487,6 +514,7 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
 
 def scored(docs: DataFrame) -> DataFrame:
     """Train on all folds but the held-out one and score every row."""
+    cluster.small_batches(docs.sparkSession)
     own = F.col("doc_id").cast("long")
     texts = docs.select(own.alias("doc_id"), held_out(own).alias("held_out"), "text")
     return score(texts, train(texts.filter("not held_out")))
