@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.llm import cluster
-from tesselon.llm.token_cache import SegmentCache
+from tesselon.llm.token_cache import SegmentCache, WordCache
 from tesselon.llm.wordbytes import Words, range_hashes, slices, split_words
 
 SEQUENCE_LENGTH = 2048
@@ -42,7 +42,8 @@ def _cache(path: str) -> SegmentCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _caches[path] = SegmentCache(tokenizer, MARK)
+        word_end = getattr(tokenizer.model, "end_of_word_suffix", None)
+        _caches[path] = WordCache(tokenizer, MARK, word_end) if word_end else SegmentCache(tokenizer, MARK)
     return _caches[path]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -12,6 +13,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_ENTRIES = 400_000
 #: Segments that are encoded as one string, with a special token between them.
 TOGETHER = 256
+#: Words of letters that normalizers leave letters: each is one pre-token of a tokenizer that marks word ends.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
 
 class SegmentCache:
@@ -46,6 +49,15 @@ class SegmentCache:
             out[i] = self.tokenizer.encode(segments[i], add_special_tokens=False).ids
         return out
 
+    def _learn(self, keys: list[int], segments: list[str]) -> None:
+        """Remember the ids of new segments, and their decimal text."""
+        found = self._encode(segments)
+        cuts = (np.cumsum([0, *map(len, found)]) * 4).tolist()
+        raw = np.fromiter((x for f in found for x in f), "<u4", cuts[-1] // 4).tobytes()
+        self.known.update((k, raw[x:y]) for k, x, y in zip(keys, cuts, cuts[1:], strict=False))
+        if self.as_text:
+            self.texts.update((k, " ".join(map(str, f))) for k, f in zip(keys, found, strict=True))
+
     def ids(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray):
         """(ids of all segments in order, token count of each segment, text of each segment's ids or None)."""
         unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -56,14 +68,7 @@ class SegmentCache:
         if new:
             whole = buf.tobytes()
             cuts = zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)
-            found = self._encode([whole[a:b].decode() for a, b in cuts])
-            sizes = np.cumsum([0, *map(len, found)]) * 4
-            raw = np.fromiter((x for f in found for x in f), "<u4", sizes[-1] // 4).tobytes()
-            cuts = sizes.tolist()
-            for n, i in enumerate(new):
-                self.known[keys[i]] = raw[cuts[n] : cuts[n + 1]]
-            if self.as_text:
-                self.texts.update((keys[i], " ".join(map(str, f))) for i, f in zip(new, found, strict=True))
+            self._learn([keys[i] for i in new], [whole[a:b].decode() for a, b in cuts])
         parts = [self.known[k] for k in keys]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool = np.frombuffer(b"".join(parts), "<u4")
@@ -76,3 +81,65 @@ class SegmentCache:
             own = np.array([self.texts[k] for k in keys] + [None], object)[:-1]
             texts = own[inverse]
         return pool[where], counts, texts
+
+
+#: Words that ``WordCache`` remembers: about 40 bytes each.
+WORDS = 1_500_000
+
+
+class WordCache(SegmentCache):
+    """The same for a tokenizer that marks word ends: what is known lies in sorted arrays and one pool of ids.
+
+    Words of letters are encoded together with spaces between them and told apart by ``word_end``,
+    the suffix of tokens that end a word.
+    """
+
+    def __init__(self, tokenizer, mark: str, word_end: str):
+        super().__init__(tokenizer, mark)
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(word_end)]] = True
+        self._reset()
+
+    def _reset(self) -> None:
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _append(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _add(self, keys: np.ndarray, segments: list[str]) -> None:
+        begin, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        plain = [i for i, s in enumerate(segments) if LETTERS.fullmatch(s)]
+        for a in range(0, len(plain), 8 * TOGETHER):
+            part = plain[a : a + 8 * TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([segments[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+            if len(cuts) == len(part) + 1:  # else the words are encoded one by one below
+                begin[part] = self._append(ids) + cuts[:-1]
+                size[part] = np.diff(cuts)
+        rest = np.flatnonzero(begin < 0).tolist()
+        for i, found in zip(rest, self._encode([segments[i] for i in rest]), strict=True):
+            begin[i], size[i] = self._append(np.array(found, "<u4")), len(found)
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.begin, self.size = every[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+
+    def ids(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray):
+        unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > WORDS:
+            self._reset()
+        place = np.searchsorted(self.keys, unique)
+        new = np.flatnonzero(~(np.append(self.keys, 0)[place] == unique) | (place == len(self.keys)))
+        if len(new):
+            whole = buf.tobytes()
+            cuts = zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)
+            self._add(unique[new], [whole[a:b].decode() for a, b in cuts])
+            place = np.searchsorted(self.keys, unique)
+        begin, counts = self.begin[place][inverse], self.size[place][inverse]
+        where = np.arange(int(counts.sum())) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+        return self.pool[where], counts, None
