@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from tesselon.llm.cluster import small_batches
 from tesselon.llm.token_cache import SegmentCache
-from tesselon.llm.wordbytes import _SPACE, edges, flat, range_hashes, slices
+from tesselon.llm.wordbytes import _SPACE, edges, flat, gathered, range_hashes, slices
 
 #: White space beyond ASCII, and the controls that some libraries count as such, in UTF-8.
 ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xe1\xa0\x8e|\xe2\x80\x8b|\xef\xbb\xbf")
@@ -36,6 +36,8 @@ ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-
 
 #: Stands between segments that are encoded together; no segment holds a space between other characters, unless odd.
 MARK = "\n<mark> \n"
+#: Text whose distinct segments are looked up together.
+TOGETHER_BYTES = 4 << 20
 
 
 def byte_characters() -> list[str]:
@@ -169,8 +171,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _codec(json)[1]
-        for batch in batches:
-            for piece in slices(batch, "text"):
+        for batch in gathered(batches, "text", TOGETHER_BYTES):
+            for piece in slices(batch, "text", TOGETHER_BYTES):
                 ids, counts, shown, of_doc = encode_array(piece.column("text"), json)
                 at = np.concatenate([[0], np.cumsum(counts)]).tolist()
                 of_doc = of_doc.tolist()
