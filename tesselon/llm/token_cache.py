@@ -84,7 +84,7 @@ class SegmentCache:
 
 
 #: Words that ``WordCache`` remembers: about 40 bytes each.
-WORDS = 1_500_000
+WORDS = 700_000
 
 
 class WordCache(SegmentCache):
