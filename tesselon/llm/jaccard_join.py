@@ -19,9 +19,10 @@ fewer words).  Documents link when 100 * |intersection| >= 75 * |union|.
    signature but no component are compared: with components of several sets in blocks of members,
    so no row is made a pair, and single sets with each other once.  No link is lost.
 
-Cases: null, empty and wordless texts have n_shingles 0 and are their own component; rows that
-share a doc_id count as one document; a null doc_id counts as the least, its component is null;
-equal rows get equal results; extra columns are not read; no rows give no rows.
+Cases: null, empty and wordless texts have n_shingles 0 and are their own component; a document is
+a doc_id and a text, so rows that share a doc_id (or have none) but not the text are different
+documents, grouped by links alone; a null doc_id counts as the least, its component is null; equal
+rows get equal results; extra columns are not read; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -345,25 +346,29 @@ def _linked(index: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns, that are the least document of their component; equal rows stay once."""
-    found = cluster.stored(document_components(docs), "classes")
-    key = F.coalesce("component_id", F.lit(_NULL_ID))
+    """The rows of ``docs``, with their columns, that are the least document of their component; of equal documents with words one row stays."""
+    found = cluster.stored(_documents(docs), "classes")
+    least = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
     a, b = cluster.fresh(docs, "_k1", "_k2")
-    gone = cluster.stored(found.filter(F.col("k1") != key).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "copies")
+    gone = cluster.stored(found.filter(~least).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "copies")
     left = cluster.sized_join(exchange.named(docs, a, b), gone, [a, b], "left_anti", 40)
-    # Rows that repeat a doc_id: of those with words one stays.
-    some = found.filter((F.col("n_shingles") > 0) & (F.col("k1") == key))
-    again = cluster.stored(some.groupBy(F.col("k1").alias(a)).agg(F.min("k2").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "repeated")
+    # Rows that repeat a document: of those with words one stays.
+    some = found.filter((F.col("n") > 0) & least)
+    again = cluster.stored(some.groupBy(F.col("k1").alias(a), F.col("k2").alias(b)).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "repeated")
     if again.limit(1).count():
-        others = cluster.stored(some.join(again.withColumnRenamed(a, "k1"), "k1").filter("k2 <> least").select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "others")
-        left = cluster.sized_join(left, others, [a, b], "left_anti", 40)
-        repeated = cluster.sized_join(left, again.select(a, F.col("least").alias(b)), [a, b], "left_semi", 40)
-        left = cluster.sized_join(left, again.select(a, F.col("least").alias(b)), [a, b], "left_anti", 40).unionByName(repeated.dropDuplicates([a, b]))
+        repeated = cluster.sized_join(left, again, [a, b], "left_semi", 40)
+        left = cluster.sized_join(left, again, [a, b], "left_anti", 40).unionByName(repeated.dropDuplicates([a, b]))
     return left.drop(a, b)
 
 
 def document_components(docs: DataFrame) -> DataFrame:
     """k1, k2, doc_id, n_shingles and component_id of every row."""
+    public = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
+    return _documents(docs).select("k1", "k2", public("k1").alias("doc_id"), F.col("n").alias("n_shingles"), public("c1").alias("component_id"))
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """k1, k2, n and the keys c1, c2 of the least document of its component, of every row."""
     spark = docs.sparkSession
     keyed = exchange.with_keys(docs)
     parts = exchange.partitions(spark, cluster.text_bytes(docs))
@@ -372,23 +377,17 @@ def document_components(docs: DataFrame) -> DataFrame:
     every = cluster.stored(exchange.collect_home(asked, parts, _screened, "u1", "k1 long, k2 long, n long, alive boolean"), "screened")
     alive = cluster.stored(every.filter("alive").select("k1", "k2").distinct(), "alive")
     rows = cluster.stored(_set_rows(cluster.sized_join(keyed, alive, ["k1", "k2"], "inner", 40)).dropDuplicates(["k1", "k2"]), "sets")
-    # Equal sets are one; its id is its least document.
-    same = cluster.stored(rows.groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2")).alias("first"), F.count(F.lit(1)).alias("m")), "equal")
-    firsts = cluster.stored(same.select("first.k1", "first.k2"), "firsts")
-    sets = cluster.sized_join(rows.select("k1", "k2", "grams"), firsts, ["k1", "k2"], "left_semi", 40).select(F.col("k1").alias("id"), "grams")
+    # Equal sets are one, numbered as they are stored; a document's keys don't fit one number.
+    same = rows.groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2")).alias("first"))
+    same = cluster.stored(same.select("h1", "h2", "first.k1", "first.k2", F.monotonically_increasing_id().alias("id")), "equal")
+    sets = cluster.sized_join(rows.select("k1", "k2", "grams"), same.select("k1", "k2", "id"), ["k1", "k2"], "inner", 48).select("id", "grams")
     asked = exchange.answer(exchange.ask(sets, _classes, buckets, "grams"), parts, exchange.reply_classes)
     index = cluster.stored(exchange.collect_home(asked, parts, _signatures, "u1", "sig long, id long, n long, shared long"), "signatures")
     labels = _linked(index, sets, parts)
 
-    owner = rows.select("k1", "k2", "h1", "h2").join(same.select("h1", "h2", F.col("first.k1").alias("id")), ["h1", "h2"])
-    # Rows of one doc_id are one document: its parts' components meet.
-    part = owner.join(labels, "id", "left").select("k1", F.coalesce("component", "id").alias("component"))
-    several = part.groupBy("k1").agg(F.min("component").alias("component"), F.max("component").alias("most"))
-    split = several.filter("component <> most").limit(1).count()
-    if split:
-        fixed = components(part.select(F.col("component").alias("a"), F.col("k1").alias("b")))
-        several = part.select("k1").distinct().join(fixed, F.col("k1") == F.col("id"), "left").select("k1", F.coalesce("component", "k1").alias("component"))
-    several = cluster.stored(several.select("k1", "component"), "components")
-    out = cluster.sized_join(every, several, "k1", "left", 32)
-    public = lambda c: F.when(c != _NULL_ID, c)
-    return out.select("k1", "k2", public(F.col("k1")).alias("doc_id"), F.col("n").alias("n_shingles"), public(F.coalesce("component", "k1")).alias("component_id"))
+    part = cluster.stored(same.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    least = part.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("least"))
+    part = part.join(least, "component").select("h1", "h2", F.col("least.k1").alias("c1"), F.col("least.k2").alias("c2"))
+    owner = cluster.stored(rows.select("k1", "k2", "h1", "h2").join(part, ["h1", "h2"]).select("k1", "k2", "c1", "c2"), "components")
+    out = cluster.sized_join(every, owner, ["k1", "k2"], "left", 48)
+    return out.select("k1", "k2", "n", F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2"))

@@ -66,3 +66,15 @@ def test_very_long_texts(spark):
         assert (r.n_words, r.kept_sha256) == (n, hashlib.sha256(" ".join(kept).encode()).hexdigest())
     assert ngram_trie.scored(docs).count() == cws.fingerprint_pairs(docs).count() == avi.text_media(docs).count() == 3
     assert sum(r.length for r in concat_cut.pack(docs, WORD_BPE).collect() if r.doc_id == 3) > 0
+
+
+def test_documents_without_or_with_the_same_id_stay_apart(spark):
+    prose = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, prose("a")), (None, prose("b")), (None, prose("c")), (None, prose("c") + " more"), (5, prose("b") + " more"), (6, prose("d")), (6, prose("e")), (6, prose("e")), (7, prose("d") + " more"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in jaccard_join.one_of_each(docs).collect()]
+    texts = sorted((t or "").removesuffix(" more") for _, t in left)
+    assert texts == sorted(["", *(prose(name) for name in "abcde")])  # one of each group, and every group
+    assert {(6, prose("d")), (6, prose("e")), (None, prose("b")), (None, None)} <= set(left)
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.document_components(docs.filter("doc_id is not null")).collect()}
+    assert found == {(5, 37): 5, (6, 36): 6, (7, 37): 6}
