@@ -3,7 +3,7 @@
 Pass one tokenises every document once and stores, for each task's partition, the ids with the
 tokens that precede them in it.  The partitions' totals (one number a task) give, by a prefix sum,
 the global offset of each partition.  Pass two cuts each document where multiples of the sequence
-length fall and emits one boundary record a piece.  Nothing is shuffled and no task holds more
+length fall and emits one record a piece, its boundaries and ids.  Nothing is shuffled and no task holds more
 than a batch of documents; only the last sequence is padded.
 
 Cases: a null or empty text is its end token alone; equal rows are packed as often as they occur;
@@ -108,7 +108,11 @@ def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_LENGTH) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids_width, ids."""
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids_width, ids.
+
+    ``ids`` are the piece's token ids, little-endian and unsigned, of ``ids_width`` bytes each; ids_crc32 is
+    of the same ids in 32 bits.
+    """
     cluster.small_batches(docs.sparkSession)
     table = cluster.stored(tokenised(docs, tokenizer_path), "tokens")
     totals = {r["part"]: r["n"] for r in table.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()}  # one number a task
@@ -119,19 +123,21 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_LENGTH) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(9)]
             columns = [batch.column(i).to_pylist() for i in range(5)]
             raws = batch.column(5)
             for i, (part, local, doc_id, tokens, width) in enumerate(zip(*columns, strict=True)):
-                ids = np.frombuffer(raws[i].as_buffer(), f"<u{width}").astype("<u4")
+                raw = raws[i].as_py()
+                ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
                 begin, done = base[part] + local, 0
                 while done < tokens:
                     sequence, offset = divmod(begin + done, length)
                     size = min(length - offset, tokens - done)
                     crc = zlib.crc32(ids[done : done + size].tobytes())
-                    for out, value in zip(rows, (doc_id, done, size, crc, tokens, sequence, offset), strict=True):
+                    for out, value in zip(rows, (doc_id, done, size, crc, tokens, sequence, offset, width, raw[done * width : (done + size) * width]), strict=True):
                         out.append(value)
                     done += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            types = [pa.int64()] * 7 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids_width", "ids"])
 
-    return table.select("part", "local_start", "doc_id", "doc_tokens", "width", "ids").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return table.select("part", "local_start", "doc_id", "doc_tokens", "width", "ids").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids_width int, ids binary")

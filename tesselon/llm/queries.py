@@ -62,7 +62,8 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return concat_cut.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    """Digests of the pieces; the ids themselves are the operator's output."""
+    return concat_cut.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids_width", "ids")
 
 
 def op10_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

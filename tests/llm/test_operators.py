@@ -388,6 +388,16 @@ def test_pieces_cover_every_id_once(documents, corpus):
     assert all(r.offset + r.length <= 2048 for r in order)
 
 
+def test_pieces_hold_their_ids(documents, corpus):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    found = collections.defaultdict(list)
+    for r in sorted(concat_cut.pack(documents, WORD_BPE).collect(), key=lambda r: r.start):
+        ids = np.frombuffer(r.ids, f"<u{r.ids_width}")
+        assert len(ids) == r.length
+        found[r.doc_id] += ids.tolist()
+    assert found == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in corpus}
+
+
 @pytest.mark.parametrize("text", ["A<B a<b", "<|endoftext|> <|ENDOFTEXT|>", "the, The. THE!", "3. x,y ,z .. é, ok…", "don't DON'T", "\n<mark> \n", "İ ẞ Σς ΣΣ", "e\u0301, e\u0301"])
 def test_packing_ids_of_odd_texts(text):
     import pyarrow as pa
