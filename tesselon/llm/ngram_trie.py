@@ -6,8 +6,8 @@ probability p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), the model interpolates hie
     p2(w | v)    = (c(v w) + M2 p1(w)) / (c(v) + M2)
     p3(w | u v)  = (c(u v w) + M3 p2(w | v)) / (c(u v) + M3)
 
-where trigrams seen once are left out and c(u v) sums the rest; both sum to one over the V known
-tokens and one unknown.  Counts are gathered by hash from all training texts into buckets, each of
+where c(u v) sums the trigrams that are kept: all with ``least_trigram=1``, as the query does, else those
+seen that often.  Both sum to one over the V known tokens and one unknown.  Counts are gathered by hash from all training texts into buckets, each of
 which writes one file of every level to the cluster's shared folder:
 
 * *words*: sorted hashes and exact counts; a word's id is its place among all.
@@ -42,6 +42,7 @@ from tesselon.llm import cluster, elias_fano, exchange
 from tesselon.llm.wordbytes import gathered, mix64, slices, split_words
 
 M2, M3 = 200.0, 4.0
+#: Count from which trigrams are kept, if the caller names none.
 LEAST_TRIGRAM = 2
 #: Quantised values: 16 bits over log10 from -LOWEST to 0.
 LOWEST = 12.0
@@ -300,9 +301,9 @@ def pair_arrays(v: np.ndarray, w: np.ndarray, count: np.ndarray, of_v: np.ndarra
     return elias_fano.encode("v", v[starts], width) | elias_fano.encode("vw", parent * width + w, len(starts) * width) | {"q": quantise(count / (of_v + M2))}
 
 
-def triple_arrays(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, width: int) -> dict[str, np.ndarray]:
+def triple_arrays(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, width: int, least_trigram: int = LEAST_TRIGRAM) -> dict[str, np.ndarray]:
     """Level 3 of one bucket from rows in order of (v, u, w)."""
-    kept = count >= LEAST_TRIGRAM
+    kept = count >= least_trigram
     v, u, w, count = v[kept], u[kept], w[kept], count[kept]
     starts = _runs(v)
     parent = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(v))))
@@ -409,7 +410,7 @@ def _level(path: str, level: int):
     return *(elias_fano.Sequence(arrays, n) for n in ("v", "begin", "vw", "vu", "base", "places")), arrays["back"], arrays["q"]
 
 
-def train(texts: DataFrame) -> Model:
+def train(texts: DataFrame, least_trigram: int = LEAST_TRIGRAM) -> Model:
     """Build the levels from the texts (one column, ``text``)."""
     spark = texts.sparkSession
     buckets = cluster.parts_for(spark, cluster.text_bytes(texts), BYTES_A_BUCKET)
@@ -461,7 +462,7 @@ def train(texts: DataFrame) -> Model:
                 arrays = pair_arrays(v, w, count, of_v, words.width)
             else:
                 (v, u, w), count = _summed(blobs, 3)
-                arrays = triple_arrays(v, u, w, count, words.width)
+                arrays = triple_arrays(v, u, w, count, words.width, least_trigram)
             size = elias_fano.save(f"{folder}/level{kind}-{bucket}", arrays)
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([len(arrays["q"])], pa.int64()), pa.array([size], pa.int64())], names=["level", "n", "bytes"])
 
@@ -512,9 +513,9 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
     return texts.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, least_trigram: int = LEAST_TRIGRAM) -> DataFrame:
     """Train on all folds but the held-out one and score every row."""
     cluster.small_batches(docs.sparkSession)
     own = F.col("doc_id").cast("long")
     texts = docs.select(own.alias("doc_id"), held_out(own).alias("held_out"), "text")
-    return score(texts, train(texts.filter("not held_out")))
+    return score(texts, train(texts.filter("not held_out"), least_trigram))

@@ -30,7 +30,7 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_trie.scored(_read(spark, sf_dir, "documents"))
+    return ngram_trie.scored(_read(spark, sf_dir, "documents"), least_trigram=1)
 
 
 def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

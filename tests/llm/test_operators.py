@@ -12,7 +12,7 @@ from brute import components, deduplicated, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesselon.llm import anchor_dedup, avi, byte_bpe, chat_events, concat_cut, cws, elias_fano, importance, jaccard_join, jpeg, ngram_trie, url_rules
+from tesselon.llm import anchor_dedup, avi, byte_bpe, chat_events, concat_cut, cws, elias_fano, importance, jaccard_join, jpeg, ngram_trie, queries, url_rules
 
 RANKS, WORD_BPE = pt.path("byte_bpe_50k.tiktoken"), pt.path("word_bpe_49k.json")
 
@@ -106,6 +106,19 @@ def test_trie_scores_equal_plain_counts(documents, corpus):
         assert r.score == pytest.approx(score, abs=2e-4 * n + 1e-6)  # 16-bit values
 
 
+def test_query_counts_trigrams_that_occur_once(spark, tmp_path):
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(40)]
+    seen, unseen = held.index(False), held.index(True)
+    text = " ".join(f"t{i}" for i in range(30))
+    rows = [(seen, text), (unseen, text)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op2_ngram_trie(spark, str(tmp_path)).collect()}
+    m2, m3, n = ngram_trie.M2, ngram_trie.M3, 31
+    p1 = 1.5 / (n + 0.5 * (n + 1))  # every word, bigram and trigram occurs once
+    each = math.log10((1 + m3 * (1 + m2 * p1) / (1 + m2)) / (1 + m3))
+    assert got[unseen] == got[seen] == pytest.approx(n * each, abs=2e-4 * n)
+
+
 def test_model_probabilities_sum_to_one(spark, documents):
     model = ngram_trie.train(documents.select("text"))
     size = model.words.size
