@@ -12,12 +12,16 @@ from tesselon.plans.roles import rounded
 query = roles.Registry()
 QUERIES, SQL = query.queries, query.sql
 
-DIMENSIONS = 16
+DIMENSIONS = 64
 FEATURES = [f"f{i}" for i in range(DIMENSIONS)]
+#: The reference's grid for forests (None: unlimited), class weights, trees, and seeds of the best settings.
+GRID = {"max_depth": (3, 5, 8, None), "min_leaf": (1, 2, 5, 10)}
+MULTIPLIERS = (0.5, 1.0, 1.5)
+TREES, SEEDS, BEST = 300, (1, 2, 3, 4, 5), 3
 
 
 def labelled(spark, sf_dir):
-    """embeddings as a feature table: 16 features, a binary label and five location folds."""
+    """embeddings as a feature table: 64 features, a binary label and five location folds."""
     e = roles.table(spark, sf_dir, "embeddings")
     columns = [F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)]
     return e.select("vec_id", *columns, (F.col("label") >= 5).cast("int").alias("label"), (F.col("vec_id") % 5).alias("fold"))
@@ -55,25 +59,32 @@ def _cv(kind: str, name: str, **p):
     return query()(run)
 
 
-_cv("rf", "rf_loto_cv", n=20, max_depth=5)
-_cv("gbt", "gbt_loto_cv", n=5, max_depth=3)
-_cv("linear", "linear_probe_cv", n=50)
-_cv("mlp", "mlp_probe_cv", n=30, hidden=8)
+_cv("rf", "rf_loto_cv", n=200)
+_cv("gbt", "gbt_loto_cv", n=200)
+_cv("linear", "linear_probe_cv", n=200)
+_cv("mlp", "mlp_probe_cv", n=200, hidden=32)
 
 
 @query()
 def grid_search(spark, sf_dir):
-    return rounded(models.grid_search(labelled(spark, sf_dir), FEATURES, "rf", {"max_depth": (3, 5), "min_leaf": (1, 4)}, (1.0,), n=8))
+    return rounded(models.grid_search(labelled(spark, sf_dir), FEATURES, "rf", GRID, MULTIPLIERS, n=TREES))
 
 
 @query()
 def seed_stability(spark, sf_dir):
-    return rounded(models.seed_stability(labelled(spark, sf_dir), FEATURES, "rf", (1, 2, 3), n=8, max_depth=4))
+    """The best settings of the grid, each over all seeds."""
+    rows, out = labelled(spark, sf_dir), None
+    for best in models.grid_search(rows, FEATURES, "rf", GRID, MULTIPLIERS, n=TREES).limit(BEST).collect():
+        depth, leaf, multiplier = best["max_depth"], int(best["min_leaf"]), best["class_weight_multiplier"]
+        found = models.seed_stability(rows, FEATURES, "rf", SEEDS, n=TREES, max_depth=None if depth is None else int(depth), min_leaf=leaf, multiplier=multiplier)
+        found = found.select(F.lit(depth).cast("double").alias("max_depth"), F.lit(leaf).alias("min_leaf"), F.lit(multiplier).alias("class_weight_multiplier"), "*")
+        out = found if out is None else out.unionByName(found)
+    return rounded(out)
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    found = models.grouped_cv(labelled(spark, sf_dir), FEATURES, "rf", n=10, max_depth=5)[1]
+    found = models.grouped_cv(labelled(spark, sf_dir), FEATURES, "rf", n=200)[1]
     return rounded(models.importances(spark, found, FEATURES))
 
 
@@ -81,7 +92,7 @@ def feature_importance(spark, sf_dir):
 def production_scoring(spark, sf_dir):
     """A model of all rows, applied to them: the summary of its scores."""
     rows = labelled(spark, sf_dir)
-    model = models.build_model("rf", FEATURES, n=20, max_depth=6).fit(models.weighted(rows))
+    model = models.build_model("rf", FEATURES, n=TREES, max_depth=8).fit(models.weighted(rows))
     return rounded(evaluation.summary(models.score(model, rows), "prob", "vec_id"))
 
 

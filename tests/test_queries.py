@@ -62,3 +62,25 @@ def test_models(spark, tmp_path):
         assert "prob" in models.score(models.build_model(kind, FEATURES[:4], **p).fit(models.weighted(rows)), rows).columns
     with pytest.raises(ValueError):
         models.build_model("svm", FEATURES)
+
+
+def test_model_queries_do_the_whole_job(spark, monkeypatch):
+    from tesselon.plans import model_queries as q
+
+    asked, seeds, schema = [], [], "max_depth double, min_leaf double, class_weight_multiplier double"
+
+    def grid(rows, features, kind, grid, multipliers, **fixed):
+        asked.append((len(features), math.prod(map(len, grid.values())) * len(multipliers), None in grid["max_depth"], fixed["n"]))
+        return spark.createDataFrame([(None, 1.0, 0.5), (3.0, 2.0, 1.0), (5.0, 5.0, 1.5), (8.0, 1.0, 1.0)], schema)
+
+    def stability(rows, features, kind, of, **p):
+        seeds.append((tuple(of), p["max_depth"], p["min_leaf"], p["multiplier"], p["n"]))
+        return spark.createDataFrame([(0.5, 0.1, len(of))], "mean double, std double, seeds long")
+
+    monkeypatch.setattr(q.models, "grid_search", grid)
+    monkeypatch.setattr(q.models, "seed_stability", stability)
+    assert q.labelled(spark, SF).columns == ["vec_id", *(f"f{i}" for i in range(64)), "label", "fold"]
+    q.grid_search(spark, SF)
+    assert q.seed_stability(spark, SF).count() == 3
+    assert asked == [(64, 48, True, 300)] * 2
+    assert seeds == [((1, 2, 3, 4, 5), d, leaf, m, 300) for d, leaf, m in ((None, 1, 0.5), (3, 2, 1.0), (5, 5, 1.5))]
