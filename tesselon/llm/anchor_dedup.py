@@ -4,8 +4,9 @@
 both at cover positions.  So of two equal runs of ``WINDOW`` = 13 words, wherever they lie, some
 7-word window lies at a cover position in both.  Only those anchors (3 of 7 positions) are hashed and
 compared at first.  Windows that contain a shared anchor are then extended to all 13 words and
-compared exactly by 64-bit hashes within buckets of a second, independent hash.  A word is removed
-if a window that covers it also starts in a document of smaller id.
+compared by 128 bits, two chains over both halves of the words' BLAKE2b digests, so no text can be
+made that loses words which no other has.  A word is removed if a window that covers it also starts
+in a document of smaller id.
 
 Cases: a null, empty or short text (under 13 words) loses nothing; rows of one doc_id don't remove
 from each other; equal rows fare alike; a null doc_id counts as smaller than all others; extra
@@ -18,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +59,7 @@ def _anchors(piece: pa.RecordBatch, chunk: int, buckets: int) -> Iterator[tuple]
     where = at - words.first[doc]
     chosen = np.isin(where % PERIOD, COVER) & (np.diff(words.first)[doc] >= WINDOW)
     doc, at = doc[chosen], at[chosen]
-    hashes = gram_hashes(words.hashes(lower=False), ANCHOR)[at]
+    hashes = gram_hashes(words.hashes(lower=False), ANCHOR, at)
     asked = exchange.Chunk(((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), hashes.astype(np.uint32), at, buckets)
     ids = piece.column("k1").to_numpy(zero_copy_only=False)
     owner = ids[np.searchsorted(words.first, asked.refs, "right") - 1]
@@ -99,10 +99,9 @@ def _windows(piece: pa.RecordBatch, chunk: int, buckets: int) -> Iterator[tuple]
     spans = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
     size = spans[:, 1] - spans[:, 0]
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - spans[:, 0], size)
-    plain = words.hashes(lower=False)
-    key = gram_hashes(plain, WINDOW, 11)[at]
-    place = gram_hashes(words.hashes(lower=False, seed=2), WINDOW, 13)[at]
-    asked = exchange.Chunk((place % np.uint64(buckets)).astype(np.int64), key, at, buckets)
+    key = gram_hashes(words.hashes(lower=False), WINDOW, at, 11)
+    check = gram_hashes(words.hashes(lower=False, half=1), WINDOW, at, 13)
+    asked = exchange.Chunk((check % np.uint64(buckets)).astype(np.int64), key, at, buckets, check)
     ids = piece.column("k1").to_numpy(zero_copy_only=False)
     owner = ids[np.searchsorted(words.first, asked.refs, "right") - 1]
     least = np.minimum.reduceat(owner, asked.starts) if len(asked.starts) else owner
@@ -126,13 +125,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = exchange.with_keys(docs)
     parts = exchange.partitions(spark, cluster.text_bytes(docs))
-    buckets = parts * exchange.BUCKETS_EACH
     schema = "k1 long, k2 long, spans binary"
-    asked = exchange.ask(keyed, _anchors, buckets)
+    asked = exchange.ask(keyed, _anchors, parts)
     near = exchange.collect_home(exchange.answer(asked, parts, exchange.reply_shared), parts, _candidates, "u1", schema)
     near = cluster.stored(near.dropDuplicates(["k1", "k2"]), "candidates")
     met = cluster.sized_join(keyed, near, ["k1", "k2"], "inner", 40, "spans")
-    asked = exchange.ask(met, _windows, buckets)
+    asked = exchange.ask(met, _windows, parts)
     found = exchange.collect_home(exchange.answer(asked, parts, exchange.reply_earlier), parts, _covered, "u1", schema)
     return cluster.stored(found.dropDuplicates(["k1", "k2"]), "removed")
 
@@ -166,9 +164,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
     spans = removed_spans(docs).select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("spans").alias(held))
     met = cluster.sized_join(exchange.named(docs, a, b), spans, [a, b], "left", 40, held)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else b" ".join(_kept(t, s)[0]).decode() for t, s in zip(texts, spans, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else b" ".join(_kept(t, s)[0]).decode() for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
     hit = F.col(held).isNotNull()
     met = met.withColumn(new, cut(F.when(hit, F.col("text")), held))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from tesselon.llm.cluster import small_batches
 from tesselon.llm.token_cache import SegmentCache
-from tesselon.llm.wordbytes import _SPACE, edges, flat, gathered, range_hashes, slices
+from tesselon.llm.wordbytes import _SPACE, coded, edges, flat, gathered, slices
 
 #: White space beyond ASCII, and the controls that some libraries count as such, in UTF-8.
 ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xe1\xa0\x8e|\xe2\x80\x8b|\xef\xbb\xbf")
@@ -120,7 +120,7 @@ def encode_array(texts: pa.Array, json: str):
     buf, offsets = flat(texts)
     cuts = segments(buf, offsets)
     ends = np.append(cuts[1:], len(buf)) if len(cuts) else cuts
-    ids, counts, shown = _codec(json)[0].ids(buf, cuts, ends, range_hashes(buf, cuts, ends))
+    ids, counts, shown = _codec(json)[0].ids(*coded(buf, cuts, ends))
     of_doc = np.searchsorted(cuts, offsets)
     upto = np.concatenate([[0], np.cumsum(counts)])[of_doc]
     return ids, np.diff(upto), shown, of_doc

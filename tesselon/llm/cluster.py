@@ -27,9 +27,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tesselon-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -68,6 +70,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of one key that a shuffled join leaves in one task; keys with more are dealt over several.
+HOT = 512
+
+
+def ways(rows):
+    """Over how many tasks a key of so many rows is dealt."""
+    return F.ceil(rows / HOT).cast("int")
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, rows: str, by: str, how: str = "inner") -> DataFrame:
+    """Join on ``key``, unique in the stored table ``small``, whose column ``rows`` counts the key's rows in ``big``.
+
+    Rows of keys with more than ``HOT`` of them are dealt over several tasks by a hash of ``by``, and the
+    other side's row is copied to each.
+    """
+    hot = small.filter(F.col(rows) > HOT).select(key, ways(F.col(rows)).alias("_ways"))
+    salt = F.pmod(F.xxhash64(by), F.coalesce("_ways", F.lit(1))).cast("int")
+    dealt = sized_join(big, hot, key, "left", 24).withColumn("_salt", salt).drop("_ways")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), ways(F.col(rows)) - 1)))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int, payload: str | None = None) -> DataFrame:
     """Join with ``small`` broadcast if its measured size allows, else shuffled.
 

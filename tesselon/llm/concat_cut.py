@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tesselon.llm import cluster
 from tesselon.llm.token_cache import SegmentCache, WordCache
-from tesselon.llm.wordbytes import Words, range_hashes, slices, split_words
+from tesselon.llm.wordbytes import Words, coded, lowered, slices, split_words
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
@@ -47,8 +47,8 @@ def _cache(path: str) -> SegmentCache:
     return _caches[path]
 
 
-def _segments(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, with a closing mark after an ASCII letter or digit split off: start, end, hash, and segments before each word."""
+def _segments(texts: pa.Array) -> tuple[Words, np.ndarray, pa.Array, np.ndarray]:
+    """Words, with a closing mark after an ASCII letter or digit split off: their numbers and distinct contents, and segments before each word."""
     words = split_words(texts)
     buf, start, end = words.buf, words.start, words.end
     split = (end - start > 1) & _CLOSING[buf[end - 1]]
@@ -59,11 +59,11 @@ def _segments(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
     starts[before[:-1]], ends[before[:-1]] = start, end - split
     starts[at], ends[at] = end[split] - 1, end[split]
     # Case in A-Z doesn't matter to ids, but it does to special tokens, which hold a '<'.
-    hashes = range_hashes(buf, starts, ends, lower=True)
+    plain = lowered(buf)
     angled = np.concatenate([[0], np.cumsum(buf == 60)])
-    exact = np.flatnonzero(angled[ends] > angled[starts])
-    hashes[exact] = range_hashes(buf, starts[exact], ends[exact], seed=3)
-    return words, starts, ends, hashes, before
+    for i in np.flatnonzero(angled[ends] > angled[starts]).tolist():
+        plain[starts[i] : ends[i]] = buf[starts[i] : ends[i]]
+    return words, *coded(plain, starts, ends), before
 
 
 def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +72,8 @@ def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndar
     The tokenizer must drop white space, ignore case and part letters, digits and marks, as the
     default one does: segments are then encoded independently.
     """
-    words, start, end, hashes, before = _segments(texts)
-    ids, counts, _ = _cache(path).ids(words.buf, start, end, hashes)
+    words, codes, contents, before = _segments(texts)
+    ids, counts, _ = _cache(path).ids(codes, contents)
     upto = np.concatenate([[0], np.cumsum(counts)])[before[words.first]]
     out = np.insert(ids, upto[1:], end_id)
     return out, np.diff(upto) + 1

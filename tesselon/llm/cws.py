@@ -58,7 +58,8 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     """16-bit samples (texts x samples)."""
     words = split_words(texts)
     n = len(words.first) - 1
-    unique, which = np.unique(words.hashes(lower=True), return_inverse=True)
+    which, unique = words.coded(lower=True)
+    unique = unique[:, 0]
     key, weight = np.unique(words.doc * max(len(unique), 1) + which, return_counts=True)
     doc, which = np.divmod(key, max(len(unique), 1))
     pair, of_pair = np.unique(which << 32 | weight, return_inverse=True)

@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm import cluster
-from tesselon.llm.wordbytes import mix64, slices
+from tesselon.llm.wordbytes import gathered, slices
 
-#: Text a partition of the exchange stands for, and buckets a partition.
+#: Text a partition of the exchange stands for, buckets a partition, and text a chunk.
 PARTITION_BYTES = 32 << 20
 BUCKETS_EACH = 4
+CHUNK_BYTES = 4 << 20
 ROWS = "place int, chunk long, bucket int, keys binary, more binary, home binary"
 _SCHEMA = pa.schema([("place", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("home", pa.binary())])
 
@@ -44,17 +45,67 @@ def named(docs: DataFrame, k1: str, k2: str) -> DataFrame:
     return docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), k2: F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
+def _murmur3(values: np.ndarray) -> np.ndarray:
+    """Spark's hash of 32-bit integers (MurmurHash3, seed 42), as unsigned."""
+    # Fixed values of MurmurHash3.
+    first, second, add, last = np.uint32(0xCC9E2D51), np.uint32(0x1B873593), np.uint32(0xE6546B64), (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
+    turned = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
+    h = np.uint32(42) ^ turned(values.astype(np.uint32) * first, 15) * second
+    h = turned(h, 13) * np.uint32(5) + add
+    h ^= np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * last[0]
+    h = (h ^ h >> np.uint32(13)) * last[1]
+    return h ^ h >> np.uint32(16)
+
+
+def places(parts: int) -> np.ndarray:
+    """For each partition an integer that ``repartition(parts, ...)`` deals to it, so that no two buckets meet by chance."""
+    out, found, at = np.full(parts, -1, np.int64), 0, 0
+    while found < parts:
+        values = np.arange(at, at + 8 * parts)
+        slot = _murmur3(values).astype(np.int32).astype(np.int64) % parts
+        ids, first = np.unique(slot, return_index=True)
+        fresh = out[ids] < 0
+        out[ids[fresh]] = values[first[fresh]]
+        found, at = int((out >= 0).sum()), at + 8 * parts
+    return out
+
+
+def _runs(bucket: np.ndarray | None, key: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal entries are together, and where each run of them begins."""
+
+    def begins(order: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in columns:
+            own = c[order]
+            new[1:] |= own[1:] != own[:-1]
+        return new
+
+    if key.dtype.itemsize <= 4:
+        order = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | key.astype(np.uint64), kind="stable")
+    else:
+        order = np.lexsort((key, bucket)) if bucket is not None else np.argsort(key, kind="stable")
+    columns = [c for c in (bucket, key) if c is not None]
+    new = begins(order, columns)
+    if check is not None:
+        whole = begins(order, [*columns, check])
+        if (whole != new).any():  # two features share the key: the check parts them
+            order = np.lexsort((check, *columns[::-1]))
+            whole = begins(order, [*columns, check])
+        new = whole
+    return order, new
+
+
 class Chunk:
-    """Entries of one chunk in the order of (bucket, key)."""
+    """Entries of one chunk in the order of (bucket, key); a ``check`` of 64 bits more tells equal keys apart."""
 
-    def __init__(self, bucket: np.ndarray, key: np.ndarray, refs: np.ndarray, buckets: int):
-        order = np.lexsort((key, bucket)) if key.dtype.itemsize > 4 else np.argsort(bucket.astype(np.uint64) << np.uint64(32) | key.astype(np.uint64), kind="stable")
-        bucket, key, refs = bucket[order], key[order], refs[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
-        self.starts = np.flatnonzero(new)
-        self.new, self.refs, self.buckets = new, refs, buckets
-        self.bucket, self.key = bucket[self.starts], key[self.starts]
+    def __init__(self, bucket: np.ndarray, key: np.ndarray, refs: np.ndarray, buckets: int, check: np.ndarray | None = None):
+        order, self.new = _runs(bucket, key, check)
+        self.refs, self.buckets = refs[order], buckets
+        self.starts = np.flatnonzero(self.new)
+        one = order[self.starts]
+        self.bucket, self.key = bucket[one], key[one] if check is None else np.stack([key[one], check[one]], 1)
 
     def rows(self, chunk: int, more: np.ndarray, header: list[np.ndarray]) -> Iterator[tuple]:
         """``more``: one value a distinct hash, sent along; ``header``: arrays that the home row keeps."""
@@ -64,7 +115,12 @@ class Chunk:
         wide = "<u2" if not len(self.refs) or self.refs.max() < 1 << 16 else "<u4"
         blobs = [np.frombuffer(wide.encode(), np.uint8), self.refs.astype(wide), np.packbits(self.new), *header]
         sizes = np.array([len(blobs), *[b.nbytes for b in blobs]], np.int64)
-        yield int(mix64(np.array([chunk], np.uint64))[0] % np.uint64(self.buckets)), chunk, -1, None, None, sizes.tobytes() + b"".join(b.tobytes() for b in blobs)
+        yield home(chunk), chunk, -1, None, None, sizes.tobytes() + b"".join(b.tobytes() for b in blobs)
+
+
+def home(chunk: int) -> int:
+    """The number that deals a chunk's home row: tasks and the chunks of a task follow each other."""
+    return 31 * (chunk >> 32) + (chunk & 0xFFFFFFFF)
 
 
 class Home:
@@ -98,14 +154,15 @@ def _batches(rows: Iterator[tuple], size: int = 64) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def ask(docs: DataFrame, questions: Callable[[pa.RecordBatch, int, int], Iterator[tuple]], buckets: int, text: str = "text") -> DataFrame:
+def ask(docs: DataFrame, questions: Callable[[pa.RecordBatch, int, int], Iterator[tuple]], parts: int, text: str = "text") -> DataFrame:
     """Question and home rows; ``questions(batch, chunk, buckets)`` makes those of one chunk."""
+    buckets, at = parts * BUCKETS_EACH, places(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for piece in slices(batch, text):
-                yield from _batches(questions(piece, base + n, buckets))
+        for batch in gathered(batches, text, CHUNK_BYTES):
+            for piece in slices(batch, text, CHUNK_BYTES):
+                yield from _batches((int(at[row[0] % parts]), *row[1:]) for row in questions(piece, base + n, buckets))
                 n += 1
 
     return docs.mapInArrow(run, ROWS)
@@ -113,30 +170,30 @@ def ask(docs: DataFrame, questions: Callable[[pa.RecordBatch, int, int], Iterato
 
 def answer(asked: DataFrame, parts: int, reply: Callable[[list[bytes], list[bytes]], list[np.ndarray]]) -> DataFrame:
     """``reply(keys, more)`` of a bucket, a list item a chunk, gives an array a chunk; home rows pass through."""
+    at = places(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, []
+        bucket, held = None, []
 
         def flush() -> Iterator[tuple]:
             if held:
                 found = reply([h[1] for h in held], [h[2] for h in held])
                 for (chunk, keys, _), a in zip(held, found, strict=True):
-                    yield place, chunk, place, keys, a.tobytes(), None
+                    yield int(at[home(chunk) % parts]), chunk, bucket, keys, a.tobytes(), None
 
         for batch in batches:
             for i in range(batch.num_rows):
-                row = [batch.column(j)[i] for j in range(6)]
-                here = row[0].as_py()
-                if here != place:
+                chunk, here = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                if here < 0:
+                    yield from _batches(iter([(int(at[home(chunk) % parts]), chunk, here, None, None, batch.column(5)[i].as_py())]))
+                    continue
+                if here != bucket:
                     yield from _batches(flush())
-                    place, held = here, []
-                if row[2].as_py() < 0:
-                    yield batch.slice(i, 1)
-                else:
-                    held.append((row[1].as_py(), row[3].as_py(), row[4].as_py()))
+                    bucket, held = here, []
+                held.append((chunk, batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
         yield from _batches(flush())
 
-    return asked.repartition(parts, "place").sortWithinPartitions("place", "bucket", "chunk").mapInArrow(run, ROWS)
+    return asked.repartition(parts, "place").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ROWS)
 
 
 def collect_home(answered: DataFrame, parts: int, finish: Callable[[Home, np.ndarray, list[tuple[int, bytes]]], pa.RecordBatch], dtype: str, schema: str) -> DataFrame:
@@ -159,7 +216,7 @@ def collect_home(answered: DataFrame, parts: int, finish: Callable[[Home, np.nda
         if home is not None:
             yield finish(Home(home), np.frombuffer(b"".join(found), dtype), keys)
 
-    return answered.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
+    return answered.repartition(parts, "place").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
 
 
 def reply_shared(keys: list[bytes], more: list[bytes]) -> list[np.ndarray]:
@@ -180,10 +237,12 @@ def reply_classes(keys: list[bytes], more: list[bytes]) -> list[np.ndarray]:
 
 
 def reply_earlier(keys: list[bytes], more: list[bytes]) -> list[np.ndarray]:
-    """1 where another chunk asked the 64-bit key for a smaller document id (``more``: 64-bit ids)."""
-    sizes = [len(k) // 8 for k in keys]
-    _, which = np.unique(np.frombuffer(b"".join(keys), "<u8"), return_inverse=True)
+    """1 where another chunk asked the 128-bit key for a smaller document id (``more``: 64-bit ids)."""
+    sizes = [len(k) // 16 for k in keys]
+    pairs = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+    order, new = _runs(None, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
     ids = np.frombuffer(b"".join(more), "<i8")
-    least = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, which, ids)
-    return np.split((least[which] < ids).astype(np.uint8), np.cumsum(sizes)[:-1])
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    out = np.empty(len(ids), np.uint8)
+    out[order] = least < ids[order]
+    return np.split(out, np.cumsum(sizes)[:-1])

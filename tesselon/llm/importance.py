@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.llm import cluster, exchange
-from tesselon.llm.wordbytes import _SPACE, edges, flat, mix64, range_hashes, slices
+from tesselon.llm.wordbytes import _SPACE, coded, edges, flat, lowered, mix64, range_hashes, slices
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 12
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
@@ -77,12 +77,13 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, end = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     order = np.argsort(start, kind="stable")
     start, end = start[order], end[order]
-    add(start, range_hashes(buf, start, end, lower=True), 0, WORD_BUCKETS)
+    small = lowered(buf)
+    add(start, range_hashes(small, start, end), 0, WORD_BUCKETS)
 
     start, end = edges(~_SPACE[buf], offsets)
     same = np.zeros(len(start), bool)
-    hashes = range_hashes(buf, start, end, lower=True)
-    same[1:] = hashes[1:] == hashes[:-1]
+    codes = coded(small, start, end)[0]
+    same[1:] = codes[1:] == codes[:-1]
     size = end - start
     upper, digits, inside = _counts(_UPPER[buf], start, end), _counts(_DIGIT[buf], start, end), _counts(marks, start, end)
     first_upper = _UPPER[buf[start]] if len(start) else np.zeros(0, bool)

@@ -17,12 +17,17 @@ fewer words).  Documents link when 100 * |intersection| >= 75 * |union|.
 4. *Verifying.*  In each round a signature's members are compared, exactly, with one leader; what
    is known to be linked needs no further comparison.  After ``LEADER_ROUNDS``, sets that share a
    signature but no component are compared: with components of several sets in blocks of members,
-   so no row is made a pair, and single sets with each other once.  No link is lost.
+   so no row is made a pair, and single sets with each other, where they are many in blocks too.
+   No link is lost.  A signature that more than ``cluster.HOT`` sets have is dealt over several tasks.
+
+Shingles are 64-bit chains over the words' BLAKE2b digests, and equal sets have equal 128-bit digests
+of their shingles; texts can't be made to share them.
 
 Cases: null, empty and wordless texts have n_shingles 0 and are their own component; a document is
 a doc_id and a text, so rows that share a doc_id (or have none) but not the text are different
 documents, grouped by links alone; a null doc_id counts as the least, its component is null; equal
-rows get equal results; extra columns are not read; no rows give no rows.
+rows get equal results; a very long text is a chunk by itself; extra columns are not read; no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tesselon.llm import cluster, exchange
 from tesselon.llm.components import components
-from tesselon.llm.wordbytes import gram_hashes, gram_positions, mix64, slices, split_words
+from tesselon.llm.wordbytes import digests, gram_hashes, gram_positions, mix64, slices, split_words
 
 SHINGLE = 5
 NEED, OF = 75, 100
@@ -47,8 +52,6 @@ GROUP = 4
 LEADER_ROUNDS = 2
 #: Members of a component that are compared with an asked set in one go.
 MEMBERS = 64
-#: Members of a leader's group that one task compares.
-SALT = 32
 _NULL_ID = -(1 << 63)
 
 
@@ -57,12 +60,13 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     words = split_words(texts)
     plain = words.hashes(lower=True)
     doc, at = gram_positions(words.first, n)
-    grams = gram_hashes(plain, n)[at]
     counts = np.diff(words.first)
-    short = np.flatnonzero((counts > 0) & (counts < n))
-    if len(short):
-        own = np.array([gram_hashes(plain[words.first[i] : words.first[i + 1]], int(counts[i]), 100 + int(counts[i]))[0] for i in short.tolist()], np.uint64)
-        doc, grams = np.concatenate([doc, short]), np.concatenate([grams, own])
+    docs, parts = [doc], [gram_hashes(plain, n, at)]
+    for m in range(1, n):
+        short = np.flatnonzero(counts == m)
+        docs.append(short)
+        parts.append(gram_hashes(plain, m, words.first[short], 100 + m))
+    doc, grams = np.concatenate(docs), np.concatenate(parts)
     order = np.lexsort((grams, doc))
     doc, grams = doc[order], grams[order]
     new = np.ones(len(doc), bool)
@@ -79,16 +83,6 @@ def _extra(n: np.ndarray) -> np.ndarray:
     return np.maximum(n // 4, 1)
 
 
-def _sums(doc: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two order-free 64-bit hashes of each document's set."""
-    cuts = np.searchsorted(doc, np.arange(n + 1))
-    out = []
-    for salt in (0x1234567, 0x89ABCDE):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(grams ^ np.uint64(salt)), dtype=np.uint64)])
-        out.append((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))
-    return out[0], out[1]
-
-
 def _screen(piece: pa.RecordBatch, chunk: int, buckets: int) -> Iterator[tuple]:
     doc, grams = shingle_sets(piece.column("text"))
     rows = piece.num_rows
@@ -111,19 +105,18 @@ def _screened(home: exchange.Home, shared: np.ndarray, _keys: list) -> pa.Record
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """k1, k2, h1, h2 (hashes of the set), n and the shingles as sorted 64-bit integers."""
+    """k1, k2, h1, h2 (halves of the set's digest), n and the shingles as sorted 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 doc, grams = shingle_sets(piece.column("text"))
-                n = piece.num_rows
-                h1, h2 = _sums(doc, grams, n)
-                cuts = np.searchsorted(doc, np.arange(n + 1))
+                cuts = np.searchsorted(doc, np.arange(piece.num_rows + 1))
                 at = (cuts * 8).tolist()
                 raw = grams.astype("<u8").tobytes()
                 sets = pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column("k1"), piece.column("k2"), pa.array(h1), pa.array(h2), pa.array(np.diff(cuts)), sets], names=["k1", "k2", "h1", "h2", "n", "grams"])
+                names = digests(sets).view("<i8")
+                yield pa.RecordBatch.from_arrays([piece.column("k1"), piece.column("k2"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(np.diff(cuts)), sets], names=["k1", "k2", "h1", "h2", "n", "grams"])
 
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, h1 long, h2 long, n long, grams binary")
 
@@ -213,8 +206,7 @@ def links(n_a: np.ndarray, n_b: np.ndarray, both: np.ndarray) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """The pairs (leader, id) that link.  A hot leader's members are spread over ``SALT`` tasks."""
-    pairs = pairs.select("leader", "id", F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("salt"))
+    """Of the distinct pairs (leader, id, salt) those that link.  ``salt`` spreads a hot leader's members over tasks."""
     # After the members' join, each row holds one set; each leader comes once for each of its tasks.
     members = pairs.join(sets, "id").select("leader", "salt", "id", F.lit(1).alias("kind"), "grams")
     heads = pairs.select("leader", "salt").distinct().join(sets.withColumnRenamed("id", "leader"), "leader").select("leader", "salt", F.col("leader").alias("id"), F.lit(0).alias("kind"), "grams")
@@ -282,44 +274,67 @@ def _blocked(asked: DataFrame, members: DataFrame, parts: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
+def _dealt(index: DataFrame) -> DataFrame:
+    """The rows of signatures that several sets have, with ``ways`` and ``salt``: how many tasks share the signature, and this row's."""
+    size = cluster.stored(index.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared")
+    met = cluster.spread_join(index, size, "sig", "m", "id").withColumn("ways", cluster.ways(F.col("m")))
+    return cluster.stored(met.withColumn("salt", F.pmod(F.xxhash64("id"), "ways").cast("int")).drop("m"), "index")
+
+
+def _copied(groups: DataFrame) -> DataFrame:
+    """A row of a signature for each of the tasks that share it."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+
+
 def _rest(member: DataFrame, sets: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """Links between different components that share a signature.
 
     In each signature the largest component is set apart; each other member is compared with
     every member of the components of several sets (in blocks) that are larger than its own, and
-    single sets are compared with each other at their first common signature.
+    single sets are compared with each other: in pairs, which are made distinct before a set is read,
+    or in blocks of members where a signature has more than ``MEMBERS`` single sets.
     """
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    member = cluster.stored(member.join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))), "sized")
+    on = ["sig", "salt"]
+    counted = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    held = member.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = cluster.stored(held.join(counted, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))), "sizes")
+    member = cluster.stored(cluster.spread_join(member, sizes, "component", "rows", "id").drop("rows"), "sized")
     rank = F.struct("size", "component")
-    top = member.groupBy("sig").agg(F.max(rank).alias("top"))
-    minor = cluster.stored(member.join(top, "sig").filter(rank < F.col("top")).select("sig", "id", "n", "shared", "component", "size"), "minor")
+    top = _copied(member.groupBy("sig").agg(F.max(rank).alias("top"), F.max("ways").alias("ways")))
+    minor = cluster.stored(member.join(top, on).filter(rank < F.col("top")).drop("top"), "minor")
 
-    large = member.filter("size > 1").select("sig", F.col("component").alias("c"), F.col("size").alias("csize")).distinct()
-    asked = minor.join(large, "sig").filter(F.struct("size", "component") < F.struct("csize", "c")).select("id", "c", "csize").distinct()
+    large = _copied(member.filter("size > 1").select("sig", "ways", F.col("component").alias("c"), F.col("size").alias("csize")).distinct())
+    asked = minor.join(large, on).filter(F.struct("size", "component") < F.struct("csize", "c")).select("id", "c", "csize").distinct()
     asked = cluster.stored(asked, "asked")
     blocks = lambda size: F.ceil(size / MEMBERS).cast("int")
     spread = asked.select("id", F.col("c").alias("component"), F.explode(F.sequence(F.lit(0), blocks(F.col("csize")) - 1)).alias("block"))
-    sought = asked.select(F.col("c").alias("component"), "csize").distinct()
-    members = labels.join(sought, "component").select("component", F.pmod(F.xxhash64("id"), blocks(F.col("csize"))).cast("int").alias("block"), "id")
+    sought = cluster.stored(asked.select(F.col("c").alias("component"), "csize").distinct(), "sought")
+    members = cluster.spread_join(labels, sought, "component", "csize", "id").select("component", F.pmod(F.xxhash64("id"), blocks(F.col("csize"))).cast("int").alias("block"), "id")
     found = cluster.stored(_blocked(spread.join(sets, "id"), members.join(sets, "id"), parts), "links")
 
-    # Single sets: the signatures of each travel with it, so that a pair meets once.
-    alone = member.filter("size = 1")
-    own = alone.groupBy("id").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
-    alone = cluster.stored(alone.join(own, "id").select("sig", "id", "n", "shared", "sigs"), "single")
-    other = alone.select(F.col("sig").alias("lsig"), F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("shared").alias("ls"), F.col("sigs").alias("lsigs"))
-    first = F.element_at(F.array_intersect("sigs", "lsigs"), 1)  # in the order of the sorted lists
-    on = F.expr("sig = lsig and id > leader and " + _fit("n", "ln", "shared", "ls")) & (first == F.col("sig"))
-    pairs = cluster.stored(alone.join(other, on).select("leader", "id"), "pairs")
-    return found.union(cluster.stored(_verified(pairs, sets, parts), "links"))
+    alone = member.filter("size = 1").select("sig", "ways", "salt", "id", "n", "shared")
+    groups = alone.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max("ways").alias("ways"), F.sum(F.xxhash64("id") % (1 << 40)).alias("a"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("b"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("m > 1")
+    groups = cluster.stored(groups, "single")
+    few = _copied(groups.filter(F.col("m") <= MEMBERS).select("sig", "ways"))
+    left = alone.join(few, on).drop("salt", "ways")
+    right = left.select("sig", F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("shared").alias("ls"))
+    pairs = left.join(right, "sig").filter(F.expr("id > leader and " + _fit("n", "ln", "shared", "ls"))).select("leader", "id", F.lit(0).alias("salt")).distinct()
+    found = found.union(cluster.stored(_verified(cluster.stored(pairs, "pairs"), sets, parts), "links"))
+
+    # Of signatures with the same single sets one suffices.
+    many = groups.filter(F.col("m") > MEMBERS).groupBy("m", "a", "b", "lo", "hi").agg(F.min(F.struct("sig", "ways")).alias("one")).select("one.*", "m")
+    own = cluster.stored(alone.drop("ways").join(_copied(many), on).select(F.col("sig").alias("component"), F.pmod(F.xxhash64("id", F.lit(2)), blocks(F.col("m"))).cast("int").alias("block"), "id", "m"), "blocks")
+    later = own.select("component", F.explode(F.sequence(F.col("block"), blocks(F.col("m")) - 1)).alias("block"), "id")
+    if own.limit(1).count():
+        met = _blocked(later.join(sets, "id"), own.drop("m").join(sets, "id"), parts).filter("a <> b")
+        found = found.union(cluster.stored(met, "links"))
+    return found
 
 
 def _linked(index: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """(id, component) of every set that links with another."""
     spark = index.sparkSession
-    size = index.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    index = cluster.stored(index.join(size, "sig").drop("m"), "index")
+    index = _dealt(index)
     labels = spark.createDataFrame([], "id long, component long")
     edges = spark.createDataFrame([], "a long, b long")
     for turn in range(LEADER_ROUNDS + 1):
@@ -329,16 +344,18 @@ def _linked(index: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
             F.min(F.struct(order.alias("o"), "id", "n", "shared", "component")).alias("head"),
             F.min("component").alias("lo"),
             F.max("component").alias("hi"),
+            F.max("ways").alias("ways"),
         )
         state = cluster.stored(state.filter("lo <> hi").drop("lo", "hi"), "groups")
         if not state.limit(1).count():
             break
         if turn == LEADER_ROUNDS:
-            open_ = cluster.stored(member.join(state.select("sig"), "sig", "left_semi"), "open")
+            open_ = cluster.stored(member.join(_copied(state.select("sig", "ways")), ["sig", "salt"]), "open")
             new = _rest(open_, sets, labels, parts)
         else:
-            pairs = member.join(state, "sig").select("id", "n", "shared", "component", F.col("head.id").alias("leader"), F.col("head.n").alias("ln"), F.col("head.shared").alias("ls"), F.col("head.component").alias("lc"))
-            pairs = pairs.filter("component <> lc and " + _fit("n", "ln", "shared", "ls")).select(F.least("leader", "id").alias("leader"), F.greatest("leader", "id").alias("id")).distinct()
+            pairs = member.drop("ways").join(_copied(state.select("sig", "ways", "head")), ["sig", "salt"])
+            pairs = pairs.select("id", "n", "shared", "component", "salt", F.col("head.id").alias("leader"), F.col("head.n").alias("ln"), F.col("head.shared").alias("ls"), F.col("head.component").alias("lc"))
+            pairs = pairs.filter("component <> lc and " + _fit("n", "ln", "shared", "ls")).groupBy("leader", "id").agg(F.max("salt").alias("salt"))
             new = cluster.stored(_verified(cluster.stored(pairs, "pairs"), sets, parts), "links")
         edges = edges.union(new)
         labels = components(edges)
@@ -372,8 +389,7 @@ def _documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = exchange.with_keys(docs)
     parts = exchange.partitions(spark, cluster.text_bytes(docs))
-    buckets = parts * exchange.BUCKETS_EACH
-    asked = exchange.answer(exchange.ask(keyed, _screen, buckets), parts, exchange.reply_shared)
+    asked = exchange.answer(exchange.ask(keyed, _screen, parts), parts, exchange.reply_shared)
     every = cluster.stored(exchange.collect_home(asked, parts, _screened, "u1", "k1 long, k2 long, n long, alive boolean"), "screened")
     alive = cluster.stored(every.filter("alive").select("k1", "k2").distinct(), "alive")
     rows = cluster.stored(_set_rows(cluster.sized_join(keyed, alive, ["k1", "k2"], "inner", 40)).dropDuplicates(["k1", "k2"]), "sets")
@@ -381,7 +397,7 @@ def _documents(docs: DataFrame) -> DataFrame:
     same = rows.groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2")).alias("first"))
     same = cluster.stored(same.select("h1", "h2", "first.k1", "first.k2", F.monotonically_increasing_id().alias("id")), "equal")
     sets = cluster.sized_join(rows.select("k1", "k2", "grams"), same.select("k1", "k2", "id"), ["k1", "k2"], "inner", 48).select("id", "grams")
-    asked = exchange.answer(exchange.ask(sets, _classes, buckets, "grams"), parts, exchange.reply_classes)
+    asked = exchange.answer(exchange.ask(sets, _classes, parts, "grams"), parts, exchange.reply_classes)
     index = cluster.stored(exchange.collect_home(asked, parts, _signatures, "u1", "sig long, id long, n long, shared long"), "signatures")
     labels = _linked(index, sets, parts)
 

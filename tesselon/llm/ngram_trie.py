@@ -65,11 +65,16 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes, end tokens among them, and the first token of each text (one more at the end)."""
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct tokens, the number of each token (end tokens among them), and each text's first token (one more at the end)."""
     words = split_words(texts)
-    hashes = np.insert(words.hashes(lower=True), words.first[1:], np.uint64(_END_HASH))
-    return hashes, words.first + np.arange(len(words.first))
+    codes, names = words.coded(lower=True)
+    every = np.append(names[:, 0], np.uint64(_END_HASH))
+    order = np.argsort(every)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    which = np.insert(place[codes], words.first[1:], place[-1])
+    return every[order], which, words.first + np.arange(len(words.first))
 
 
 # -- level 1: words -----------------------------------------------------------------------------------
@@ -90,7 +95,8 @@ def _word_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
 
     for batch in gathered(batches, "text", SCORE_SLICE):
         for piece in slices(batch, "text"):
-            held.append(np.unique(token_hashes(piece.column("text"))[0], return_counts=True))
+            unique, which, _ = token_hashes(piece.column("text"))
+            held.append((unique, np.bincount(which, minlength=len(unique))))
             size += len(held[-1][0])
             if size > 2_000_000:
                 held = [_merge(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]))]
@@ -255,8 +261,7 @@ def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
 def _gram_rows(batches: Iterator[pa.RecordBatch], words: Words, spread: Spread) -> Iterator[pa.RecordBatch]:
     for batch in gathered(batches, "text", SCORE_SLICE):
         for piece in slices(batch, "text", SCORE_SLICE):
-            hashes, first = token_hashes(piece.column("text"))
-            unique, which = np.unique(hashes, return_inverse=True)
+            unique, which, first = token_hashes(piece.column("text"))
             w = words.find(unique)[0][which]
             u, v = _contexts(w, first, words.start)
             rows = []
@@ -489,8 +494,7 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
         start_count = words.find(np.array([_END_HASH], np.uint64))[1][0] if words.size else 0
         for batch in gathered(batches, "text", SCORE_SLICE):
             for piece in slices(batch, "text", SCORE_SLICE):
-                hashes, first = token_hashes(piece.column("text"))
-                unique, which = np.unique(hashes, return_inverse=True)
+                unique, which, first = token_hashes(piece.column("text"))
                 ids, counts = words.find(unique)
                 w, c = ids[which], counts[which]
                 u, v = _contexts(w, first, words.start)

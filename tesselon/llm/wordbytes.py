@@ -1,15 +1,17 @@
 """Vectorised word handling over Arrow string columns.
 
-Texts stay UTF-8 bytes in one numpy buffer per slice; words are byte ranges and are
-identified by 64-bit hashes from prefix sums, so no Python object is made per word.
-Every helper takes the slice as the unit of memory: ``slices`` cuts a record batch at
-``max_bytes`` of text (a longer single text is a slice by itself).
+Texts stay UTF-8 bytes in one numpy buffer per slice; words are byte ranges.  Within a slice Arrow's
+dictionary encoding tells them apart by their bytes; beyond it a word is named by two 64-bit halves
+of a BLAKE2b digest, computed once for each distinct word of a slice, so no text can be made whose
+words are mistaken for others.  Every helper takes the slice as the unit of memory: ``slices`` cuts
+a record batch at ``max_bytes`` of text (a longer single text is a slice by itself).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,8 @@ SLICE_BYTES = 2 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -32,32 +35,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_table(seed: int, lower: bool) -> np.ndarray:
-    table = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * seed)) * _MULT)
-    if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-def _power_table(n: int, kind: str) -> np.ndarray:
-    """Powers of an odd multiplier (or of its inverse) modulo 2**64, grown on demand."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = int(_MULT) if kind == "up" else pow(int(_MULT), -1, 1 << 64)
-        size = max(n, SLICE_BYTES + 1024)
-        out = np.empty(size, np.uint64)
-        out[0] = 1
-        filled = 1
-        while filled < size:
-            step = min(filled, size - filled)
-            out[filled : filled + step] = out[:step] * np.uint64(pow(base, filled, 1 << 64))
-            filled += step
-        if size <= 2 * SLICE_BYTES:
-            _powers[kind] = out
-        have = out
-    return have
-
-
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return
@@ -96,6 +73,39 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[buf]
+
+
+def coded(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Ascending byte ranges that don't overlap: (number of each range's content, the distinct contents)."""
+    if not len(start):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    data = buf[start[0] : end[-1]]
+    if offsets[-1] != len(data):
+        step = np.zeros(len(data) + 1, np.int8)
+        step[start - start[0]] = 1
+        step[end - start[0]] -= 1
+        data = data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def digests(contents: pa.Array) -> np.ndarray:
+    """Two 64-bit names of each content, one a column, from its BLAKE2b digest."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(x, digest_size=16).digest() for x in contents.to_pylist()]), "<u8").reshape(-1, 2)
+
+
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each byte range (as for ``coded``)."""
+    codes, contents = coded(buf, start, end)
+    return digests(contents)[codes, 0]
+
+
 @dataclass
 class Words:
     buf: np.ndarray
@@ -103,13 +113,22 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # of each document: index of its first word; one more at the end
+    _coded: dict = field(default_factory=dict)
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self, lower: bool, seed: int = 1) -> np.ndarray:
-        return range_hashes(self.buf, self.start, self.end, lower, seed)
+    def coded(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word, names of the distinct words); A-Z count as a-z if ``lower``."""
+        if lower not in self._coded:
+            codes, contents = coded(lowered(self.buf) if lower else self.buf, self.start, self.end)
+            self._coded[lower] = codes, digests(contents)
+        return self._coded[lower]
+
+    def hashes(self, lower: bool, half: int = 0) -> np.ndarray:
+        codes, names = self.coded(lower)
+        return names[codes, half]
 
 
 def edges(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,33 +154,17 @@ def split_words(texts: pa.Array) -> Words:
     return Words(buf, offsets, start, end, np.searchsorted(start, offsets))
 
 
-def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of byte ranges of ``buf``; A-Z count as a-z if ``lower``."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    n = len(buf)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    value = _byte_table(seed, lower)[buf]
-    value *= _power_table(n, "up")[:n]
-    np.cumsum(value, out=sums[1:])
-    out = sums[end] - sums[start]
-    out *= _power_table(n, "down")[start]
-    out += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(out)
+def gram_hashes(words: np.ndarray, n: int, at: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hashes of the n consecutive word names that begin at each of the positions ``at``.
 
-
-def gram_hashes(words: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
-    """Hashes of n consecutive word hashes, at every position where n remain (documents not regarded)."""
-    m = len(words) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    factor = int(mix64(np.array([2 * seed + 7], np.uint64))[0]) | 1
-    out = np.zeros(m, np.uint64)
+    Each step multiplies and folds the high bits back, so the hash is no linear function of the names.
+    """
+    out = np.full(len(at), mix64(np.array([2 * seed + 7], np.uint64))[0])
     for k in range(n):
-        out *= np.uint64(factor)
-        out += words[k : k + m]
-    return mix64(out + np.uint64(seed))
+        out ^= words[at + k]
+        out *= _MULT
+        out ^= out >> np.uint64(32)
+    return mix64(out)
 
 
 def gram_positions(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
