@@ -258,6 +258,8 @@ def _blocked(asked: DataFrame, members: DataFrame, parts: int) -> DataFrame:
                 if kinds[i] == 0:
                     held.append((ids[i], grams.copy()))
                     continue
+                if not held:  # a block that no member fell into
+                    continue
                 if ready is None:
                     tokens = np.concatenate([g for _, g in held])
                     order = np.argsort(tokens, kind="stable")
