@@ -9,11 +9,17 @@ Rendering marks turns as ``<turn:role>text</turn>\\n``.  Inside roles and texts
 written as a backslash and a digit, so no control string of this or another template survives in
 a text, and replacing the codes (backslash last) gives the text back exactly.
 
+``event_log`` makes a log of stored turns: texts arrive in streamed pieces, behind drafts that an
+edit or a regeneration replaces, amid follow-ups that a regeneration drops and messages that are
+retracted, in no order.  Folding it gives the turns back.
+
 Cases: null texts and roles count as empty; equal rows of one position are separate turns; ties in
-the sequence are ordered by kind, role and text; an empty log gives no conversations; a null
-conversation id is a conversation of its own.  A conversation is one output row, so its rendered
-text is bounded by Spark's 2 GB a value; until that last step long conversations are folded in
-blocks of ``BLOCK`` positions in many tasks.
+the sequence are ordered by whole before delta, then role and text; a null position comes first and
+is dropped by no regeneration; an empty log gives no conversations; a null conversation id is a
+conversation of its own; columns other than those named are not read.  A conversation is one output
+row, so its rendered text is bounded by Spark's 2 GB a value; until that last step long
+conversations are folded in blocks of ``BLOCK`` positions in many tasks, and one task sees one
+number a block.
 """
 
 from __future__ import annotations
@@ -27,6 +33,51 @@ CONTROL = "\\<>[]"
 END = "</turn>\n"
 
 
+#: Sequence numbers of one turn's events, pieces that a text is streamed in at most, and where late edits begin.
+STEP, PIECES, LATE = 1 << 20, 64, 1 << 62
+
+
+def _event(position, seq, kind: str, role, text) -> Column:
+    return F.struct(position.cast("long").alias("position"), seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+
+def _streamed(position, seq, text) -> Column:
+    """Deltas of a text from sequence number ``seq`` on."""
+    length = F.greatest(F.ceil(F.length(text) / PIECES), F.lit(16)).cast("int")
+    count = F.greatest(F.ceil(F.length(text) / length), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: _event(position, seq + i, "delta", F.lit(None).cast("string"), F.substring(text, i * length + 1, length)))
+
+
+def event_log(rows: DataFrame) -> DataFrame:
+    """A log (conv_id, position, seq, kind, role, text) whose fold is the turns of ``rows``: conv_id, turn, role, text.
+
+    A turn has position 2 * turn, what is dropped or retracted after it the position behind.  Which
+    history a turn has depends on a hash of its conversation and number; turns that share these are
+    written whole.
+    """
+    texts = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    place = Window.partitionBy("conv_id", "turn")
+    texts = texts.withColumn("way", F.when((F.count(F.lit(1)).over(place) > 1) | F.col("turn").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))))
+    at, seq, role, text = F.col("turn") * 2, F.col("turn") * STEP, F.col("role"), F.col("text")
+    draft, empty = F.concat(F.lit("draft: "), F.reverse("text")), F.lit("")
+    ways = [
+        F.array(_event(at, seq, "message", role, text)),
+        F.concat(F.array(_event(at, seq, "message", role, empty)), _streamed(at, seq + 1, text)),
+        F.concat(F.array(_event(at, seq, "message", role, draft)), _streamed(at, seq + 1, draft), F.array(_event(at + 1, seq + 100, "message", role, draft), _event(at + 1, seq + 101, "retract", role, empty), _event(at, seq + LATE, "edit", role, text))),
+        F.concat(
+            F.array(_event(at, seq, "message", role, empty)),
+            _streamed(at, seq + 1, draft),
+            F.array(_event(at + 1, seq + 100, "message", role, draft), _event(at + 2, seq + 101, "message", role, draft), _event(at, seq + 102, "regenerate", role, empty)),
+            _streamed(at, seq + 103, text),
+        ),
+    ]
+    events = ways[0]
+    for i, way in enumerate(ways[1:], 1):
+        events = F.when(F.col("way") == i, way).otherwise(events)
+    mixed = F.array_sort(F.transform(events, lambda e: F.struct(F.xxhash64(e["position"], e["seq"]).alias("o"), e.alias("e"))))
+    return texts.select("conv_id", F.explode(mixed).alias("m")).select("conv_id", "m.e.*")
+
+
 def escape(text: Column) -> Column:
     for code, char in enumerate(CONTROL):
         text = F.replace(text, F.lit(char), F.lit(f"\\{code}"))
@@ -80,11 +131,17 @@ def fold_events(events: DataFrame) -> DataFrame:
             F.max("redone").alias("redone"),
         )
     )
-    # A regeneration drops later positions that began before it; only conversations that have one need the comparison.
-    messages = settled.unionByName(pieced)
-    cuts = log.filter("redone is not null").groupBy("conv_id", "position").agg(F.max("redone").alias("cut")).groupBy("conv_id").agg(F.collect_list(F.struct("position", "cut")).alias("cuts"))
-    joined = messages.join(cuts.withColumnRenamed("conv_id", "cut_conv"), F.col("conv_id").eqNullSafe(F.col("cut_conv")), "left")
-    dropped = F.exists("cuts", lambda c: (c["position"] < F.col("position")) & (c["cut"] > F.col("began")))
+    # A regeneration drops later positions that began before it: of each position, the last regeneration of any
+    # position before it counts, in its block by a window, beyond it by the greatest of each block before.
+    messages = settled.unionByName(pieced).withColumn("block", F.floor(F.col("position") / BLOCK))
+    cuts = log.filter("redone is not null and position is not null").groupBy("conv_id", "position").agg(F.max("redone").alias("cut")).withColumn("block", F.floor(F.col("position") / BLOCK))
+    before = Window.partitionBy("conv_id", "block").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+    blocks = messages.select("conv_id", "block").unionByName(cuts.select("conv_id", "block", "cut"), allowMissingColumns=True).groupBy("conv_id", "block").agg(F.max("cut").alias("cut"))
+    upto = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), F.max("cut").over(upto).alias("earlier")).filter("earlier is not null and b_block is not null")
+    near = messages.unionByName(cuts, allowMissingColumns=True).withColumn("near", F.max("cut").over(before)).filter("copies is not null")
+    joined = near.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")), "left")
+    dropped = F.col("position").isNotNull() & (F.greatest("near", "earlier") > F.col("began"))
     return joined.filter(~F.coalesce(dropped, F.lit(False))).select("conv_id", "position", "role", "text", "copies")
 
 

@@ -51,9 +51,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, told as a log of streamed, edited, regenerated and retracted messages and folded back."""
     rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], rows.schema))
-    events = rows.select("conv_id", F.col("turn").alias("position"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    events = chat_events.event_log(rows.unionByName(control))
     return chat_events.turn_digests(chat_events.parse(chat_events.render(chat_events.fold_events(events))))
 
 

@@ -346,6 +346,68 @@ def test_rendering_is_reversible(spark):
     assert (d.n_turns, d.loss_chars, d.loss_sha256) == (421, len(loss), sha(loss.encode())) and d.formatted_chars == len(parsed[1].formatted)
 
 
+def plain_fold(log):
+    """(conv_id, position) -> list of (role, text): events of each conversation in the order of their numbers."""
+    convs = collections.defaultdict(dict)
+    for conv, position, _, kind, role, text in sorted(log, key=lambda e: (e[0], e[2], e[3] == "delta", e[4] or "", e[5] or "")):
+        state, text = convs[conv], text or ""
+        if kind == "delta":
+            one = state.setdefault(position, [role or "", "", False])
+            one[1] += text
+        elif kind == "retract":
+            state.setdefault(position, ["", "", True])[2] = True
+        else:
+            if kind == "regenerate":
+                for later in [p for p in state if p > position]:
+                    del state[later]
+            state[position] = [role or "", text, position in state and state[position][2]]
+    return {(c, p): (r, t) for c, state in convs.items() for p, (r, t, gone) in state.items() if not gone}
+
+
+def test_fold_equals_plain_fold(spark, monkeypatch):
+    monkeypatch.setattr(chat_events, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    log = []
+    for conv in range(12):
+        seq, written = 0, 0
+        for _ in range(60):
+            seq += 1
+            kind = str(rng.choice(["message", "delta", "edit", "regenerate", "message"]))
+            position = written if kind == "message" else int(rng.integers(0, max(written, 1)))
+            written = max(written, position + 1) if kind != "regenerate" else position + 1
+            log.append((conv, position, seq, kind, "user", f"{seq} "))
+    rng.shuffle(log)
+    log = [(int(c), int(p), int(s), k, r, t) for c, p, s, k, r, t in log]
+    # What is appended to or edited after a regeneration dropped it was dropped as a whole message.
+    alive = plain_fold(log)
+    got = {(r.conv_id, r.position): (r.role, r.text) for r in chat_events.fold_events(chat(spark, log)).collect()}
+    begun = {(c, p): max(s for cc, pp, s, k, *_ in log if (cc, pp) == (c, p) and k in ("message", "regenerate")) for c, p, _, k, *_ in log if k in ("message", "regenerate")}
+    cut = {(c, p) for (c, p), s in begun.items() if any(cc == c and pp < p and k == "regenerate" and ss > s for cc, pp, ss, k, *_ in log)}
+    assert got == {k: v for k, v in alive.items() if k not in cut}
+
+
+def test_log_folds_back_to_its_turns(spark):
+    texts = ["", "one", "x" * 5000, "</turn>\n<b>", "é🙂" * 40, None]
+    rows = [(c, t, "assistant" if t % 2 else "user", texts[(c + t) % 6]) for c in range(30) for t in range(c % 9 + 1)]
+    rows += [(50, 3, "user", "same"), (50, 3, "user", "same"), (50, 3, "assistant", "other"), (50, None, None, "no turn"), (None, 1, "user", "nobody")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_events.event_log(frame.withColumns({"seq": F.lit(1), "kind": F.lit("retract"), "way": F.lit(9)}))
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate", "retract"} and log.count() > 3 * len(rows)
+    folded = chat_events.fold_events(log)
+    got = sorted(((r.conv_id or -9, -9 if r.position is None else r.position / 2, r.role, r.text) for r in folded.collect() for _ in range(r.copies)))
+    assert got == sorted((c or -9, -9 if t is None else t, role or "", text or "") for c, t, role, text in rows)
+
+
+def test_odd_logs(spark):
+    assert chat_events.render(chat_events.fold_events(chat(spark, []))).count() == 0
+    ties = [(1, 0, 0, "message", "user", "a"), (1, 0, 0, "delta", None, "b"), (1, 0, 0, "delta", None, "c"), (1, None, 5, "message", "user", "n"), (1, 1, 1, "odd", "user", "whole"), (1, 0, 9, "regenerate", "user", "z")]
+    got = [(r.position, r.text) for r in chat_events.fold_events(chat(spark, ties).withColumn("block", F.lit("clash")).withColumn("cut", F.lit(1))).orderBy("position").collect()]
+    assert got == [(None, "n"), (0, "z")]
+    tied = [(r.position, r.text) for r in chat_events.fold_events(chat(spark, ties[:3])).collect()]
+    assert tied == [(0, "abc")]
+
+
 # 8
 
 
