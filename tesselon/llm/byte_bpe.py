@@ -9,8 +9,8 @@ Decoding looks ids up in the byte table and joins bytes, so a character that tok
 back whole; ``decode_pieces`` does so for a stream, holding incomplete characters back.
 
 Cases: null or empty texts have no ids; equal rows give equal rows; a text that holds other than
-ASCII white space is encoded as one segment; no rows give no rows; further columns are kept by
-``encode`` only if listed, so their names can't clash.
+ASCII white space is encoded as one segment; a very long text is a slice by itself; no rows give no
+rows; further columns are kept by ``encode`` only if listed, so their names can't clash.
 """
 
 from __future__ import annotations

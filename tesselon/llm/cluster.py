@@ -59,6 +59,20 @@ def parts_for(spark: SparkSession, total_bytes: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_bytes / each), 1)
 
 
+def place_among(value, bounds: list, literal=F.lit):
+    """How many of the sorted ``bounds`` are at most ``value``: found in two steps, so a row costs about 2 sqrt(n) comparisons."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    upto = lambda edges: F.size(F.filter(edges, lambda b: b <= value))
+    ends = F.array(*[literal(g[-1]) for g in groups[:-1]]) if len(groups) > 1 else None
+    if ends is None:
+        return upto(F.array(*[literal(b) for b in bounds]))
+    at = upto(ends)
+    return at * width + upto(F.get(F.array(*[F.array(*[literal(b) for b in g]) for g in groups]), at))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have (in any case), made from these."""
     taken, out = {c.lower() for c in df.columns}, []

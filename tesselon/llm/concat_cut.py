@@ -37,11 +37,21 @@ _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _caches: dict[str, SegmentCache] = {}
 
 
+def _check(tokenizer, path: str) -> None:
+    """Raise unless words, with a closing mark split off and in either case, are encoded independently."""
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    word, mark, other = ids("walk"), ids(","), ids("b2b")
+    for text, want in (("WaLK", word), ("  walk\n\t walk ", word + word), ("walk,", word + mark), ("walk, B2B walk", word + mark + other + word), ("b2b,", other + mark)):
+        if ids(text) != want:
+            raise ValueError(f"the tokenizer of {path} doesn't ignore case and white space or doesn't part words from marks")
+
+
 def _cache(path: str) -> SegmentCache:
     if path not in _caches:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        _check(tokenizer, path)
         word_end = getattr(tokenizer.model, "end_of_word_suffix", None)
         _caches[path] = WordCache(tokenizer, MARK, word_end) if word_end else SegmentCache(tokenizer, MARK)
     return _caches[path]
@@ -69,8 +79,8 @@ def _segments(texts: pa.Array) -> tuple[Words, np.ndarray, pa.Array, np.ndarray]
 def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, each closed by ``end_id``, and the count of each.
 
-    The tokenizer must drop white space, ignore case and part letters, digits and marks, as the
-    default one does: segments are then encoded independently.
+    The tokenizer must drop white space, ignore case and part words from closing marks, as the
+    default one does (it is tried when it is loaded): segments are then encoded independently.
     """
     words, codes, contents, before = _segments(texts)
     ids, counts, _ = _cache(path).ids(codes, contents)

@@ -9,7 +9,8 @@ A fingerprint writes 16 bits a sample, so ``likeness`` is biased upwards by 2**-
 
 Cases: a null, empty or wordless text is the set of one pseudo-word, so such texts agree with each
 other and with nothing else; equal texts have equal fingerprints; ties in the minimum fall to the
-smaller sample hash; a very long text is sampled in blocks of its words.
+smaller sample hash; a very long text is sampled in blocks of its words; a repeated row is followed
+by its copy; no rows give no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.cluster import parts_for, small_batches
+from tesselon.llm.cluster import parts_for, place_among, small_batches
 from tesselon.llm.wordbytes import mix64, slices, split_words
 
 SAMPLES = 64
@@ -107,11 +108,10 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     least = -(1 << 63)
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(least)))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = min(4096, 2 * parts_for(spark, int(size), 64 << 20))
+    ranges = 2 * parts_for(spark, int(size), 64 << 20)
     probs = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("key", probs, 20_000)).first()[0] or [])) if probs else []
-    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.expr("cast(array() as array<bigint>)")
-    rows = rows.withColumn("band", F.size(F.filter(edges, lambda b: b > F.col("key"))))  # 0 holds the greatest ids
+    bounds = sorted(set(rows.agg(F.percentile_approx("key", probs, max(20_000, 20 * ranges))).first()[0] or [])) if probs else []
+    rows = rows.withColumn("band", F.lit(len(bounds)) - place_among(F.col("key"), bounds))  # 0 holds the greatest ids
     heads = {r["band"]: r["key"] for r in rows.groupBy("band").agg(F.max("key").alias("key")).collect()}  # one row a range
     present = sorted(heads)
     if not present:

@@ -2,19 +2,29 @@
 
 Two generative models give each document a log importance weight, the sum over its grams of
 log(p_target / p_raw).  The raw model counts the grams of all documents, the target model those of
-labelled documents that are good (quality 1) and not toxic; folds other than ``HELD_OUT`` train.
+labelled documents that are good (quality 1) and not toxic, in the folds that ``FITS`` names.
 Grams are hashed into a fixed number of buckets: runs of letters or of marks and their bigrams
 (lower-cased), and, apart from these, word shapes (case, digits, marks, length, repetition) and their
-bigrams.  Each weight gets Gumbel noise drawn from a hash of the document, and the k documents of
-greatest noisy weight are the sample: weights decide, noise draws among near-equals.
-
-k may be given.  By default it is the number of documents above the noisy weight that separates
-the held-out labelled documents best (mean of both classes' recalls) while ``KEEP`` of the good pass;
-where a range of weights separates them equally well, its middle on the logarithmic scale.
+bigrams.
+
+A sum over grams that aren't independent is far too sure of itself, so the weight is tempered: it
+is divided by the grams (and ``SHORT`` more, which draws short texts to the middle) and by a
+temperature, under which the calibration fold's labels (fold ``CALIBRATES``) lie ``GAP`` units apart
+(all documents' standard deviation takes the place of a smaller distance).
+Each tempered weight gets Gumbel noise, whose unit is the same, drawn from a hash of the document and
+the seed, and the k documents of greatest noisy weight are the sample: a draw of k without
+replacement in proportion to the tempered ratios.  Noise decides among near-equals, so another seed
+gives another sample; what lies many units below the others hardly ever gets in.
+
+k may be given.  By default it is the number of documents whose tempered weight without noise is no
+more than ``MARGIN`` units below that which all but ``LOSE`` of the calibration fold's good ones
+reach (Gumbel noise below -3 has a probability of 2e-9).  Fold ``HELD_OUT`` has no part in any of
+this, so its labels measure the result.
 
 Cases: a null or empty text has weight 0; equal rows have equal keys and are kept or dropped
-together (so ties may exceed k); no labels, or none good, keep everything; a null doc_id has no label;
-no rows give none; extra columns pass through ``select_documents`` untouched.
+together (so ties may exceed k); no good or no bad labels in the folds used keep everything; a null
+doc_id has no label; a very long text is a slice by itself; no rows give none; extra columns pass
+through ``select_documents`` untouched.
 """
 
 from __future__ import annotations
@@ -36,10 +46,11 @@ BLOCK = 1 << 10
 SMOOTHING = 0.5
 #: Text a task holds as grams at a time.
 SLICE = 1 << 20
-KEEP = 0.995
-FOLDS, HELD_OUT = 5, 1
-#: Bins of the signed logarithm of a key: at most about a thousand.
-FINENESS = 40
+#: Folds (crc32 of the id as text, mod 5): the target model's, the one that sets temperature and k, and the untouched one.
+FOLDS, FITS, CALIBRATES, HELD_OUT = 5, (0, 3, 4), 2, 1
+SHORT = 16
+#: Units between the good labels' quantile ``LOSE`` and the bad labels' quantile 1 - ``BAD``, and k's distance below the former.
+GAP, MARGIN, LOSE, BAD = 8.0, 3.0, 0.005, 0.05
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -84,6 +95,8 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     same = np.zeros(len(start), bool)
     codes = coded(small, start, end)[0]
     same[1:] = codes[1:] == codes[:-1]
+    if len(start):
+        same[np.searchsorted(start, offsets[:-1]).clip(max=len(start) - 1)] = False  # a text's first word repeats none
     size = end - start
     upper, digits, inside = _counts(_UPPER[buf], start, end), _counts(_DIGIT[buf], start, end), _counts(marks, start, end)
     first_upper = _UPPER[buf[start]] if len(start) else np.zeros(0, bool)
@@ -105,8 +118,8 @@ def _labelled(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return cluster.sized_join(keyed, cluster.stored(marks, "labels"), "k1", "left", 24).select("k1", "k2", "text", "good")
 
 
-def _trains():
-    return F.crc32(F.col("k1").cast("string").cast("binary")) % FOLDS != HELD_OUT
+def _fold():
+    return (F.crc32(F.col("k1").cast("string").cast("binary")) % FOLDS).cast("int")
 
 
 def ratios(rows: DataFrame) -> np.ndarray | None:
@@ -133,7 +146,7 @@ def ratios(rows: DataFrame) -> np.ndarray | None:
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), *(pa.array([s[i].tobytes() for s in sums.values()], pa.binary()) for i in (0, 1))], names=["block", "raw", "target"])
 
     schema = "block int, raw binary, target binary"
-    counted = rows.select("text", (F.coalesce(F.col("good") == 1, F.lit(False)) & _trains()).alias("target")).mapInArrow(count, schema)
+    counted = rows.select("text", (F.coalesce(F.col("good") == 1, F.lit(False)) & _fold().isin(*FITS)).alias("target")).mapInArrow(count, schema)
     blocks = BUCKETS // BLOCK
     found = counted.repartition(blocks, "block").mapInArrow(add, schema).collect()  # BUCKETS numbers twice, whatever the input
     both = np.zeros((2, BUCKETS))
@@ -154,7 +167,7 @@ def gumbel(k1: np.ndarray, k2: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def weighed(docs: DataFrame, labels: DataFrame | None, seed: int = 0) -> DataFrame:
-    """A stored table of k1, k2, good, trains, n_grams, log_weight and key (the weight with noise)."""
+    """A stored table of k1, k2, good, fold, n_grams, log_weight, mean (per gram) and noise."""
     rows = _labelled(docs, labels)
     table = ratios(rows)
     table = np.zeros(BUCKETS) if table is None else table
@@ -163,38 +176,27 @@ def weighed(docs: DataFrame, labels: DataFrame | None, seed: int = 0) -> DataFra
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
                 doc, bucket = grams(piece.column("text"))
-                n = piece.num_rows
-                weight = np.bincount(doc, table[bucket], n)
+                n = np.bincount(doc, minlength=piece.num_rows)
+                weight = np.bincount(doc, table[bucket], piece.num_rows)
                 k1, k2 = (piece.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2"))
-                columns = [piece.column("k1"), piece.column("k2"), piece.column("good"), piece.column("trains"), pa.array(np.bincount(doc, minlength=n)), pa.array(weight), pa.array(weight + gumbel(k1, k2, seed))]
-                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "good", "trains", "n_grams", "log_weight", "key"])
-
-    out = rows.withColumn("trains", _trains()).select("k1", "k2", "good", "trains", "text")
-    return cluster.stored(out.mapInArrow(run, "k1 long, k2 long, good int, trains boolean, n_grams long, log_weight double, key double"), "weights")
-
-
-def _bin(key):
-    return F.floor(F.signum(key) * F.log1p(F.abs(key)) * FINENESS).cast("long")
-
+                columns = [*(piece.column(c) for c in ("k1", "k2", "good", "fold")), *(pa.array(c) for c in (n, weight, weight / (n + SHORT), gumbel(k1, k2, seed)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "good", "fold", "n_grams", "log_weight", "mean", "noise"])
 
-def _bin_start(b: int) -> float:
-    return math.copysign(math.expm1(abs(b) / FINENESS), b)
+    out = rows.withColumn("fold", _fold()).select("k1", "k2", "good", "fold", "text")
+    return cluster.stored(out.mapInArrow(run, "k1 long, k2 long, good int, fold int, n_grams long, log_weight double, mean double, noise double"), "weights")
 
 
-def separating_key(weights: DataFrame, keep: float = KEEP) -> float:
-    """Least key to keep, from the held-out labelled documents."""
-    rows = weights.filter("good is not null and not trains").groupBy(_bin(F.col("key")).alias("b")).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).orderBy("b").collect()
-    good, bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
-    if not good or not bad:
-        return -math.inf
-    best, at, below_good, below_bad, before = 0.5, -math.inf, 0, 0, None
-    for r in rows:
-        if below_good <= (1 - keep) * good and before is not None:
-            value = ((good - below_good) / good + below_bad / bad) / 2
-            if value > best:
-                best, at = value, _bin_start((before + 1 + r["b"]) // 2)
-        below_good, below_bad, before = below_good + r["good"], below_bad + r["bad"], r["b"]
-    return at
+def calibration(weights: DataFrame) -> tuple[float, float]:
+    """(temperature, least tempered weight that k counts), by the calibration fold or, if a class is missing there, all folds but the held-out one."""
+    for folds in ((CALIBRATES,), (*FITS, CALIBRATES)):
+        rows = weights.filter(F.col("fold").isin(*folds))
+        quantile = lambda good, p: F.percentile_approx(F.when(F.col("good") == good, F.col("mean")), p, 100_000)
+        good, bad = rows.agg(quantile(1, LOSE), quantile(0, 1 - BAD)).first()
+        if good is not None and bad is not None:
+            spread = weights.agg(F.stddev_pop("mean")).first()[0]  # classes that overlap don't make the weights surer
+            temperature = max(good - bad, spread, 1e-6) / GAP
+            return temperature, good / temperature - MARGIN
+    return 1.0, -math.inf
 
 
 def top_k(weights: DataFrame, k: int) -> DataFrame:
@@ -224,26 +226,26 @@ def top_k(weights: DataFrame, k: int) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame | None, k: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(kept, all) weights; ``k`` documents, or as many as the labels suggest."""
+    """(kept, all) weights with ``tempered`` and ``key``; ``k`` documents, or as many as the labels suggest."""
     weights = weighed(docs, labels, seed)
+    temperature, least = calibration(weights)
+    weights = weights.withColumn("tempered", F.col("mean") / temperature).withColumn("key", F.col("tempered") + F.col("noise"))
     if k is None:
-        k = weights.filter(F.col("key") >= separating_key(weights)).count()
+        k = weights.filter(F.col("tempered") >= least).count()
     return top_k(weights, k), weights
 
 
-def selected(docs: DataFrame, labels: DataFrame | None, k: int | None = None) -> DataFrame:
-    """The sample: doc_id, n_grams, log_weight and key of each kept row."""
-    kept, _ = sample(docs, labels, k)
-    return kept.select(F.when(F.col("k1") != -(1 << 63), F.col("k1")).alias("doc_id"), "n_grams", "log_weight", "key")
+def selected(docs: DataFrame, labels: DataFrame | None, k: int | None = None, seed: int = 0) -> DataFrame:
+    """The sample: doc_id, n_grams, log_weight, tempered and key of each kept row."""
+    kept, _ = sample(docs, labels, k, seed)
+    return kept.select(F.when(F.col("k1") != -(1 << 63), F.col("k1")).alias("doc_id"), "n_grams", "log_weight", "tempered", "key")
 
 
 def select_documents(docs: DataFrame, labels: DataFrame | None, k: int | None = None) -> DataFrame:
     """The kept rows of ``docs`` with their columns."""
     kept, weights = sample(docs, labels, k)
-    gone = weights.join(kept.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti") if k is not None else None
-    if gone is None:
-        least = kept.agg(F.min("key")).first()[0]
-        gone = weights.filter(F.col("key") < least) if least is not None else weights
+    least = kept.agg(F.min("key")).first()[0]
+    gone = weights.filter(F.col("key") < least) if least is not None else weights
     a, b = cluster.fresh(docs, "_k1", "_k2")
     gone = cluster.stored(gone.select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "rejected")
     return cluster.sized_join(exchange.named(docs, a, b), gone, [a, b], "left_anti", 40).drop(a, b)

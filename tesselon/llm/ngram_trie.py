@@ -6,9 +6,10 @@ probability p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), the model interpolates hie
     p2(w | v)    = (c(v w) + M2 p1(w)) / (c(v) + M2)
     p3(w | u v)  = (c(u v w) + M3 p2(w | v)) / (c(u v) + M3)
 
-where c(u v) sums the trigrams that are kept: all with ``least_trigram=1``, as the query does, else those
-seen that often.  Both sum to one over the V known tokens and one unknown.  Counts are gathered by hash from all training texts into buckets, each of
-which writes one file of every level to the cluster's shared folder:
+where c(u v) sums the trigrams that are kept: all, unless a caller asks for those seen ``least_trigram``
+times.  Both sum to one over the V known tokens and one unknown.  Counts are gathered by hash from
+all training texts into buckets, each of which writes one file of every level to the cluster's
+shared folder:
 
 * *words*: sorted hashes and exact counts; a word's id is its place among all.
 * *pairs*: words v, their successors w and quantised c(v w) / (c(v) + M2).
@@ -23,7 +24,8 @@ Scoring tasks map the files (no task holds a level in its own memory) and sort t
 bucket.  The shared folder must be a mounted path (a ``file:`` URL or plain path).
 
 Cases: a null or empty text is its end token alone; no training rows give N = V = 0 and base score 0;
-equal texts have equal scores; extra columns are not read; a long text is scored in a slice by itself.
+equal texts have equal scores; a null doc_id is never held out; extra columns are not read; a long
+text is scored in a slice by itself; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ from tesselon.llm import cluster, elias_fano, exchange
 from tesselon.llm.wordbytes import gathered, mix64, slices, split_words
 
 M2, M3 = 200.0, 4.0
-#: Count from which trigrams are kept, if the caller names none.
-LEAST_TRIGRAM = 2
+#: Count from which trigrams are kept, if the caller names none: all are.
+LEAST_TRIGRAM = 1
 #: Quantised values: 16 bits over log10 from -LOWEST to 0.
 LOWEST = 12.0
 FOLDS, HELD_OUT = 5, 1

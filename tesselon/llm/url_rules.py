@@ -6,12 +6,13 @@ a rule's host has a key in the interval ``[key(rule), key(rule) with the last '.
 key order needs one stack slot for each label count that rules have: the last rule host begun at
 that depth, still active while its end lies ahead.  The sweep is one window over each key range.
 
-Only DataFrame functions are used.  Key ranges come from a sample of at most
-``SAMPLE_PER_RANGE`` keys a range (it sets the division of work only, never results); a key that
-many pages share is divided further by a hash of the URL.
+Only DataFrame functions are used.  Key ranges, twice the session's shuffle partitions, come from a
+sample of about ``SAMPLE_PER_RANGE`` keys a range (it sets the division of work only, never results);
+a key that many pages share is divided further by a hash of the URL.
 
 Cases: a null URL or one without ``://`` has empty host and path, no rule and the default
-verdict; repeated rows stay repeated; no pages or no rules give an empty or rule-less result;
+verdict; repeated rows stay repeated; of rules of equal length the longer host wins, then ``block``;
+a very long URL or host is a key like others; no pages or no rules give an empty or rule-less result;
 further columns of the input are not read, so their names can't clash.
 """
 
@@ -22,8 +23,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesselon.llm.cluster import place_among
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_RANGES = 1024
 SAMPLE_PER_RANGE = 20
 
 
@@ -83,7 +85,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: Seque
     )
     depths = [r[0] for r in by_host.select("depth").distinct().orderBy("depth").collect()]  # label counts: 127 at most by the DNS
 
-    ranges = max(1, min(MAX_RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = points.count()
     want = ranges * SAMPLE_PER_RANGE
     sample = points.select("_key", "_salt").sample(min(1.0, 2.0 * want / max(total, 1)), 7).limit(2 * want).collect()
@@ -91,10 +93,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: Seque
     bounds = [sample[i * len(sample) // ranges][1:] for i in range(1, ranges)] if len(sample) >= ranges else []
 
     def range_of(key: Column, salt: Column) -> Column:
-        if not bounds:
-            return F.lit(0)
-        edges = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in bounds])
-        return F.size(F.filter(edges, lambda b: b <= F.struct(key.alias("k"), salt.alias("s"))))
+        return place_among(F.struct(key.alias("k"), salt.alias("s")), bounds, lambda b: F.struct(F.lit(b[0]).alias("k"), F.lit(b[1]).alias("s")))
 
     low, high = F.lit(-(1 << 63)).cast("long"), F.lit((1 << 63) - 1).cast("long")
     points = points.withColumn("_range", range_of(F.col("_key"), F.col("_salt"))).withColumn("_kind", F.lit(1))
