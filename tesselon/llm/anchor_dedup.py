@@ -193,7 +193,7 @@ def _finish(docs: DataFrame, removed: DataFrame, keep_text: bool) -> DataFrame:
                     out.append(joined.decode() if keep_text else hashlib.sha256(joined).hexdigest())
                 yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "k1", "k2", "n_words", "n_removed", last.name])
 
-    out = met.mapInArrow(run, f"doc_id long, k1 long, k2 long, n_words long, n_removed long, {last.name} string")
+    out = met.mapInArrow(cluster.tidy(run), f"doc_id long, k1 long, k2 long, n_words long, n_removed long, {last.name} string")
     return out if keep_text else out.drop("k1", "k2")
 
 

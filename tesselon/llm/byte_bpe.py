@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesselon.llm.cluster import small_batches
+from tesselon.llm.cluster import small_batches, tidy
 from tesselon.llm.token_cache import SegmentCache
 from tesselon.llm.wordbytes import _SPACE, coded, edges, flat, gathered, slices
 
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in (ids.astype(np.int32), ends)]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *lists], names=[*keep, "ids", "byte_ends"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def decode_bytes(ids: Iterable[int], table: list[bytes]) -> bytes:
@@ -183,4 +183,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +16,36 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 
-#: Rows of an Arrow batch.  Rows hold whole texts or packed blobs, so batches of the session's default can take
-#: hundreds of MB on either side of the Python boundary.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch.  Rows hold whole texts or packed blobs, so the default, 64 MB, takes hundreds of MB on
+#: either side of the Python boundary.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS`` if it is larger (it stays so: results are lazy)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(key))
-    if rows <= 0 or rows > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Bound the bytes of the session's Arrow batches, if they may be larger (it stays so: results are lazy)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = spark.conf.get(key, None)
+    if most is None or not most.rstrip("bB").isdigit() or int(most.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def release() -> None:
+    """Give memory that is free inside this Python worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """``run``, a function for mapInArrow, whose worker keeps no free memory when a task ends."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return outer
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -114,7 +114,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 )
                 seen += int(ends[-1])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, local_start long, doc_id long, doc_tokens long, width int, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cluster.tidy(run), "part int, local_start long, doc_id long, doc_tokens long, width int, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_LENGTH) -> DataFrame:
@@ -150,4 +150,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_LENGTH) ->
             types = [pa.int64()] * 7 + [pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids_width", "ids"])
 
-    return table.select("part", "local_start", "doc_id", "doc_tokens", "width", "ids").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids_width int, ids binary")
+    return table.select("part", "local_start", "doc_id", "doc_tokens", "width", "ids").mapInArrow(cluster.tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids_width int, ids binary")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.cluster import parts_for, place_among, small_batches
+from tesselon.llm.cluster import parts_for, place_among, small_batches, tidy
 from tesselon.llm.wordbytes import mix64, slices, split_words
 
 SAMPLES = 64
@@ -133,7 +133,7 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 held = ids[-1], texts[-1], bands[-1], copy[-1]
                 yield from _pairs(ids, texts, copy, samples)
 
-    return dealt.select("doc_id", "text", "band", "copy").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.select("doc_id", "text", "band", "copy").mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _pairs(ids: list, texts: list[str], copy: list[int], samples: int) -> Iterator[pa.RecordBatch]:
@@ -166,4 +166,4 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
             for piece in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(hex_rows(signatures(piece.column("text"), samples)), pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run), "doc_id long, fingerprint string")

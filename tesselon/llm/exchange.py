@@ -163,9 +163,10 @@ def ask(docs: DataFrame, questions: Callable[[pa.RecordBatch, int, int], Iterato
         for batch in gathered(batches, text, CHUNK_BYTES):
             for piece in slices(batch, text, CHUNK_BYTES):
                 yield from _batches((int(at[row[0] % parts]), *row[1:]) for row in questions(piece, base + n, buckets))
+                cluster.release()
                 n += 1
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(cluster.tidy(run), ROWS)
 
 
 def answer(asked: DataFrame, parts: int, reply: Callable[[list[bytes], list[bytes]], list[np.ndarray]]) -> DataFrame:
@@ -189,11 +190,12 @@ def answer(asked: DataFrame, parts: int, reply: Callable[[list[bytes], list[byte
                     continue
                 if here != bucket:
                     yield from _batches(flush())
+                    cluster.release()
                     bucket, held = here, []
                 held.append((chunk, batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
         yield from _batches(flush())
 
-    return asked.repartition(parts, "place").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ROWS)
+    return asked.repartition(parts, "place").sortWithinPartitions("bucket", "chunk").mapInArrow(cluster.tidy(run), ROWS)
 
 
 def collect_home(answered: DataFrame, parts: int, finish: Callable[[Home, np.ndarray, list[tuple[int, bytes]]], pa.RecordBatch], dtype: str, schema: str) -> DataFrame:
@@ -207,6 +209,7 @@ def collect_home(answered: DataFrame, parts: int, finish: Callable[[Home, np.nda
                 if here != chunk:
                     if home is not None:
                         yield finish(Home(home), np.frombuffer(b"".join(found), dtype), keys)
+                        cluster.release()
                     chunk, home, found, keys = here, None, [], []
                 if batch.column(2)[i].as_py() < 0:
                     home = batch.column(5)[i].as_py()
@@ -216,7 +219,7 @@ def collect_home(answered: DataFrame, parts: int, finish: Callable[[Home, np.nda
         if home is not None:
             yield finish(Home(home), np.frombuffer(b"".join(found), dtype), keys)
 
-    return answered.repartition(parts, "place").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
+    return answered.repartition(parts, "place").sortWithinPartitions("chunk", "bucket").mapInArrow(cluster.tidy(run), schema)
 
 
 def reply_shared(keys: list[bytes], more: list[bytes]) -> list[np.ndarray]:

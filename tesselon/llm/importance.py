@@ -146,9 +146,9 @@ def ratios(rows: DataFrame) -> np.ndarray | None:
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), *(pa.array([s[i].tobytes() for s in sums.values()], pa.binary()) for i in (0, 1))], names=["block", "raw", "target"])
 
     schema = "block int, raw binary, target binary"
-    counted = rows.select("text", (F.coalesce(F.col("good") == 1, F.lit(False)) & _fold().isin(*FITS)).alias("target")).mapInArrow(count, schema)
+    counted = rows.select("text", (F.coalesce(F.col("good") == 1, F.lit(False)) & _fold().isin(*FITS)).alias("target")).mapInArrow(cluster.tidy(count), schema)
     blocks = BUCKETS // BLOCK
-    found = counted.repartition(blocks, "block").mapInArrow(add, schema).collect()  # BUCKETS numbers twice, whatever the input
+    found = counted.repartition(blocks, "block").mapInArrow(cluster.tidy(add), schema).collect()  # BUCKETS numbers twice, whatever the input
     both = np.zeros((2, BUCKETS))
     for r in found:
         both[:, r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["raw"], np.int64), np.frombuffer(r["target"], np.int64)
@@ -183,7 +183,7 @@ def weighed(docs: DataFrame, labels: DataFrame | None, seed: int = 0) -> DataFra
                 yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "good", "fold", "n_grams", "log_weight", "mean", "noise"])
 
     out = rows.withColumn("fold", _fold()).select("k1", "k2", "good", "fold", "text")
-    return cluster.stored(out.mapInArrow(run, "k1 long, k2 long, good int, fold int, n_grams long, log_weight double, mean double, noise double"), "weights")
+    return cluster.stored(out.mapInArrow(cluster.tidy(run), "k1 long, k2 long, good int, fold int, n_grams long, log_weight double, mean double, noise double"), "weights")
 
 
 def calibration(weights: DataFrame) -> tuple[float, float]:

@@ -118,7 +118,7 @@ def _set_rows(docs: DataFrame) -> DataFrame:
                 names = digests(sets).view("<i8")
                 yield pa.RecordBatch.from_arrays([piece.column("k1"), piece.column("k2"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(np.diff(cuts)), sets], names=["k1", "k2", "h1", "h2", "n", "grams"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, h1 long, h2 long, n long, grams binary")
+    return docs.select("k1", "k2", "text").mapInArrow(cluster.tidy(run), "k1 long, k2 long, h1 long, h2 long, n long, grams binary")
 
 
 def _classes(piece: pa.RecordBatch, chunk: int, buckets: int) -> Iterator[tuple]:
@@ -229,7 +229,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
                     found.append((leader, ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(cluster.tidy(run), "a long, b long")
 
 
 def _fit(n: str, m: str, s: str, t: str) -> str:
@@ -273,7 +273,7 @@ def _blocked(asked: DataFrame, members: DataFrame, parts: int) -> DataFrame:
                 found += [(held[m][0], ids[i]) for m in np.flatnonzero(links(sizes, len(grams), both)).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(cluster.tidy(run), "a long, b long")
 
 
 def _dealt(index: DataFrame) -> DataFrame:

@@ -433,8 +433,8 @@ def train(texts: DataFrame, least_trigram: int = LEAST_TRIGRAM) -> Model:
             elias_fano.save(f"{folder}/words-{bucket}", {"hash": found, "count": count})
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([int(count.sum())], pa.int64())], names=["bucket", "n", "total"])
 
-    packed = texts.select("text").mapInArrow(words_of, "bucket int, keys binary, counts binary")
-    written = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write_words, "bucket int, n long, total long").collect()  # one row a bucket
+    packed = texts.select("text").mapInArrow(cluster.tidy(words_of), "bucket int, keys binary, counts binary")
+    written = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(cluster.tidy(write_words), "bucket int, n long, total long").collect()  # one row a bucket
     sizes = {r["bucket"]: r["n"] for r in written}
     offsets = [0, *np.cumsum([sizes.get(b, 0) for b in range(buckets)]).tolist()]
     words = Words(folder, offsets, sum(r["total"] for r in written))
@@ -450,7 +450,7 @@ def train(texts: DataFrame, least_trigram: int = LEAST_TRIGRAM) -> Model:
                     at = np.flatnonzero(count >= share)
                     yield pa.RecordBatch.from_arrays([pa.array(at + offsets[b]), pa.array(count[at])], names=["id", "count"])
 
-    hot = {r["id"]: int(np.ceil(r["count"] / share)) for r in spark.range(buckets).mapInArrow(frequent, "id long, count long").collect()}
+    hot = {r["id"]: int(np.ceil(r["count"] / share)) for r in spark.range(buckets).mapInArrow(cluster.tidy(frequent), "id long, count long").collect()}
     texts_read = words.find(np.array([_END_HASH], np.uint64))[1][0] if words.size else 0
     if texts_read >= share:
         hot[words.start] = int(np.ceil(texts_read / share))
@@ -473,8 +473,8 @@ def train(texts: DataFrame, least_trigram: int = LEAST_TRIGRAM) -> Model:
             size = elias_fano.save(f"{folder}/level{kind}-{bucket}", arrays)
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([len(arrays["q"])], pa.int64()), pa.array([size], pa.int64())], names=["level", "n", "bytes"])
 
-    packed = texts.select("text").mapInArrow(grams_of, "bucket int, keys binary")
-    packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write_levels, "level int, n long, bytes long").groupBy("level").agg(F.sum("n"), F.sum("bytes")).collect()
+    packed = texts.select("text").mapInArrow(cluster.tidy(grams_of), "bucket int, keys binary")
+    packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(cluster.tidy(write_levels), "level int, n long, bytes long").groupBy("level").agg(F.sum("n"), F.sum("bytes")).collect()
     return Model(words, spread)
 
 
@@ -516,7 +516,7 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
                 columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(base), words.total)), pa.array(base), pa.array(total)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return texts.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.select("doc_id", "held_out", "text").mapInArrow(cluster.tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def scored(docs: DataFrame, least_trigram: int = LEAST_TRIGRAM) -> DataFrame:
