@@ -8,7 +8,11 @@ import uuid
 
 import numpy as np
 
-_HALVES = [(np.uint64(w), np.uint64((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1)]
+_BYTES = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
+_ODD, _PAIRS, _LOWS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+#: By 8 * byte + rank: the place of the byte's set bit of that rank.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
 
 
 def save(path: str, arrays: dict[str, np.ndarray]) -> int:
@@ -43,28 +47,40 @@ def encode(name: str, values: np.ndarray, universe: int) -> dict[str, np.ndarray
     low = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
     high = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
     words = np.zeros((n + (universe >> low) + 1) // 64 + 2, np.uint64)
-    np.bitwise_or.at(words, high >> 6, np.uint64(1) << (high & 63).astype(np.uint64))
+    _put(words, high >> 6, np.uint64(1) << (high & 63).astype(np.uint64))
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1]
+    lows = np.zeros(n * low // 64 + 2, np.uint64)
     if low:
-        bits = (values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
-        packed = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-    else:
-        packed = np.zeros(0, np.uint8)
+        rest = values & np.uint64((1 << low) - 1)
+        at = np.arange(n) * low
+        shift = (at & 63).astype(np.uint64)
+        _put(lows, at >> 6, rest << shift)
+        over = np.flatnonzero(shift > 64 - low)
+        _put(lows, (at[over] >> 6) + 1, rest[over] >> (np.uint64(64) - shift[over]))
+    packed = lows.view(np.uint8)[: -(-n * low // 8)]
     zeros = np.arange(len(words), dtype=np.int64) * 64 - ones
     kind = "<u4" if len(words) < 1 << 26 else "<i8"
     return {f"{name}.meta": np.array([n, low], "<i8"), f"{name}.low": np.concatenate([packed, np.zeros(8, np.uint8)]), f"{name}.high": words, f"{name}.ones": ones.astype(kind), f"{name}.zeros": zeros.astype(kind)}
 
 
+def _put(words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
+    """Set bits in the words at these places, which ascend."""
+    if len(at):
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        words[at[starts]] |= np.bitwise_or.reduceat(bits, starts)
+
+
 def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Position of the set bit of each rank in each word."""
-    at = np.zeros(len(word), np.int64)
-    for width, mask in _HALVES:
-        count = np.bitwise_count(word & mask).astype(np.int64)
-        go = rank >= count
-        rank = rank - count * go
-        word = np.where(go, word >> width, word)
-        at += go * np.int64(width)
-    return at
+    """Position of the set bit of each rank in each word: the byte by running counts of all bytes at once, then by a table."""
+    rank = rank.astype(np.uint64)
+    counts = word - (word >> np.uint64(1) & _ODD)
+    counts = (counts & _PAIRS) + (counts >> np.uint64(2) & _PAIRS)
+    counts = (counts + (counts >> np.uint64(4)) & _LOWS) * _BYTES
+    shift = np.bitwise_count((rank * _BYTES | _TOPS) - counts & _TOPS).astype(np.uint64) << np.uint64(3)
+    rest = rank - (counts << np.uint64(8) >> shift & np.uint64(255))
+    shift = np.minimum(shift, np.uint64(56))
+    byte = word >> shift & np.uint64(255)
+    return shift.astype(np.int64) + _IN_BYTE[(byte << np.uint64(3) | rest & np.uint64(7)).astype(np.int64)]
 
 
 class Sequence:

@@ -58,8 +58,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(-np.log10(p) / LOWEST, 0, 1) * 65535).astype("<u2")
 
 
+_VALUES = 10.0 ** (np.arange(65536) * (-LOWEST / 65535))
+
+
 def restore(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (q.astype(np.float64) * (-LOWEST / 65535))
+    return _VALUES[q]
 
 
 def held_out(doc_id):
@@ -228,7 +231,12 @@ def _ordered(*keys: np.ndarray) -> np.ndarray:
         else:
             packed.append(k)
             room = size
-    return np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
+    return np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed[::-1])
+
+
+def _by_bucket(place: np.ndarray, buckets: int) -> np.ndarray:
+    """A stable order by bucket; small integers are sorted by their digits."""
+    return np.argsort(place.astype(np.uint16) if buckets <= 1 << 16 else place, kind="stable")
 
 
 def _count_rows(keys: tuple[np.ndarray, ...]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -267,10 +275,12 @@ def _gram_rows(batches: Iterator[pa.RecordBatch], words: Words, spread: Spread)
             w = words.find(unique)[0][which]
             u, v = _contexts(w, first, words.start)
             rows = []
-            for kind, columns, other in ((2, (v, w), 1), (3, (v, u, w), 1)):
-                found, count = _count_rows(columns)
-                place = spread.bucket(found[0], found[other])
-                order = np.argsort(place, kind="stable")
+            (v, w, u), count = _count_rows((v, w, u))
+            pair = _runs(v, w)  # one sort serves both levels
+            both = ((2, [v[pair], w[pair]], np.add.reduceat(count, pair)), (3, [v, u, w], count))
+            for kind, found, count in both:
+                place = spread.bucket(found[0], found[1])
+                order = _by_bucket(place, spread.buckets)
                 cuts = np.searchsorted(place[order], np.arange(spread.buckets + 1)).tolist()
                 for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if y > x:
@@ -356,7 +366,7 @@ class Model:
         p = M2 / (c_v + M2) * p1
         for level in (2, 3):
             place = self.spread.bucket(v, w if level == 2 else u)
-            order = np.argsort(place, kind="stable")
+            order = _by_bucket(place, self.spread.buckets)
             cuts = np.searchsorted(place[order], np.arange(self.spread.buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 path = f"{self.words.folder}/level{level}-{b}"

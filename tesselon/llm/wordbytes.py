@@ -1,9 +1,9 @@
 """Vectorised word handling over Arrow string columns.
 
 Texts stay UTF-8 bytes in one numpy buffer per slice; words are byte ranges.  Within a slice Arrow's
-dictionary encoding tells them apart by their bytes; beyond it a word is named by two 64-bit halves
-of a BLAKE2b digest, computed once for each distinct word of a slice, so no text can be made whose
-words are mistaken for others.  Every helper takes the slice as the unit of memory: ``slices`` cuts
+dictionary encoding tells them apart by their bytes; beyond it a word has two 64-bit names
+(``digests``: BLAKE2b halves unless it is short), made once for each distinct word of a slice, so no
+text can be made whose words are mistaken for others.  Every helper takes the slice as the unit of memory: ``slices`` cuts
 a record batch at ``max_bytes`` of text (a longer single text is a slice by itself).
 """
 
@@ -23,6 +23,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -95,9 +96,34 @@ def coded(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 
 def digests(contents: pa.Array) -> np.ndarray:
-    """Two 64-bit names of each content, one a column, from its BLAKE2b digest."""
-    blake = hashlib.blake2b
-    return np.frombuffer(b"".join([blake(x, digest_size=16).digest() for x in contents.to_pylist()]), "<u8").reshape(-1, 2)
+    """Two 64-bit names of each content, one a column.
+
+    Up to eight bytes are one integer, which is scrambled and added to the result, so that it can't be
+    had back from its name; longer contents have the halves of their BLAKE2b digests.
+    """
+    contents = contents.cast(pa.large_binary())
+    n = len(contents)
+    out = np.empty((n, 2), np.uint64)
+    if not n:
+        return out
+    _, offsets, data = contents.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[contents.offset : contents.offset + n + 1]
+    size = np.diff(offsets)
+    short = np.flatnonzero(size <= 8)
+    raw = np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    octets = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (len(raw) - 7,), (1,), writeable=False)
+    own = size[short].astype(np.uint64)
+    value = octets[offsets[short]] & (_ALL >> (np.uint64(8) * (np.uint64(8) - np.maximum(own, np.uint64(1)))))
+    value[own == 0] = 0
+    for half, key in enumerate((np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))):
+        keyed = value ^ mix64(key + own * _MULT)
+        out[short, half] = mix64(mix64(keyed) * _MULT + keyed) + keyed
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        blake = hashlib.blake2b
+        out[long] = np.frombuffer(b"".join([blake(x, digest_size=16).digest() for x in contents.take(pa.array(long)).to_pylist()]), "<u8").reshape(-1, 2)
+    return out
 
 
 def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

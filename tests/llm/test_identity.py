@@ -61,6 +61,18 @@ def test_names_differ_and_grams_are_not_linear():
     assert swapped[0] != swapped[1]
 
 
+def test_names_follow_the_bytes_alone():
+    words = ["", "a", "a\0", "\0", "\0\0", "abcdefgh", "abcdefg", "abcdefghi", "é", "x" * 100, "abcdefgh" * 2]
+    names = wordbytes.digests(pa.array([w.encode() for w in words], pa.large_binary()))
+    assert len({tuple(n) for n in names.tolist()}) == len(set(names[:, 0].tolist())) == len(set(names[:, 1].tolist())) == len(words)
+    again = wordbytes.digests(pa.array([b"zz", *(w.encode() for w in words[::-1])], pa.binary())[1:])
+    assert (again == names[::-1]).all()
+    rng = np.random.default_rng(0)
+    many = wordbytes.digests(pa.array([rng.bytes(int(n)) for n in rng.integers(5, 9, 200_000)], pa.large_binary()))
+    bits = np.unpackbits(many.view(np.uint8), axis=1).mean(0)
+    assert np.abs(bits - 0.5).max() < 0.01
+
+
 def test_equal_keys_are_parted_by_their_checks():
     key, check = np.array([7, 7, 7, 3], np.uint64), np.array([1, 2, 1, 1], np.uint64)
     chunk = exchange.Chunk(np.zeros(4, np.int64), key, np.arange(4), 1, check)

@@ -7,13 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as pt
+import pyarrow as pa
 import pytest
 import tiktoken
 from brute import components, deduplicated, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesselon.llm import anchor_dedup, avi, byte_bpe, chat_events, concat_cut, cws, elias_fano, importance, jaccard_join, jpeg, ngram_trie, queries, url_rules
+from tesselon.llm import anchor_dedup, avi, byte_bpe, chat_events, concat_cut, cws, elias_fano, importance, jaccard_join, jpeg, ngram_trie, queries, url_rules, wordbytes
 
 RANKS, WORD_BPE = pt.path("byte_bpe_50k.tiktoken"), pt.path("word_bpe_49k.json")
 
@@ -102,7 +103,7 @@ def plain_buckets(text):
 
     raw = (text or "").encode()
     runs = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", raw)
-    named = [int.from_bytes(hashlib.blake2b(re.sub(rb"[A-Z]", lambda c: c[0].lower(), r), digest_size=16).digest()[:8], "little") for r in runs]
+    named = [int(wordbytes.digests(pa.array([re.sub(rb"[A-Z]", lambda c: c[0].lower(), r)], pa.large_binary()))[0, 0]) for r in runs]
     shapes, last = [], None
     for w in re.findall(rb"[^\x20\x09-\x0d]+", raw):
         size = sum(len(w) >= t for t in (3, 6, 10, 15, 25))
