@@ -237,26 +237,52 @@ def _fit(n: str, m: str, s: str, t: str) -> str:
     return f"{OF} * least({n}, {m}) >= {NEED} * greatest({n}, {m}) and {OF + NEED} * least({s}, {t}) >= {NEED} * ({n} + {m})"
 
 
-def _blocked(asked: DataFrame, members: DataFrame, parts: int) -> DataFrame:
-    """Links (a, b) of each asked set with any member of a component: rows (component, block) meet, pairs don't.
+class _Joined:
+    """Which ids links have joined so far, in one block."""
 
-    ``asked``: component, block, id, grams; ``members``: the same for the members, each in one block.
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, a: int) -> int:
+        path = []
+        while (up := self.parent.get(a, a)) != a:
+            path.append(a)
+            a = up
+        self.parent.update(dict.fromkeys(path, a))
+        return a
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.find(a), self.find(b)
+        self.parent[a] = b
+        return a != b
+
+
+def _blocked(asked: DataFrame, members: DataFrame, parts: int, linked: bool) -> DataFrame:
+    """Links (a, b) of asked sets with members of a block: rows (component, block, part) meet, pairs don't.
+
+    ``asked``: component, block, part, id, grams; ``members``: the same for the members, each in one block
+    and in all its parts.  Of the links of a block only those are returned that join what its others
+    leave apart; members are joined beforehand if they are ``linked``, being of one component.
     """
-    met = members.select("component", "block", "id", F.lit(0).alias("kind"), "grams").union(asked.select("component", "block", "id", F.lit(1).alias("kind"), "grams"))
-    met = met.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "kind", "id")
+    on = ["component", "block", "part"]
+    met = members.select(*on, "id", F.lit(0).alias("kind"), "grams").union(asked.select(*on, "id", F.lit(1).alias("kind"), "grams"))
+    met = met.repartition(parts, *on).sortWithinPartitions(*on, "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, ready = None, [], None
+        place, held, ready, joined = None, [], None, _Joined()
         for batch in batches:
             found: list[tuple[int, int]] = []
-            places = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            ids, kinds = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            ids, kinds = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for i in range(batch.num_rows):
-                grams = np.frombuffer(batch.column(4)[i].as_buffer(), "<u8")
+                grams = np.frombuffer(batch.column(5)[i].as_buffer(), "<u8")
                 if places[i] != place:
-                    place, held, ready = places[i], [], None
+                    place, held, ready, joined = places[i], [], None, _Joined()
                 if kinds[i] == 0:
                     held.append((ids[i], grams.copy()))
+                    if linked:
+                        joined.join(held[0][0], ids[i])
                     continue
                 if not held:  # a block that no member fell into
                     continue
@@ -270,7 +296,7 @@ def _blocked(asked: DataFrame, members: DataFrame, parts: int) -> DataFrame:
                 n = high - low
                 at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
                 both = np.bincount(owner[at], minlength=len(held))
-                found += [(held[m][0], ids[i]) for m in np.flatnonzero(links(sizes, len(grams), both)).tolist()]
+                found += [(held[m][0], ids[i]) for m in np.flatnonzero(links(sizes, len(grams), both)).tolist() if joined.join(held[m][0], ids[i])]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     return met.mapInArrow(cluster.tidy(run), "a long, b long")
@@ -309,10 +335,13 @@ def _rest(member: DataFrame, sets: DataFrame, labels: DataFrame, parts: int) ->
     asked = minor.join(large, on).filter(F.struct("size", "component") < F.struct("csize", "c")).select("id", "c", "csize").distinct()
     asked = cluster.stored(asked, "asked")
     blocks = lambda size: F.ceil(size / MEMBERS).cast("int")
-    spread = asked.select("id", F.col("c").alias("component"), F.explode(F.sequence(F.lit(0), blocks(F.col("csize")) - 1)).alias("block"))
-    sought = cluster.stored(asked.select(F.col("c").alias("component"), "csize").distinct(), "sought")
-    members = cluster.spread_join(labels, sought, "component", "csize", "id").select("component", F.pmod(F.xxhash64("id"), blocks(F.col("csize"))).cast("int").alias("block"), "id")
-    found = cluster.stored(_blocked(spread.join(sets, "id"), members.join(sets, "id"), parts), "links")
+    part = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), cluster.ways(n)).cast("int").alias("part")
+    every = lambda n: F.explode(F.sequence(F.lit(0), cluster.ways(n) - 1)).alias("part")
+    sought = cluster.stored(asked.groupBy(F.col("c").alias("component")).agg(F.count(F.lit(1)).alias("n"), F.max("csize").alias("csize")), "sought")
+    spread = cluster.spread_join(asked.select("id", F.col("c").alias("component")), sought, "component", "n", "id")
+    spread = spread.select("id", "component", part(F.col("n")), F.explode(F.sequence(F.lit(0), blocks(F.col("csize")) - 1)).alias("block"))
+    members = cluster.spread_join(labels, sought, "component", "csize", "id").select("component", F.pmod(F.xxhash64("id"), blocks(F.col("csize"))).cast("int").alias("block"), "id", every(F.col("n")))
+    found = cluster.stored(_blocked(spread.join(sets, "id"), members.join(sets, "id"), parts, linked=True), "links")
 
     alone = member.filter("size = 1").select("sig", "ways", "salt", "id", "n", "shared")
     groups = alone.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max("ways").alias("ways"), F.sum(F.xxhash64("id") % (1 << 40)).alias("a"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("b"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("m > 1")
@@ -326,9 +355,9 @@ def _rest(member: DataFrame, sets: DataFrame, labels: DataFrame, parts: int) ->
     # Of signatures with the same single sets one suffices.
     many = groups.filter(F.col("m") > MEMBERS).groupBy("m", "a", "b", "lo", "hi").agg(F.min(F.struct("sig", "ways")).alias("one")).select("one.*", "m")
     own = cluster.stored(alone.drop("ways").join(_copied(many), on).select(F.col("sig").alias("component"), F.pmod(F.xxhash64("id", F.lit(2)), blocks(F.col("m"))).cast("int").alias("block"), "id", "m"), "blocks")
-    later = own.select("component", F.explode(F.sequence(F.col("block"), blocks(F.col("m")) - 1)).alias("block"), "id")
+    later = own.select("component", F.explode(F.sequence(F.col("block"), blocks(F.col("m")) - 1)).alias("block"), "id", part(F.col("m")))
     if own.limit(1).count():
-        met = _blocked(later.join(sets, "id"), own.drop("m").join(sets, "id"), parts).filter("a <> b")
+        met = _blocked(later.join(sets, "id"), own.select("component", "block", "id", every(F.col("m"))).join(sets, "id"), parts, linked=False)
         found = found.union(cluster.stored(met, "links"))
     return found
 
