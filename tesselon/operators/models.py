@@ -1,4 +1,4 @@
-"""Classifiers with location-grouped cross-validation, on MLlib."""
+"""Classifiers with location-grouped cross-validation: MLlib, and whole forests a task where the table is small."""
 
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.operators import forest
 from tesselon.operators.evaluation import confusion, pooled
+from tesselon.operators.graph import checkpointed
 
 #: Depth that stands for "unlimited" (MLlib allows 30) in a forest; boosted trees have 6.
 DEEPEST = 30
@@ -63,24 +65,54 @@ def grouped_cv(rows: DataFrame, features: Sequence[str], kind: str, fold: str =
     out = fitted[0][1]
     for _, found in fitted[1:]:
         out = out.unionByName(found)
+    out = checkpointed(out)
+    rows.unpersist()
     return out, [m for m, _ in fitted]
 
 
+def forest_cv(rows: DataFrame, features: Sequence[str], settings: Sequence[dict], fold: str = "fold", importance: bool = False, kind: str = "rf") -> DataFrame:
+    """Confusion and accuracy of each setting (n, max_depth, min_leaf, multiplier, seed) and fold of a small table; ``kind``: rf or gbt."""
+    usual = {"n": 300, "max_depth": None, "min_leaf": 1, "multiplier": 1.0, "seed": 42}
+    given = [usual | s for s in settings]
+    table = [(i, s["n"], s["max_depth"], s["min_leaf"], float(s["multiplier"]), s["seed"]) for i, s in enumerate(given)]
+    table = rows.sparkSession.createDataFrame(table, "setting long, trees int, max_depth int, min_leaf int, multiplier double, seed int")
+    out = forest.cross_validated(rows, features, table, fold, importance, kind)
+    right = F.col("true_pos") + F.col("true_neg")
+    return out.withColumn("accuracy", right / (right + F.col("false_pos") + F.col("false_neg")))
+
+
+def forest_importances(runs: DataFrame, features: Sequence[str], top: int = 15) -> DataFrame:
+    """Mean importance over the folds of ``forest_cv``, greatest first."""
+    named = runs.select(F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("gains").alias("importance"))).alias("p")).select("p.*")
+    return named.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"), "feature").limit(top)
+
+
 def grid_search(rows: DataFrame, features: Sequence[str], kind: str, grid: dict[str, Sequence], multipliers: Sequence[float] = (1.0,), seed: int = 42, **fixed) -> DataFrame:
     """Pooled accuracy and its deviation over folds for every setting, best first."""
     spark, found = rows.sparkSession, []
+    schema = ", ".join([*(f"{k} double" for k in grid), "class_weight_multiplier double", "pooled_accuracy double", "fold_accuracy_std double"])
+    best_first = (F.desc("pooled_accuracy"), F.asc("fold_accuracy_std"), *(F.asc_nulls_last(k) for k in grid), F.asc("class_weight_multiplier"))
+    if kind == "rf" and forest.is_small(rows, features):
+        tried = [dict(zip(grid, values, strict=True)) | {"multiplier": m} for values in product(*grid.values()) for m in multipliers]
+        runs = forest_cv(rows, features, [{"seed": seed} | fixed | s for s in tried])
+        means = runs.groupBy("setting").agg((F.sum(F.col("true_pos") + F.col("true_neg")) / F.sum(F.col("true_pos") + F.col("true_neg") + F.col("false_pos") + F.col("false_neg"))).alias("pooled_accuracy"), F.stddev_pop("accuracy").alias("fold_accuracy_std"))
+        named = spark.createDataFrame([(i, *[None if s[k] is None else float(s[k]) for k in grid], float(s["multiplier"])) for i, s in enumerate(tried)], "setting long, " + schema.split(", pooled")[0])
+        return named.join(means, "setting").drop("setting").orderBy(*best_first)
     for values in product(*grid.values()):
         setting = dict(zip(grid, values, strict=True))
         for m in multipliers:
             row = pooled(grouped_cv(rows, features, kind, multiplier=m, seed=seed, **fixed, **setting)[0]).first()
             found.append((*[None if v is None else float(v) for v in values], float(m), float(row["pooled_accuracy"]), float(row["fold_accuracy_std"])))
-    schema = ", ".join([*(f"{k} double" for k in grid), "class_weight_multiplier double", "pooled_accuracy double", "fold_accuracy_std double"])
-    return spark.createDataFrame(found, schema).orderBy(F.desc("pooled_accuracy"), F.asc("fold_accuracy_std"))
+    return spark.createDataFrame(found, schema).orderBy(*best_first)
 
 
 def seed_stability(rows: DataFrame, features: Sequence[str], kind: str, seeds: Sequence[int], **p) -> DataFrame:
     """Mean and deviation of the pooled accuracy over model seeds; the folds stay."""
     spark = rows.sparkSession
+    if kind == "rf" and forest.is_small(rows, features):
+        runs = forest_cv(rows, features, [p | {"seed": s} for s in seeds]).groupBy("setting")
+        runs = runs.agg((F.sum(F.col("true_pos") + F.col("true_neg")) / F.sum(F.col("true_pos") + F.col("true_neg") + F.col("false_pos") + F.col("false_neg"))).alias("pooled_accuracy"))
+        return runs.agg(F.avg("pooled_accuracy").alias("mean"), F.stddev_pop("pooled_accuracy").alias("std"), F.count(F.lit(1)).alias("seeds"))
     found = [(s, float(pooled(grouped_cv(rows, features, kind, seed=s, **p)[0]).first()["pooled_accuracy"])) for s in seeds]
     runs = spark.createDataFrame(found, "seed int, pooled_accuracy double")
     return runs.agg(F.avg("pooled_accuracy").alias("mean"), F.stddev_pop("pooled_accuracy").alias("std"), F.count(F.lit(1)).alias("seeds"))

@@ -17,10 +17,40 @@ def subsample(rows: DataFrame, name: Column, n: int) -> DataFrame:
     return rows.withColumn("_o", draw(name)).orderBy("_o").limit(n).drop("_o")
 
 
-def round_robin(rows: DataFrame, by: Sequence[str], name: Column, folds: int) -> DataFrame:
+def hashed_rank(rows: DataFrame, by: Sequence[str], name: Column) -> DataFrame:
+    """Adds rank, from 0, in the hashed order of each group of ``by``.
+
+    No group is ranked in one task: ranges of the hash are counted first, so that each range ranks its own
+    rows and begins where those before it end.
+    """
+    dealt = rows.withColumn("_name", name).withColumn("_hash", draw(F.col("_name"))).withColumn("_range", F.substring("_hash", 1, 3))
+    counts = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))  # at most 4096 a group
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_range").alias("_b_range"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    on = F.col("_range") == F.col("_b_range")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_hash", "_name"))
+    own = dealt.join(begins, on).withColumn("rank", F.col("_begin") + rank - 1)
+    return own.select(*rows.columns, "rank")
+
+
+def round_robin(rows: DataFrame, by: Sequence[str], name: Column, folds: int | Column) -> DataFrame:
     """Folds dealt in turn along the hashed order of each group of ``by``."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(draw(name), name))
-    return rows.withColumn("fold", (rank - 1) % folds)
+    return hashed_rank(rows, by, name).withColumn("fold", F.col("rank") % folds).drop("rank")
+
+
+def location_folds(rows: DataFrame, tile: Column, name: Column, label: str = "label") -> DataFrame:
+    """Adds fold: one for each tile that has positives, in order of the tiles; negatives are dealt over the folds in turn.
+
+    Only the tiles with positives, few beside rows, are ranked in one place.  Without positives all folds are 0.
+    """
+    named = rows.withColumn("_tile", tile)
+    tiles = named.filter(F.col(label) == 1).select(F.col("_tile").alias("_t")).distinct()
+    tiles = tiles.select("_t", (F.row_number().over(Window.orderBy("_t")) - 1).cast("long").alias("fold"))
+    n = max(tiles.count(), 1)
+    positives = named.filter(F.col(label) == 1).join(tiles, F.col("_tile") == F.col("_t")).select(*rows.columns, "fold")
+    return positives.unionByName(round_robin(rows.filter(F.col(label) != 1), [label], name, n).withColumn("fold", F.col("fold").cast("long")))
 
 
 def spatial_blocks(rows: DataFrame, block: float, val: float, test: float, seed: str) -> DataFrame:

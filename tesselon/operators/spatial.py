@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.functions.grid import Grid
-from tesselon.operators.graph import components
+from tesselon.operators.graph import checkpointed, components
 
 
 def covering_cells(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFrame:
@@ -47,20 +49,35 @@ def within(left: DataFrame, right: DataFrame, distance: float, key: str = "id")
     return left.join(near_pairs(left.select(key, "x", "y"), right.select("x", "y"), distance).select(key).distinct(), key, "left_semi")
 
 
-def nearest(left: DataFrame, right: DataFrame, start: float, limit: float, key: str = "id", other_than_self: bool = False) -> DataFrame:
-    """Distance to the nearest right point, by rings: what no ring of a radius settles goes on to twice that radius."""
-    waiting, done, radius = left.select(key, "x", "y"), None, start
+def _extent(*sides: tuple[DataFrame, list[str], list[str]]) -> float:
+    """A length that no distance between points of these frames exceeds (0 if any is empty)."""
+    boxes = [df.agg(*[f(F.greatest(*c) if len(c) > 1 else c[0]) if f is F.max else f(F.least(*c) if len(c) > 1 else c[0]) for c in (xs, ys) for f in (F.min, F.max)]).first() for df, xs, ys in sides]
+    if any(v is None for box in boxes for v in box):
+        return 0.0
+    return math.hypot(max(b[1] for b in boxes) - min(b[0] for b in boxes), max(b[3] for b in boxes) - min(b[2] for b in boxes))
+
+
+def nearest(left: DataFrame, right: DataFrame, start: float, key: str = "id", other_than_self: bool = False) -> DataFrame:
+    """Distance to the nearest right point, whatever it is; null only if there is none.
+
+    By rings: what no ring of a radius settles goes on to twice that radius, until all is settled or the
+    radius exceeds the extent of all points.  Each round's points are stored, so no round repeats another.
+    """
     right = right.select(F.col(key).alias("rid"), "x", "y") if other_than_self else right.select(F.lit(None).cast("string").alias("rid"), "x", "y")
+    waiting, done, radius = checkpointed(left.select(key, "x", "y")), None, start
+    extent = _extent((waiting, ["x"], ["y"]), (right, ["x"], ["y"]))
     while True:
         pairs = near_pairs(waiting, right, radius, closed=True)
         if other_than_self:
             pairs = pairs.filter(F.col("r_rid") != F.col(key))
-        found = pairs.groupBy(key).agg(F.min("d").alias("d"))
+        found = checkpointed(pairs.groupBy(key).agg(F.min("d").alias("d")))
         done = found if done is None else done.unionByName(found)
+        if radius >= extent:
+            return left.join(done, key, "left")
+        waiting = checkpointed(waiting.join(found, key, "left_anti"))
+        if not waiting.limit(1).count():
+            return left.join(done, key, "left")
         radius *= 2
-        if radius / 2 >= limit:
-            return left.join(done.groupBy(key).agg(F.min("d").alias("d")), key, "left")
-        waiting = waiting.join(found, key, "left_anti")
 
 
 def pairs_within(points: DataFrame, distance: float, key: str = "id") -> DataFrame:
@@ -103,20 +120,48 @@ def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     return F.hypot(px - (ax + t * (bx - ax)), py - (ay + t * (by - ay)))
 
 
-def segment_distance(points: DataFrame, lines: DataFrame, reach: float, key: str = "id") -> DataFrame:
-    """Distance to the nearest segment within ``reach``, null beyond: segments are indexed by the cells of their box."""
-    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - reach) / reach), F.floor((F.greatest(a, b) + reach) / reach)))
-    indexed = lines.withColumn("_bx", span(F.col("ax"), F.col("bx"))).withColumn("_by", span(F.col("ay"), F.col("by")))
-    joined = _bucketed(points.select(key, "x", "y"), reach, 0, "x", "y").join(indexed, ["_bx", "_by"])
-    d = point_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    best = joined.select(key, d.alias("d")).filter(F.col("d") <= reach).groupBy(key).agg(F.min("d").alias("d"))
-    return points.join(best, key, "left")
+def segment_distance(points: DataFrame, lines: DataFrame, start: float, key: str = "id") -> DataFrame:
+    """Distance to the nearest segment; null only if there is none.
+
+    Segments are indexed by the cells of their boxes, widened by a reach that begins at ``start`` and
+    doubles for the points that no segment within it settles.
+    """
+    waiting, done, reach = checkpointed(points.select(key, "x", "y")), None, start
+    extent = _extent((waiting, ["x"], ["y"]), (lines, ["ax", "bx"], ["ay", "by"]))
+    while True:
+        span = lambda a, b, r=reach: F.explode(F.sequence(F.floor((F.least(a, b) - r) / r), F.floor((F.greatest(a, b) + r) / r)))
+        indexed = lines.withColumn("_bx", span(F.col("ax"), F.col("bx"))).withColumn("_by", span(F.col("ay"), F.col("by")))
+        joined = _bucketed(waiting, reach, 0, "x", "y").join(indexed, ["_bx", "_by"])
+        d = point_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+        found = checkpointed(joined.select(key, d.alias("d")).filter(F.col("d") <= reach).groupBy(key).agg(F.min("d").alias("d")))
+        done = found if done is None else done.unionByName(found)
+        if reach >= extent:
+            return points.join(done, key, "left")
+        waiting = checkpointed(waiting.join(found, key, "left_anti"))
+        if not waiting.limit(1).count():
+            return points.join(done, key, "left")
+        reach *= 2
+
+
+def draws_away(points: DataFrame, n: int, distance: float, box: tuple[float, float, float, float], seed: str, patience: int = 12) -> DataFrame:
+    """The first n hashed draws of a box that lie no nearer to any point than ``distance``: id, x, y.
+
+    Draws are made until n have passed, each time as many more as before; after ``patience`` doublings
+    without enough, the points leave next to no room and ValueError is raised.
+    """
+    from tesselon.operators.sampling import hashed_points
+
+    draws = 2 * n
+    for _ in range(patience):
+        kept = checkpointed(not_within(hashed_points(points.sparkSession, draws, *box, seed), points, distance).orderBy("id").limit(n))
+        if kept.count() == n:
+            return kept
+        draws *= 2
+    raise ValueError(f"of {draws // 2} draws fewer than {n} lie {distance} from all points")
 
 
 def grid_points(spark, x0: float, y0: float, x1: float, y1: float, spacing: float) -> DataFrame:
     """A systematic grid, half open at the far ends."""
-    import math
-
     nx, ny = (max(0, math.ceil((b - a) / spacing - 1e-9)) for a, b in ((x0, x1), (y0, y1)))
     out = spark.range(nx * ny)
     return out.select("id", (F.lit(x0) + (F.col("id") % nx) * spacing).alias("x"), (F.lit(y0) + F.floor(F.col("id") / nx) * spacing).alias("y"))
@@ -124,8 +169,6 @@ def grid_points(spark, x0: float, y0: float, x1: float, y1: float, spacing: floa
 
 def tiling(spark, x0: float, y0: float, x1: float, y1: float, tile: int, overlap: int, res: float) -> DataFrame:
     """Overlapping tiles of an area; the last ones end at its edge.  Row 0 is at the top."""
-    import math
-
     size, stride = tile * res, (tile - overlap) * res
     nx, ny = (math.ceil((b - a) / stride - 1e-9) for a, b in ((x0, x1), (y0, y1)))
     out = spark.range(nx * ny).select((F.col("id") % nx).alias("c"), F.floor(F.col("id") / nx).alias("r"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesselon.operators import evaluation, features, models
+from tesselon.operators import evaluation, features, models, sampling
 from tesselon.plans import roles
 from tesselon.plans.raster_queries import windows
 from tesselon.plans.roles import rounded
@@ -20,11 +20,22 @@ MULTIPLIERS = (0.5, 1.0, 1.5)
 TREES, SEEDS, BEST = 300, (1, 2, 3, 4, 5), 3
 
 
+LOCATIONS = 10
+
+
 def labelled(spark, sf_dir):
-    """embeddings as a feature table: 64 features, a binary label and five location folds."""
+    """embeddings as a feature table: 64 features, a binary label, and folds by location: a tile's positives, negatives dealt."""
     e = roles.table(spark, sf_dir, "embeddings")
     columns = [F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)]
-    return e.select("vec_id", *columns, (F.col("label") >= 5).cast("int").alias("label"), (F.col("vec_id") % 5).alias("fold"))
+    rows = e.select("vec_id", *columns, (F.col("label") >= 5).cast("int").alias("label"))
+    return sampling.location_folds(rows, F.col("vec_id") % LOCATIONS, F.concat_ws("_", F.lit("5"), "vec_id"))
+
+
+@query(f"""WITH r AS (SELECT vec_id, vec_id % {LOCATIONS} AS tile, label >= 5 AS positive FROM embeddings), n AS (SELECT count(DISTINCT tile) AS n FROM r WHERE positive)
+  SELECT vec_id, CAST(dense_rank() OVER (ORDER BY tile) - 1 AS BIGINT) AS fold FROM r WHERE positive
+  UNION ALL SELECT vec_id, CAST((row_number() OVER (ORDER BY md5('5_' || vec_id), '5_' || vec_id) - 1) % greatest(n, 1) AS BIGINT) FROM r, n WHERE NOT positive""")
+def location_folds(spark, sf_dir):
+    return labelled(spark, sf_dir).select("vec_id", "fold")
 
 
 _W = {r: windows(r, extra=f"a.v AS v, avg(b.v) AS m{r}, stddev_pop(b.v) AS s{r}, max(b.v) AS x{r}, min(b.v) AS n{r}") for r in (1, 2)}
@@ -59,8 +70,18 @@ def _cv(kind: str, name: str, **p):
     return query()(run)
 
 
-_cv("rf", "rf_loto_cv", n=200)
-_cv("gbt", "gbt_loto_cv", n=200)
+@query()
+def rf_loto_cv(spark, sf_dir):
+    runs = models.forest_cv(labelled(spark, sf_dir), FEATURES, [{"n": TREES}])
+    return rounded(runs.select("fold", "true_pos", "true_neg", "false_pos", "false_neg", "accuracy"))
+
+
+@query()
+def gbt_loto_cv(spark, sf_dir):
+    runs = models.forest_cv(labelled(spark, sf_dir), FEATURES, [{"n": TREES, "max_depth": 6}], kind="gbt")
+    return rounded(runs.select("fold", "true_pos", "true_neg", "false_pos", "false_neg", "accuracy"))
+
+
 _cv("linear", "linear_probe_cv", n=200)
 _cv("mlp", "mlp_probe_cv", n=200, hidden=32)
 
@@ -84,8 +105,8 @@ def seed_stability(spark, sf_dir):
 
 @query()
 def feature_importance(spark, sf_dir):
-    found = models.grouped_cv(labelled(spark, sf_dir), FEATURES, "rf", n=200)[1]
-    return rounded(models.importances(spark, found, FEATURES))
+    runs = models.forest_cv(labelled(spark, sf_dir), FEATURES, [{"n": TREES}], importance=True)
+    return rounded(models.forest_importances(runs, FEATURES))
 
 
 @query()

@@ -73,19 +73,40 @@ def nms_peaks(spark, sf_dir):
     return rounded(_peaks(spark, sf_dir))
 
 
-def _matches(spark, sf_dir, radius=2.0):
-    found = _peaks(spark, sf_dir).select("cell", (F.col("row") * 8 + F.col("col")).cast("long").alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+def _points(peaks, *more):
+    return peaks.select("cell", *more, (F.col("row") * 8 + F.col("col")).cast("long").alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+
+
+def _true(spark, sf_dir):
     e = roles.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), "label")
-    true = e.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("cell", F.col("id").cast("long"), ((F.col("cell") + F.col("id") * 3) % 8).cast("double").alias("x"), ((F.col("label") + F.col("id") * 5) % 8).cast("double").alias("y"))
+    return e.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("cell", F.col("id").cast("long"), ((F.col("cell") + F.col("id") * 3) % 8).cast("double").alias("x"), ((F.col("label") + F.col("id") * 5) % 8).cast("double").alias("y"))
+
+
+def _matches(spark, sf_dir, radius=2.0):
+    found, true = _points(_peaks(spark, sf_dir)), _true(spark, sf_dir)
     return found, true, matching.match_by_cell(found, true, radius)
 
 
-@query()
+def _best(peaks: str, keys: str) -> str:
+    """Pairs and total distance of every cell's best matching, by trying all ways to give its three points a peak or none."""
+    one = f"SELECT {keys}, t.id, p.row * 8 + p.col AS f, sqrt((p.col - t.x) ** 2 + (p.row - t.y) ** 2) AS d FROM pk p JOIN true_points t USING (cell) WHERE sqrt((p.col - t.x) ** 2 + (p.row - t.y) ** 2) <= 2"
+    given = lambda i: f"g{i} AS (SELECT {keys}, f, d FROM near WHERE id = {i} UNION ALL SELECT DISTINCT {keys}, -{i + 1}, 0.0 FROM near)"
+    return f"""true_points AS MATERIALIZED (SELECT vec_id AS cell, i AS id, (vec_id + i * 3) % 8 AS x, (label + i * 5) % 8 AS y FROM embeddings, (SELECT unnest(range(0, 3)) AS i)),
+  pk AS MATERIALIZED ({peaks}), near AS MATERIALIZED ({one}), {given(0)}, {given(1)}, {given(2)},
+  ways AS (SELECT {keys}, CAST(g0.f >= 0 AS INT) + CAST(g1.f >= 0 AS INT) + CAST(g2.f >= 0 AS INT) AS n, g0.d + g1.d + g2.d AS d FROM g0 JOIN g1 USING ({keys}) JOIN g2 USING ({keys}) WHERE g0.f <> g1.f AND g0.f <> g2.f AND g1.f <> g2.f),
+  best AS (SELECT {keys}, max(n) AS n_match, arg_min(d, {{'a': -n, 'b': d}}) AS total FROM ways GROUP BY {keys})"""
+
+
+@query(f"WITH {_best(_PEAKS, 'cell')} SELECT cell, n_match, round(total, 6) AS total_d FROM best WHERE n_match > 0")
 def peak_matching(spark, sf_dir):
-    return rounded(_matches(spark, sf_dir)[2])
+    """Number and total distance of every tile's matches (which of equally good matchings is chosen is open)."""
+    return rounded(_matches(spark, sf_dir)[2].groupBy("cell").agg(F.count(F.lit(1)).cast("int").alias("n_match"), F.sum("d").alias("total_d")))
 
 
-@query()
+@query(f"""WITH {_best(_PEAKS, 'cell')}, c AS (SELECT cell, coalesce(n_found, 0) AS n_found, 3 AS n_true, coalesce(n_match, 0) AS n_match, total / nullif(n_match, 0) AS mean_d
+    FROM (SELECT DISTINCT cell FROM true_points) LEFT JOIN (SELECT cell, count(*) AS n_found FROM pk GROUP BY cell) USING (cell) LEFT JOIN best USING (cell)),
+  r AS (SELECT *, CASE WHEN n_found > 0 THEN n_match / n_found ELSE 0.0 END AS precision, n_match / n_true AS recall FROM c)
+  SELECT cell, n_true, n_found, n_match, round(mean_d, 6) AS mean_d, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1, n_found - n_true AS count_error FROM r""")
 def prf1(spark, sf_dir):
     """Precision, recall, F1, mean distance and count error of every tile."""
     found, true, matches = _matches(spark, sf_dir)
@@ -95,19 +116,27 @@ def prf1(spark, sf_dir):
     return rounded(evaluation.detection(rows, F.col("n_found"), F.col("n_true")))
 
 
-@query()
+THRESHOLDS, RADII = (0.1, 0.15, 0.2, 0.25), (1, 2, 3, 4)
+_SWEEP = " UNION ALL ".join(f"SELECT cell, row, col, v, {r} AS radius FROM ({windows(r, extra='a.v AS v, max(b.v) AS hi')}) WHERE v = hi" for r in RADII)
+_SETTINGS = f"SELECT cell, row, col, radius, threshold FROM ({_SWEEP}), (SELECT unnest({list(THRESHOLDS)}::DOUBLE[]) AS threshold) WHERE v >= threshold"
+
+
+@query(f"WITH {_best(_SETTINGS, 'cell, radius, threshold')} SELECT threshold, radius, CAST(sum(n_match) AS BIGINT) AS n_match, round(sum(total) / sum(n_match), 6) AS mean_d FROM best WHERE n_match > 0 GROUP BY threshold, radius")
 def readout_sweep(spark, sf_dir):
-    """Peaks and matches for thresholds by suppression radii, one row a setting."""
-    px = roles.pixels(spark, sf_dir)
-    _, true, _ = _matches(spark, sf_dir)
-    out = None
-    for threshold in (0.1, 0.15, 0.2, 0.25):
-        for radius in (1, 2):
-            found = focal.peaks(px, radius, threshold).select("cell", (F.col("row") * 8 + F.col("col")).cast("long").alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
-            hits = matching.match_by_cell(found, true, 2.0).agg(F.count(F.lit(1)).alias("n_match"), F.avg("d").alias("mean_d"))
-            row = hits.select(F.lit(threshold).alias("threshold"), F.lit(radius).alias("radius"), "n_match", "mean_d")
-            out = row if out is None else out.union(row)
-    return rounded(out)
+    """Peaks and matches for thresholds by suppression radii, one row a setting: one window a radius, one matching for all."""
+    px, true = roles.pixels(spark, sf_dir), _true(spark, sf_dir)
+    levels = F.array(*[F.lit(t) for t in THRESHOLDS])
+    found = None
+    for radius in RADII:
+        peaks = focal.peaks(px, radius, min(THRESHOLDS)).withColumn("threshold", F.explode(F.filter(levels, lambda t: t <= F.col("v"))))
+        own = _points(peaks, F.lit(radius).alias("radius"), "threshold")
+        found = own if found is None else found.unionByName(own)
+    settings = F.explode(F.flatten(F.transform(F.array(*[F.lit(r) for r in RADII]), lambda r: F.transform(levels, lambda t: F.struct(r.alias("radius"), t.alias("threshold"))))))
+    named = lambda df: df.withColumn("tile", F.col("cell")).withColumn("cell", F.xxhash64("tile", "radius", "threshold"))
+    every = named(true.withColumn("s", settings).select("cell", "id", "x", "y", "s.radius", "s.threshold"))
+    matches = matching.match_by_cell(named(found), every, 2.0)
+    of = every.select("cell", "radius", "threshold").distinct()
+    return rounded(matches.join(of, "cell").groupBy("threshold", "radius").agg(F.count(F.lit(1)).alias("n_match"), F.avg("d").alias("mean_d")))
 
 
 @query(f"WITH g AS (SELECT l_returnflag AS depth, l_linestatus AS leaf, l_linenumber AS weight, avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0 END) AS pooled FROM lineitem GROUP BY ALL) SELECT depth, leaf, weight, round(pooled, 6) AS pooled FROM g ORDER BY pooled DESC, depth, leaf, weight LIMIT 3")

@@ -75,19 +75,19 @@ def within_distance_semi(spark, sf_dir):
 
 @query(f"WITH a AS ({points_sql('customer')}), b AS ({points_sql('supplier')}) SELECT a.id AS id, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4) AS d FROM a, b GROUP BY a.id")
 def nearest_neighbor(spark, sf_dir):
-    out = spatial.nearest(roles.points(spark, sf_dir, "customer"), roles.points(spark, sf_dir, "supplier"), 100.0, 3200.0)
+    out = spatial.nearest(roles.points(spark, sf_dir, "customer"), roles.points(spark, sf_dir, "supplier"), 100.0)
     return rounded(out.select("id", "d"), 4)
 
 
 @query(f"WITH a AS ({points_sql('supplier')}) SELECT a.id AS id, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4) AS d FROM a, a b WHERE a.id <> b.id GROUP BY a.id")
 def self_nearest(spark, sf_dir):
     p = roles.points(spark, sf_dir, "supplier")
-    return rounded(spatial.nearest(p, p, 100.0, 3200.0, other_than_self=True).select("id", "d"), 4)
+    return rounded(spatial.nearest(p, p, 100.0, other_than_self=True).select("id", "d"), 4)
 
 
 @query(f"""WITH s AS (SELECT *, lead(x) OVER (PARTITION BY id % 5 ORDER BY id) AS bx, lead(y) OVER (PARTITION BY id % 5 ORDER BY id) AS ey FROM ({points_sql('supplier')})), g AS (SELECT x AS ax, y AS ay, bx, ey FROM s WHERE bx IS NOT NULL),
   d AS (SELECT p.id, least(greatest(((p.x - ax) * (bx - ax) + (p.y - ay) * (ey - ay)) / ((bx - ax) ** 2 + (ey - ay) ** 2), 0), 1) AS t, p.x, p.y, ax, ay, bx, ey FROM ({points_sql('part')}) p, g),
-  m AS (SELECT id, min(sqrt((x - (ax + t * (bx - ax))) ** 2 + (y - (ay + t * (ey - ay))) ** 2)) AS d FROM d GROUP BY id) SELECT id, round(CASE WHEN d <= 150 THEN d END, 4) AS d FROM m""")
+  m AS (SELECT id, min(sqrt((x - (ax + t * (bx - ax))) ** 2 + (y - (ay + t * (ey - ay))) ** 2)) AS d FROM d GROUP BY id) SELECT id, round(d, 4) AS d FROM m""")
 def point_segment_distance(spark, sf_dir):
     s = roles.points(spark, sf_dir, "supplier")
     lines = s.groupBy((F.col("id") % 5).alias("road")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
@@ -126,12 +126,10 @@ def cluster_common_cells(spark, sf_dir):
 _HASHED = "SELECT id, x0 + a * 2000 AS x, y0 + b * 2000 AS y FROM (SELECT id, ('0x' || substr(h, 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS a, ('0x' || substr(h, 9, 8))::UBIGINT / 4294967296.0::DOUBLE AS b, 2715098.0::DOUBLE AS x0, 1118181.0::DOUBLE AS y0 FROM (SELECT id, md5('3_' || id) AS h FROM range(400) t(id)))"
 
 
-@query(f"WITH g AS ({_HASHED}), s AS ({points_sql('supplier')}) SELECT id, round(x, 4) AS x, round(y, 4) AS y FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE sqrt((s.x - g.x) ** 2 + (s.y - g.y) ** 2) < 100) ORDER BY md5('4_' || id) LIMIT 50")
+@query(f"WITH g AS ({_HASHED.replace('range(400)', 'range(40000)')}), s AS ({points_sql('supplier')}) SELECT id, round(x, 4) AS x, round(y, 4) AS y FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE sqrt((s.x - g.x) ** 2 + (s.y - g.y) ** 2) < 100) ORDER BY id LIMIT 50")
 def negative_sampling(spark, sf_dir):
-    """Uniform points away from the positives; of many hashed draws the first 50 that pass."""
-    draws = sampling.hashed_points(spark, 400, X0, Y0 - 2000, X0 + 2000, Y0, "3")
-    kept = spatial.not_within(draws, roles.points(spark, sf_dir, "supplier"), 100.0)
-    return rounded(sampling.subsample(kept, F.concat_ws("_", F.lit("4"), "id"), 50), 4)
+    """The first 50 uniform draws away from the positives, however many draws that takes."""
+    return rounded(spatial.draws_away(roles.points(spark, sf_dir, "supplier"), 50, 100.0, (X0, Y0 - 2000, X0 + 2000, Y0), "3"), 4)
 
 
 @query(f"""WITH g AS ({_HASHED}), s AS ({points_sql('supplier')}), gc AS ({_CELLS % _HASHED}), d AS (SELECT DISTINCT cell, id % 3 AS date FROM ({_CELLS % points_sql('supplier')}))

@@ -16,7 +16,10 @@ QUERIES, SQL = query.queries, query.sql
 
 
 def _place(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesselon-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="tesselon-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

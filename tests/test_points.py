@@ -28,9 +28,20 @@ def test_distance_joins(layers):
     d = {i: min(math.hypot(x - u, y - v) for _, u, v in b) for i, x, y in a}
     assert {r.id for r in spatial.not_within(left, right, 25.0).collect()} == {i for i, v in d.items() if v >= 25}
     assert {r.id for r in spatial.within(left, right, 25.0).collect()} == {i for i, v in d.items() if v < 25}
-    for r in spatial.nearest(left, right, 10.0, 640.0).collect():
+    for r in spatial.nearest(left, right, 10.0).collect():
         assert r.d == pytest.approx(d[r.id])
     assert spatial.not_within(left, right.limit(0), 25.0).count() == len(a)  # nothing excludes nothing
+    assert [r.d for r in spatial.nearest(left.limit(1), right.limit(0), 10.0).collect()] == [None]
+    far = points(left.sparkSession, [(1, 0.0, 0.0), (2, 5000.0, 0.0)])
+    assert {r.id: r.d for r in spatial.nearest(far, far, 1.0, other_than_self=True).collect()} == {1: 5000.0, 2: 5000.0}
+
+
+def test_draws_go_on_until_enough_pass(spark):
+    held = points(spark, [(i, 10.0 * (i % 10), 10.0 * (i // 10)) for i in range(100)])  # leaves little room
+    drawn = spatial.draws_away(held, 15, 6.5, (0.0, 0.0, 100.0, 100.0), "1").collect()
+    assert len(drawn) == 15 and all(math.hypot(r.x - 10.0 * (i % 10), r.y - 10.0 * (i // 10)) >= 6.5 for r in drawn for i in range(100))
+    with pytest.raises(ValueError, match="draws"):
+        spatial.draws_away(held, 15, 60.0, (0.0, 0.0, 90.0, 90.0), "1", patience=2)
 
 
 def test_pairs_and_chains(spark, layers):
@@ -50,7 +61,7 @@ def test_segments(spark):
     assert segs.count() == 2
     p = points(spark, [(1, 5, 3), (2, 13, 14), (3, 10, 5), (4, 90, 90)])
     got = {r.id: r.d for r in spatial.segment_distance(p, segs, 6.0).collect()}
-    assert got[1] == 3 and got[2] == 5 and got[3] == 0 and got[4] is None
+    assert got[1] == 3 and got[2] == 5 and got[3] == 0 and got[4] == pytest.approx(math.hypot(80, 80))
 
 
 def test_membership_on_the_edge(spark):
@@ -94,21 +105,51 @@ def test_label_stores(spark):
     assert sorted((r["index"], r.label, r.x) for r in labels.route_verdicts(v).collect()) == [(1, 1, 5.0), (2, 0, 1.0)]
 
 
-def test_assignment_is_optimal():
+def cheapest(edges):
+    """(pairs, total distance) of the best matching, by trying all."""
+    lefts, near = sorted({e[0] for e in edges}), {(a, b): d for a, b, d in edges}
+    rights, found = sorted({e[1] for e in edges}), [(0, 0.0)]
+
+    def go(i, used, n, total):
+        if i == len(lefts):
+            found[0] = max(found[0], (n, total), key=lambda f: (f[0], -f[1]))
+            return
+        go(i + 1, used, n, total)
+        for r in rights:
+            if r not in used and (lefts[i], r) in near:
+                go(i + 1, used | {r}, n + 1, total + near[lefts[i], r])
+
+    go(0, frozenset(), 0, 0.0)
+    return found[0]
+
+
+def test_matching_is_the_best_of_all():
     rng = np.random.default_rng(4)
-    for _ in range(60):
-        n, m = sorted(rng.integers(1, 6, 2).tolist())
-        cost = rng.integers(0, 20, (n, m)).astype(float)
-        got = matching.assign(cost)
-        best = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
-        assert len(set(got.tolist())) == n and cost[np.arange(n), got].sum() == best
-
-
-def test_one_peak_between_two_points_matches_one():
-    assert len(matching.match(np.array([[1.0, 0.0]]), np.array([[0.0, 0.0], [2.0, 0.0]]), 1.5)) == 1
-    assert matching.match(np.zeros((0, 2)), np.zeros((3, 2)), 1.0) == []
-    pairs = matching.match(np.array([[0.0, 0.0], [1.0, 0.0]]), np.array([[1.0, 0.0], [2.0, 0.0]]), 1.1)
-    assert [(a, b) for a, b, _ in pairs] == [(0, 0), (1, 1)]  # most matches, though (1, 0) alone is nearer
+    for k in range(300):
+        a, b = rng.random((int(rng.integers(1, 7)), 2)) * 4, rng.random((int(rng.integers(1, 7)), 2)) * 4
+        if k % 3 == 0:
+            a, b = a.round(), b.round()  # ties
+        d = np.hypot(a[:, None, 0] - b[:, 0], a[:, None, 1] - b[:, 1])
+        edges = [(i, j, float(d[i, j])) for i, j in zip(*np.nonzero(d <= rng.choice([0.8, 1.5, 2.5])), strict=True)]
+        got = matching.match(edges)
+        assert len({x for x, _, _ in got}) == len({y for _, y, _ in got}) == len(got)
+        n, total = cheapest(edges)
+        assert (len(got), sum(x[2] for x in got)) == (n, pytest.approx(total))
+
+
+def test_chain_matches_every_point():
+    edges = [e for i in range(1100) for e in ((i, i, 1.0), (i, i - 1, 0.9)) if e[1] >= 0]
+    assert len(matching.match(edges)) == 1100
+
+
+def test_matches_of_cells(spark):
+    schema = "cell long, id long, x double, y double"
+    found = spark.createDataFrame([(1, 0, 1.0, 0.0), (2, 0, 0.0, 0.0), (2, 1, 1.0, 0.0), (3, 0, 5.0, 5.0)], schema)
+    true = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (2, 0, 1.0, 0.0), (2, 1, 2.0, 0.0), (4, 0, 5.0, 5.0)], schema)
+    assert matching.match_by_cell(found, true, 1.5).groupBy("cell").count().collect() and matching.match([]) == []
+    pairs = sorted((r.cell, r.found_id, r.true_id) for r in matching.match_by_cell(found, true, 1.1).collect() if r.cell == 2)
+    assert pairs == [(2, 0, 0), (2, 1, 1)]  # most matches, though (1, 0) alone is nearer
+    assert matching.match_by_cell(found, true, 1.5).filter("cell = 1").count() == 1
 
 
 def test_temporal_statistics(spark):
