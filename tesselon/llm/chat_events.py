@@ -34,7 +34,7 @@ END = "</turn>\n"
 
 
 #: Sequence numbers of one turn's events, pieces that a text is streamed in at most, and where late edits begin.
-STEP, PIECES, LATE = 1 << 20, 64, 1 << 62
+STEP, PIECES, LATE = 1 << 20, 12, 1 << 62
 
 
 def _event(position, seq, kind: str, role, text) -> Column:
@@ -43,7 +43,7 @@ def _event(position, seq, kind: str, role, text) -> Column:
 
 def _streamed(position, seq, text) -> Column:
     """Deltas of a text from sequence number ``seq`` on."""
-    length = F.greatest(F.ceil(F.length(text) / PIECES), F.lit(16)).cast("int")
+    length = F.greatest(F.ceil(F.length(text) / PIECES), F.lit(24)).cast("int")
     count = F.greatest(F.ceil(F.length(text) / length), F.lit(1)).cast("int")
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: _event(position, seq + i, "delta", F.lit(None).cast("string"), F.substring(text, i * length + 1, length)))
 
@@ -59,7 +59,7 @@ def event_log(rows: DataFrame) -> DataFrame:
     place = Window.partitionBy("conv_id", "turn")
     texts = texts.withColumn("way", F.when((F.count(F.lit(1)).over(place) > 1) | F.col("turn").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))))
     at, seq, role, text = F.col("turn") * 2, F.col("turn") * STEP, F.col("role"), F.col("text")
-    draft, empty = F.concat(F.lit("draft: "), F.reverse("text")), F.lit("")
+    draft, empty = F.concat(F.lit("draft: "), F.reverse(F.substring("text", 1, 60))), F.lit("")
     ways = [
         F.array(_event(at, seq, "message", role, text)),
         F.concat(F.array(_event(at, seq, "message", role, empty)), _streamed(at, seq + 1, text)),
@@ -95,54 +95,56 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     ``copies`` counts equal complete ``message`` events of one position and sequence number.
     """
-    log = events.select(
-        "conv_id",
-        "position",
-        "seq",
-        F.when(F.col("kind").isin("delta", "edit", "regenerate", "retract"), F.col("kind")).otherwise("message").alias("kind"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    log = log.groupBy("conv_id", "position", "seq", "kind", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
+    events = events.select("conv_id", "position", "seq", "kind", "role", "text")
+    kinds = ("delta", "edit", "regenerate", "retract")
+    log = events.withColumns({"kind": F.when(F.col("kind").isin(*kinds), F.col("kind")).otherwise("message"), "role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    # One exchange by position serves all that follows up to the messages.
+    log = log.repartition("conv_id", "position").groupBy("conv_id", "position", "seq", "kind", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
     one = Window.partitionBy("conv_id", "position")
     whole = F.col("kind") != "delta"
+    part = F.when(whole, F.lit(0)).otherwise(F.lit(1))
+    latest = lambda which: F.max(F.when(which, F.col("seq"))).over(one)
     log = (
-        log.withColumn("began", F.coalesce(F.max(F.when(F.col("kind").isin("message", "regenerate"), F.col("seq"))).over(one), F.min("seq").over(one)))
-        .withColumn("base", F.max(F.when(whole, F.col("seq"))).over(one))
-        .withColumn("redone", F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(one))
+        log.withColumn("began", F.coalesce(latest(F.col("kind").isin("message", "regenerate")), F.min("seq").over(one)))
+        .withColumn("base", latest(whole))
+        .withColumn("redone", latest(F.col("kind") == "regenerate"))
         .filter("base is null or seq >= base or seq is null")
+        .withColumn("dead", F.max((F.col("kind") == "retract").cast("int")).over(one))
+        .withColumn("named", F.min(F.when(F.col("role") != "", F.struct(part, "seq", "role"))).over(one)["role"])
+        .withColumn("plain", F.max(F.when(F.col("kind") != "message", 1).otherwise(0)).over(one) == 0)
     )
-    gone = F.col("kind") == "retract"
-    part = F.when(whole, F.lit(0)).otherwise(F.lit(1))
-    first_role = F.min(F.when(F.col("role") != "", F.struct(part, "seq", "role"))).over(one)
-    plain = F.max(F.when(F.col("kind") != "message", 1).otherwise(0)).over(one) == 0
-    log = log.withColumn("dead", F.max(gone.cast("int")).over(one)).withColumn("named", first_role["role"]).withColumn("plain", plain)
-    texts = log.filter("dead = 0")
-    # Positions with whole messages only stay rows of their own; others fold their pieces in order.
-    settled = texts.filter("plain").select("conv_id", "position", "role", "text", "copies", "began", "redone")
-    pieced = (
-        texts.filter("not plain")
-        .groupBy("conv_id", "position")
-        .agg(
-            F.coalesce(F.first("named"), F.lit("")).alias("role"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", part.alias("part"), "role", "text", "copies"))), lambda p: F.repeat(p["text"], p["copies"].cast("int"))), "").alias("text"),
-            F.lit(1).cast("long").alias("copies"),
-            F.min("began").alias("began"),
-            F.max("redone").alias("redone"),
-        )
+    # Whole messages of one position stay rows of their own; other positions fold their pieces in order.
+    pieces = F.array_sort(F.collect_list(F.struct("seq", part.alias("part"), "role", "text", "copies")))
+    told = F.array_join(F.transform(pieces, lambda p: F.repeat(p["text"], p["copies"].cast("int"))), "")
+    messages = log.groupBy("conv_id", "position", "plain", F.when(F.col("plain"), F.struct("role", "text")).alias("own")).agg(
+        F.coalesce(F.first("named"), F.lit("")).alias("named"),
+        told.alias("told"),
+        F.sum("copies").alias("copies"),
+        F.min("began").alias("began"),
+        F.max("redone").alias("cut"),
+        F.max("dead").alias("dead"),
+    )
+    messages = messages.select(
+        "conv_id",
+        "position",
+        F.floor(F.col("position") / BLOCK).alias("block"),
+        F.when(F.col("plain"), F.col("own.role")).otherwise(F.col("named")).alias("role"),
+        F.when(F.col("plain"), F.col("own.text")).otherwise(F.col("told")).alias("text"),
+        F.when(F.col("plain"), F.col("copies")).otherwise(F.lit(1)).alias("copies"),
+        "began",
+        "cut",
+        "dead",
     )
     # A regeneration drops later positions that began before it: of each position, the last regeneration of any
-    # position before it counts, in its block by a window, beyond it by the greatest of each block before.
-    messages = settled.unionByName(pieced).withColumn("block", F.floor(F.col("position") / BLOCK))
-    cuts = log.filter("redone is not null and position is not null").groupBy("conv_id", "position").agg(F.max("redone").alias("cut")).withColumn("block", F.floor(F.col("position") / BLOCK))
-    before = Window.partitionBy("conv_id", "block").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
-    blocks = messages.select("conv_id", "block").unionByName(cuts.select("conv_id", "block", "cut"), allowMissingColumns=True).groupBy("conv_id", "block").agg(F.max("cut").alias("cut"))
+    # position before it counts, in its block by a window, beyond it by a mark before the block's first position.
+    redone = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
+    blocks = events.filter("position is not null").groupBy("conv_id", F.floor(F.col("position") / BLOCK).alias("block")).agg(redone.alias("cut"))
     upto = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), F.max("cut").over(upto).alias("earlier")).filter("earlier is not null and b_block is not null")
-    near = messages.unionByName(cuts, allowMissingColumns=True).withColumn("near", F.max("cut").over(before)).filter("copies is not null")
-    joined = near.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")), "left")
-    dropped = F.col("position").isNotNull() & (F.greatest("near", "earlier") > F.col("began"))
-    return joined.filter(~F.coalesce(dropped, F.lit(False))).select("conv_id", "position", "role", "text", "copies")
+    marks = blocks.select("conv_id", (F.col("block") * BLOCK - 1).alias("position"), "block", F.max("cut").over(upto).alias("cut")).filter("cut is not null")
+    before = Window.partitionBy("conv_id", "block").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+    near = messages.unionByName(marks, allowMissingColumns=True).withColumn("near", F.max("cut").over(before))
+    dropped = F.col("position").isNotNull() & (F.col("near") > F.col("began"))
+    return near.filter("dead = 0").filter(~F.coalesce(dropped, F.lit(False))).select("conv_id", "position", "role", "text", "copies")
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm import anchor_dedup, avi, byte_bpe, chat_events, concat_cut, cws, importance, jaccard_join, ngram_trie, url_rules
+from tesselon.llm import anchor_dedup, avi, byte_bpe, chat_events, cluster, concat_cut, cws, importance, jaccard_join, ngram_trie, url_rules
 
 #: action, host, path
 URL_RULES = (
@@ -54,7 +54,7 @@ def op7_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations, told as a log of streamed, edited, regenerated and retracted messages and folded back."""
     rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
-    events = chat_events.event_log(rows.unionByName(control))
+    events = cluster.stored(chat_events.event_log(rows.unionByName(control)), "events")
     return chat_events.turn_digests(chat_events.parse(chat_events.render(chat_events.fold_events(events))))
 
 
