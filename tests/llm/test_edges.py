@@ -78,3 +78,63 @@ def test_documents_without_or_with_the_same_id_stay_apart(spark):
     assert {(6, prose("d")), (6, prose("e")), (None, prose("b")), (None, None)} <= set(left)
     found = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.document_components(docs.filter("doc_id is not null")).collect()}
     assert found == {(5, 37): 5, (6, 36): 6, (7, 37): 6}
+
+
+def test_very_long_texts_through_every_encoder(spark):
+    """A text of a million characters beside a short one, checked in full."""
+    import numpy as np
+    import pyarrow as pa
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from tesselon.llm import wordbytes
+
+    long = " ".join(f"z{i % 977} Walk, é{i % 13}" for i in range(70_000)) + "y" * 30_000
+    docs = spark.createDataFrame([(1, long), (2, "short text")], "doc_id long, text string")
+    plain = tiktoken.Encoding("own", pat_str=pt.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    found = {r.doc_id: r for r in byte_bpe.round_trip(docs, RANKS, pt.PATTERN).collect()}
+    ids = plain.encode_ordinary(long)
+    assert found[1].n_tokens == len(ids) and found[1].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    pieces = sorted(((r.start, np.frombuffer(r.ids, f"<u{r.ids_width}")) for r in concat_cut.pack(docs, WORD_BPE).collect() if r.doc_id == 1), key=lambda p: p[0])
+    assert np.concatenate([p for _, p in pieces]).tolist() == [*Tokenizer.from_file(WORD_BPE).encode(long, add_special_tokens=False).ids, 1]
+    media = {r.doc_id: r for r in avi.text_media(docs).collect()}
+    assert media[1].payload_sha256 == hashlib.sha256(avi.payload_of(long.encode())).hexdigest()
+    assert importance.weighed(docs, None).filter("k1 = 1").first().n_grams > 400_000
+    names = wordbytes.split_words(pa.array([long, "short text"])).hashes(lower=True)
+    assert names[-1] == wordbytes.split_words(pa.array(["text"])).hashes(lower=True)[0]
+
+
+def test_general_and_table_decoders_agree(monkeypatch):
+    texts = [b"", b"one two", bytes(range(256)) * 9]
+    monkeypatch.setattr(avi, "GENERAL", 1)
+    general = [avi.media_row(t) for t in texts]
+    monkeypatch.setattr(avi, "GENERAL", 1 << 40)
+    table = [avi.media_row(t) for t in texts]
+    for g, t in zip(general, table, strict=True):
+        assert "decoder=general" in g[6] and (*g[:6], g[6].replace("general", "table"), g[7]) == t
+        assert t[7].startswith("0-") and t[7].count(";") + 1 == int(t[6].rsplit("=", 1)[1])
+
+
+def test_tokenizers_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError, match="case"):
+        concat_cut.token_ids(__import__("pyarrow").array(["a"]), pt.path("byte_bpe_50k.json"))
+
+
+def test_repeated_and_tied_urls(spark):
+    from tesselon.llm import url_rules
+
+    pages = spark.createDataFrame([(1, "http://a.b.c/x1")] * 3 + [(2, "http://" + "d." * 3000 + "b.c/x1"), (None, None)], "page_id long, url string")
+    rules = url_rules.rule_frame(spark, [("allow", "a.b.c", "/"), ("block", "b.c", "/x1"), ("allow", "b.c", "/x1"), ("block", "c", "/x1zz")])
+    got = sorted((r.page_id or 0, r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules).collect())
+    # 'a.b.c/' and 'b.c/x1' have six characters each: the longer host wins; of one host's equal rules, block.
+    assert got == [(0, None, "allow"), *[(1, "a.b.c/", "allow")] * 3, (2, "b.c/x1", "block")]
+
+
+def test_pipeline_on_odd_tables(spark, odd_documents, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd_documents), ("none", odd_documents.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(rows) == 0 if name == "none" else {r.doc_id for r in rows} <= {7, 8, 9, 10, None} and sum(r.length for r in rows) > 0
