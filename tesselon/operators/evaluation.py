@@ -70,4 +70,4 @@ def sharpness_ranking(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, median, deviation and percent behind the sharpest, sharpest first."""
     out = rows.groupBy(by).agg(F.avg(value).alias("mean"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.stddev_pop(value).alias("std"))
     best = out.agg(F.max("mean").alias("best"))
-    return out.crossJoin(F.broadcast(best)).withColumn("gap", (F.col("best") - F.col("mean")) / F.col("best") * 100).drop("best")  # one row
+    return out.crossJoin(F.broadcast(best)).withColumn("gap", (F.col("best") - F.col("mean")) / F.col("best") * 100).drop("best").orderBy(F.desc("mean"), by)  # one row

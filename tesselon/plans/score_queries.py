@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesselon.operators import evaluation, focal, matching
@@ -143,3 +144,22 @@ def readout_sweep(spark, sf_dir):
 def top_grid_candidates(spark, sf_dir):
     g = roles.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("depth"), F.col("l_linestatus").alias("leaf"), F.col("l_linenumber").alias("weight")).agg(F.avg((F.col("l_quantity") > 25).cast("double")).alias("pooled"))
     return rounded(g.orderBy(F.desc("pooled"), "depth", "leaf", "weight").limit(3))
+
+
+def _ranked(rows, order, n):
+    """The first n rows with their rank: a top-n, so only n rows are numbered in one place."""
+    return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY n_dates DESC, n_palms DESC, tile) AS rank FROM (SELECT point % 40 AS tile, count(DISTINCT date) AS n_dates, count(DISTINCT point) AS n_palms FROM ({roles.OBSERVATIONS}) GROUP BY 1) QUALIFY rank <= 10")
+def tiles_by_dates_and_palms(spark, sf_dir):
+    """Tiles worth a look: most dates first, then most palms."""
+    g = roles.observations(spark, sf_dir).groupBy((F.col("point") % 40).alias("tile")).agg(F.count_distinct("date").alias("n_dates"), F.count_distinct("point").alias("n_palms"))
+    return _ranked(g, [F.desc("n_dates"), F.desc("n_palms"), F.asc("tile")], 10)
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY ndvi_drop, point) AS rank FROM (SELECT point, round(max(ndvi) - min(ndvi), 6) AS ndvi_drop FROM ({roles.OBSERVATIONS}) GROUP BY point) QUALIFY rank <= 20")
+def smallest_ndvi_drops(spark, sf_dir):
+    """Points in the order of their drop, least first."""
+    g = rounded(roles.observations(spark, sf_dir).groupBy("point").agg((F.max("ndvi") - F.min("ndvi")).alias("ndvi_drop")))
+    return _ranked(g, [F.asc("ndvi_drop"), F.asc("point")], 20)

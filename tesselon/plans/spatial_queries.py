@@ -118,6 +118,18 @@ def cluster_summary(spark, sf_dir):
     return rounded(spatial.cluster_summary(_clusters(spark, sf_dir)).select("component", "n", "span"), 4)
 
 
+@query(f"WITH RECURSIVE {_LINKED} SELECT component, count(*) AS n FROM clustered GROUP BY component ORDER BY n DESC, component LIMIT 4")
+def largest_clusters(spark, sf_dir):
+    """The four largest clusters."""
+    return spatial.cluster_summary(_clusters(spark, sf_dir)).select("component", "n").orderBy(F.desc("n"), "component").limit(4)
+
+
+@query(f"SELECT cell, n FROM (SELECT cell, count(*) AS n FROM ({_CELLS % points_sql('customer')}) GROUP BY cell) ORDER BY cell LIMIT 25")
+def first_tiles(spark, sf_dir):
+    """At most so many tiles that hold points, in the order of their keys."""
+    return spatial.covering_cells(roles.points(spark, sf_dir, "customer"), GRID).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").limit(25)
+
+
 @query(f"WITH RECURSIVE {_LINKED} SELECT component, cell, count(DISTINCT id) AS n FROM ({_CELLS % 'SELECT * FROM clustered'}) q GROUP BY component, cell HAVING count(DISTINCT id) = (SELECT count(*) FROM clustered c WHERE c.component = q.component)")
 def cluster_common_cells(spark, sf_dir):
     return spatial.common_cells(_clusters(spark, sf_dir), GRID)

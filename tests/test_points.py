@@ -185,3 +185,17 @@ def test_even_ranks_and_folds(spark):
     rows = spark.range(23).withColumn("g", F.lit(0))
     sizes = sampling.round_robin(rows, ["g"], F.col("id").cast("string"), 5).groupBy("fold").count().collect()
     assert sorted(r["count"] for r in sizes) == [4, 4, 5, 5, 5]
+
+
+def test_coordinates_agree_with_the_published_approximation(spark):
+    """The survey's polynomials for LV95 are good to about a tenth of a second; its worked example is E 2 700 000, N 1 100 000."""
+    from tesselon.functions import crs
+
+    rows = [(i, 2_500_000.0 + 37_000 * i, 1_080_000.0 + 21_000 * (i % 9)) for i in range(9)] + [(99, 2_700_000.0, 1_100_000.0)]
+    for r in crs.with_lonlat(points(spark, rows)).collect():
+        y, x = (r.x - 2_600_000) / 1e6, (r.y - 1_200_000) / 1e6
+        lon = (2.6779094 + 4.728982 * y + 0.791484 * y * x + 0.1306 * y * x * x - 0.0436 * y**3) * 100 / 36
+        lat = (16.9023892 + 3.238272 * x - 0.270978 * y * y - 0.002528 * x * x - 0.0447 * y * y * x - 0.0140 * x**3) * 100 / 36
+        assert abs(r.lon - lon) < 0.16 / 3600 and abs(r.lat - lat) < 0.12 / 3600
+        if r.id == 99:
+            assert abs(r.lon - (8 + 43 / 60 + 49.80 / 3600)) < 0.05 / 3600 and abs(r.lat - (46 + 2 / 60 + 38.86 / 3600)) < 0.05 / 3600

@@ -10,7 +10,7 @@ import pytest
 from tesselon import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"grid_search", "seed_stability", "readout_sweep", "gbt_loto_cv", "mlp_probe_cv", "rf_loto_cv", "linear_probe_cv", "feature_importance", "feature_table", "dense_predict", "production_scoring"}
+SLOW = {"mlp_probe_cv", "dense_predict", "feature_table"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 
