@@ -51,7 +51,7 @@ def test_models(spark, tmp_path):
 
     rows = labelled(spark, SF)
     folds, fitted = models.grouped_cv(rows, FEATURES[:4], "rf", n=5, max_depth=3)
-    assert folds.count() == 5 and evaluation.pooled(folds).first().pooled_accuracy > 0.3
+    assert folds.count() == rows.select("fold").distinct().count() and evaluation.pooled(folds).first().pooled_accuracy > 0.3
     assert models.importances(spark, fitted, FEATURES[:4]).count() == 4
     models.save(fitted[0], str(tmp_path / "m"), features=FEATURES[:4], epoch=3)
     again, about = models.load(str(tmp_path / "m"))
