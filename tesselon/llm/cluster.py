@@ -18,7 +18,7 @@ BROADCAST_BYTES = 24 << 20
 
 #: Bytes of an Arrow batch.  Rows hold whole texts or packed blobs, so the default, 64 MB, takes hundreds of MB on
 #: either side of the Python boundary.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

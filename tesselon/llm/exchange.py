@@ -24,7 +24,7 @@ from tesselon.llm.wordbytes import gathered, slices
 #: Text a partition of the exchange stands for, buckets a partition, and text a chunk.
 PARTITION_BYTES = 32 << 20
 BUCKETS_EACH = 4
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 ROWS = "place int, chunk long, bucket int, keys binary, more binary, home binary"
 _SCHEMA = pa.schema([("place", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("home", pa.binary())])
 
