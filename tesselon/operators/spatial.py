@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.functions.grid import Grid
+from tesselon.functions.grid import Grid, within_open
 from tesselon.operators.graph import checkpointed, components
 
 
@@ -23,6 +23,14 @@ def fanout(points: DataFrame, tiles: DataFrame, grid: Grid, inside) -> DataFrame
     return near.join(tiles, "cell").filter(inside(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
 
 
+def covering(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """Points with each box (x0, y0, x1, y1) that they lie strictly inside, wherever the boxes are; ``size``: about a box's side."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+    indexed = boxes.withColumn("_bx", span("x0", "x1")).withColumn("_by", span("y0", "y1"))
+    joined = _bucketed(points, size, 0, "x", "y").join(indexed, ["_bx", "_by"]).drop("_bx", "_by")
+    return joined.filter(within_open(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")]))
+
+
 def _bucketed(df: DataFrame, size: float, reach: int, x: str, y: str) -> DataFrame:
     bx, by = (F.floor(F.col(c) / size) for c in (x, y))
     if not reach:

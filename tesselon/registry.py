@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "focal_contrast"
-MODULES = ("raster_queries", "temporal_queries", "spatial_queries", "label_queries", "score_queries", "text_queries", "model_queries", "stream_queries")
+MODULES = ("raster_queries", "temporal_queries", "spatial_queries", "label_queries", "score_queries", "text_queries", "model_queries", "grid_queries", "stream_queries")
 
 
 def _gathered(name: str) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -88,6 +89,33 @@ def write_scored(rows: DataFrame, path: str, score: str = "prob") -> None:
     rows.orderBy(F.desc(score)).write.mode("overwrite").parquet(path)
 
 
+def write_scored_geojson(rows: DataFrame, path: str, score: str = "predicted_prob") -> int:
+    """Scored rows (x, y, properties) as one GeoJSON file on a mounted folder, the best first; returns their number.
+
+    Tasks write sorted lines into a folder beside ``path``; the driver strings them together part by part, holding one line
+    at a time, under a temporary name that then replaces ``path``: a reader finds the old file or the new, never a half.
+    """
+    feature = point_feature(F.col("x"), F.col("y"), F.struct(*rows.columns), digits=3)
+    name, target = uuid.uuid4().hex, os.path.abspath(path)
+    parts, temporary = f"{target}.{name}.parts", f"{target}.{name}"
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    rows.orderBy(F.desc(score), "x", "y").select(feature.alias("value")).write.text(f"file://{parts}")
+    n = 0
+    try:
+        with open(temporary, "w", encoding="utf-8") as out:
+            out.write(f'{{"type":"FeatureCollection","crs":{{"type":"name","properties":{{"name":"{CRS_NAME}"}}}},"features":[')
+            for part in sorted(p for p in os.listdir(parts) if p.startswith("part-")):
+                with open(os.path.join(parts, part), encoding="utf-8") as lines:
+                    for line in lines:
+                        out.write(("," if n else "") + "\n" + line.rstrip("\n"))
+                        n += 1
+            out.write("\n]}\n")
+        os.replace(temporary, target)
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
+    return n
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 

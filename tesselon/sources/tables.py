@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesselon.sources.vector_files import vector_points
+
 VERDICTS = T.StructType([T.StructField(n, t) for n, t in (("index", T.IntegerType()), ("tile", T.StringType()), ("x", T.DoubleType()), ("y", T.DoubleType()), ("corrected_x", T.DoubleType()), ("corrected_y", T.DoubleType()), ("predicted_prob", T.DoubleType()), ("verdict", T.StringType()))])
 
 
@@ -29,7 +31,12 @@ def ragged_points(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or JSON with longitude and latitude under any usual name, in any case; rows without a place are dropped."""
+    """CSV or JSON with longitude and latitude under any usual name, in any case, or points of a GeoPackage or Shapefile.
+
+    Rows without a place are dropped.
+    """
+    if path.lower().endswith((".gpkg", ".shp")):
+        return vector_points(spark, path).withColumnsRenamed({"x": "lon", "y": "lat"})
     df = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.lower().endswith(".csv") else spark.read.option("multiLine", True).json(path)
     lower = {c.lower(): c for c in df.columns}
     find = lambda names: next((lower[n] for n in names if n in lower), None)

@@ -8,6 +8,7 @@ Writes deflate strips.
 from __future__ import annotations
 
 import glob
+import mmap
 import os
 import re
 import struct
@@ -181,7 +182,7 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _File) -> Iterator[tuple]:
         with open(part.path, "rb") as f:
-            data = f.read()
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if self.meta else f.read()  # a header needs a few pages only
         cell, date = place_of(part.path)
         if self.meta:
             _, fields = header(data)
