@@ -11,22 +11,21 @@ from tesselon.operators import focal
 
 
 def window_features(px: DataFrame, radii: Sequence[int], value: str = "v", prefix: str = "v", shape: bool = True) -> DataFrame:
-    """cell, row, col, the value, and for each radius its statistics, shape features and clipping, and the contrasts."""
+    """cell, row, col, the value, and for each radius its statistics, shape features and clipping, and the contrasts.
+
+    Every window adds its columns to the rows that it has, so only the sectors, which are no windows, are joined.
+    """
     on = ["cell", "row", "col"]
-    base = px.select(*on, F.col(value).alias("v"))
-    out = base.withColumnRenamed("v", f"{prefix}_point")
-    for r in radii:
-        stats = focal.mean_std(base, r).select(*on, F.col("mean").alias(f"{prefix}_mean_{r}"), F.col("std").alias(f"{prefix}_std_{r}"))
-        ends = focal.minmax(base, r).select(*on, F.col("hi").alias(f"{prefix}_max_{r}"), F.col("lo").alias(f"{prefix}_min_{r}"))
-        out = out.join(stats, on).join(ends, on)
-        if shape:
-            out = out.join(focal.peak_ratio(base, r).select(*on, F.col("ratio").alias(f"{prefix}_peak_ratio_{r}")), on)
-            out = out.join(focal.moments(base, r).select(*on, F.col("skew").alias(f"{prefix}_skew_{r}"), F.col("kurt").alias(f"{prefix}_kurtosis_{r}")), on)
-            out = out.join(focal.roughness(base, r).select(*on, F.col("rough").alias(f"{prefix}_local_roughness_{r}")), on)
-            out = out.join(focal.radial_asymmetry(base, r).select(*on, F.col("asymmetry").alias(f"{prefix}_asymmetry_{r}")), on)
-            out = out.join(focal.clipped(base, r).select(*on, F.col("clipped").alias(f"{prefix}_window_clipped_{r}")), on)
-    widest = max(radii)
-    return out.withColumn(f"{prefix}_contrast", F.col(f"{prefix}_point") - F.col(f"{prefix}_mean_{widest}"))
+    base = px.select(*on, F.col(value).alias(prefix))
+    out = band_windows(base, [prefix], radii)
+    for r in radii if shape else ():
+        mean = F.col(f"{prefix}_mean_{r}")
+        out = out.withColumn(f"{prefix}_peak_ratio_{r}", F.when(mean > 0, F.col(f"{prefix}_max_{r}") / mean).otherwise(0.0))
+        out = focal.moments(out, r, prefix).withColumnsRenamed({"skew": f"{prefix}_skew_{r}", "kurt": f"{prefix}_kurtosis_{r}"})
+        out = focal.roughness(out, r, prefix).withColumnRenamed("rough", f"{prefix}_local_roughness_{r}")
+        out = focal.clipped(out, r).withColumnRenamed("clipped", f"{prefix}_window_clipped_{r}")
+        out = out.join(focal.radial_asymmetry(base, r, value=prefix).withColumnRenamed("asymmetry", f"{prefix}_asymmetry_{r}"), on)
+    return out.drop(prefix)
 
 
 def band_windows(px: DataFrame, bands: Sequence[str], radii: Sequence[int], cell: Sequence[str] = ("cell",)) -> DataFrame:
@@ -55,3 +54,9 @@ def band_windows(px: DataFrame, bands: Sequence[str], radii: Sequence[int], cell
 def at_points(features: DataFrame, points: DataFrame) -> DataFrame:
     """Features of the pixels (cell, row, col) that points lie on."""
     return points.join(features, ["cell", "row", "col"])
+
+
+def point_table(px: DataFrame, points: DataFrame, radii: Sequence[int], shape: bool = True) -> DataFrame:
+    """Points (cell, row, col) with the features of their pixels; only tiles that hold points are worked on."""
+    held = px.join(points.select("cell").distinct(), "cell", "left_semi")
+    return at_points(window_features(held, radii, shape=shape), points)

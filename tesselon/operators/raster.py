@@ -140,6 +140,36 @@ def mosaic(sources: DataFrame, order: Column, value: str = "v") -> DataFrame:
     return sources.filter(F.col(value).isNotNull()).groupBy("cell", "row", "col").agg(first.alias(value))
 
 
+def cut_tiles(px: DataFrame, tile: int, overlap: int, value: str = "v", most: int | None = None) -> DataFrame:
+    """Overlapping tiles of an area's pixels (row and col from its upper left): r, c, row, col and the value.
+
+    A pixel finds its tiles by arithmetic, so nothing is joined to place it.  Tiles without data (their maximum is 0) are
+    left out; of the others, the first ``most`` in order of r and c are kept.  The last tiles may be truncated.
+    """
+    stride = tile - overlap
+    own = lambda g: F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(g) - tile + 1) / stride).cast("int")), F.floor(F.col(g) / stride).cast("int")))
+    sent = px.select("row", "col", value, own("row").alias("r")).withColumn("c", own("col"))
+    out = sent.select("r", "c", (F.col("row") - F.col("r") * stride).alias("row"), (F.col("col") - F.col("c") * stride).alias("col"), value)
+    held = out.groupBy("r", "c").agg(F.max(value).alias("_hi")).filter("_hi <> 0").select("r", "c")
+    return out.join(held if most is None else held.orderBy("r", "c").limit(most), ["r", "c"], "left_semi")
+
+
+def backdrop(rgb: DataFrame, surface: DataFrame, bands: list[str]) -> DataFrame:
+    """A tile's bands, stretched between the 2nd and 98th percentile of all of them, beside a surface's columns.
+
+    Tiles and surfaces of one cell that differ in shape raise an error.
+    """
+    on = ["cell", "row", "col"]
+    every = F.array(*bands)
+    side = lambda df, n: df.groupBy("cell").agg(F.max("row").alias(f"_h{n}"), F.max("col").alias(f"_w{n}"))
+    bounds = rgb.select("cell", F.explode(every).alias("_v")).groupBy("cell").agg(F.expr("percentile(_v, array(0.02, 0.98))").alias("_b"))
+    shapes = side(rgb, 0).join(side(surface, 1), "cell").join(bounds, "cell")
+    same = (F.col("_h0") == F.col("_h1")) & (F.col("_w0") == F.col("_w1"))
+    checked = shapes.select("cell", F.when(same, F.col("_b")).otherwise(F.raise_error(F.concat(F.lit("surface and tile differ in shape: "), "cell"))).alias("_b"))
+    out = rgb.join(surface, on).join(checked, "cell")
+    return out.withColumns({b: spectral.stretch(F.col(b), F.col("_b")[0], F.col("_b")[1]) for b in bands}).drop("_b")
+
+
 def aligned_to(reference: DataFrame, px: DataFrame, value: str = "v") -> DataFrame:
     """``px`` on exactly the reference's pixels, zero where it has none."""
     on = ["cell", "row", "col"]

@@ -56,12 +56,6 @@ def scored_grid(model: PipelineModel, rows: DataFrame, prior: DataFrame | None =
     return every.orderBy(F.desc("predicted_prob"), "x", "y")
 
 
-def unscored(locations: DataFrame, prior: DataFrame, digits: int = 3) -> DataFrame:
-    """Locations that no prior result lies on, to the millimetre."""
-    place = [F.round(c, digits).alias(f"_{c}") for c in ("x", "y")]
-    return locations.withColumns({f"_{c}": F.round(c, digits) for c in ("x", "y")}).join(prior.select(*place).distinct(), ["_x", "_y"], "left_anti").select(*locations.columns)
-
-
 def dense_stack(windows: DataFrame, valid: Column, values: Sequence[str]) -> DataFrame:
     """Features of each pixel of a cell: those of its newest valid date, and ``values``' stability over the valid ones."""
     return newest_with_stability(windows.filter(valid), ["cell", "row", "col"], values, [F.desc("date")])

@@ -101,6 +101,19 @@ def single_linkage(points: DataFrame, distance: float, key: str = "id") -> DataF
     return points.join(components(vertices, pairs_within(points, distance, key)).withColumnRenamed("id", key), key)
 
 
+def overlap_box(rows: DataFrame, by: str) -> DataFrame:
+    """The box that the extents of all groups (dates) share: greatest of the least, least of the greatest coordinates."""
+    boxes = rows.groupBy(by).agg(F.min("x").alias("xa"), F.max("x").alias("xb"), F.min("y").alias("ya"), F.max("y").alias("yb"))
+    return boxes.agg(F.max("xa").alias("x0"), F.max("ya").alias("y0"), F.min("xb").alias("x1"), F.min("yb").alias("y1"))
+
+
+def near_clusters(summary: DataFrame, points: DataFrame, margin: float, size: float) -> DataFrame:
+    """component and n_near: points inside each cluster's box widened by ``margin``; 0 if there is none."""
+    boxes = summary.select("component", (F.col("xa") - margin).alias("x0"), (F.col("ya") - margin).alias("y0"), (F.col("xb") + margin).alias("x1"), (F.col("yb") + margin).alias("y1"))
+    seen = covering(points.select("x", "y"), boxes, size).groupBy("component").agg(F.count(F.lit(1)).alias("n_near"))
+    return summary.select("component").join(seen, "component", "left").fillna(0, ["n_near"])
+
+
 def cluster_summary(clustered: DataFrame) -> DataFrame:
     """Size and extent of each cluster."""
     out = clustered.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("xa"), F.max("x").alias("xb"), F.min("y").alias("ya"), F.max("y").alias("yb"))

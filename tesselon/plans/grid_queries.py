@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesselon.functions import spectral
-from tesselon.functions.grid import Grid
-from tesselon.operators import features, models, scoring
+from tesselon.functions.grid import Grid, pixel_centre
+from tesselon.operators import features, models, scoring, spatial
+from tesselon.operators.temporal import capped
 from tesselon.plans import roles
 from tesselon.plans.roles import BANDS, X0, Y0, rounded
 
@@ -105,3 +106,18 @@ def dense_surface(spark, sf_dir):
     windows = _windows(spark, sf_dir)
     stack = scoring.dense_stack(windows, VALID, VALUES)
     return scoring.rasters(scoring.dense_surface(_model(spark, stack, sf_dir), stack, windows), tiles(spark, sf_dir))
+
+
+@query(f"""WITH px AS ({_PX}), tiles AS ({_TILES}), rev AS (SELECT {X0}::DOUBLE + ((vec_id // 3) % {ACROSS}) * {STEP[0]} + {WIDTH / 2} AS x, {Y0}::DOUBLE - ((vec_id // 3) // {ACROSS}) * {STEP[1]} - {HEIGHT / 2} AS y FROM embeddings WHERE vec_id % 3 = 0 AND label = 0),
+  c AS (SELECT p.cell, p.name, p.row, p.col, x0 + p.col + 0.5 AS x, y1 - p.row - 0.5 AS y FROM px p JOIN tiles t USING (cell, date) JOIN px q ON q.cell = p.cell AND q.row = p.row AND q.col = p.col AND q.date = 1 AND (q.nir <> 0 OR q.red <> 0 OR q.chm <> 0) WHERE p.date = 0 AND p.chm BETWEEN 0.5 AND 4),
+  r AS (SELECT name AS cell, row, col, x, y, row_number() OVER (PARTITION BY name ORDER BY md5('11_' || name || '_' || row || '_' || col)) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM rev WHERE sqrt((rev.x - c.x) ** 2 + (rev.y - c.y) ** 2) < 3))
+  SELECT cell, row, col, round(x, 4) AS x, round(y, 4) AS y FROM r WHERE n <= 2""")
+def controls_away_from_palms(spark, sf_dir):
+    """Two canopy pixels a cell of a height range, that another date covers too, away from reviewed points."""
+    px, place = pixels(spark, sf_dir), tiles(spark, sf_dir).filter("date = 0")
+    on = ["cell", "row", "col"]
+    tall = px.filter((F.col("date") == 0) & F.col("chm").between(0.5, 4.0)).join(px.filter((F.col("date") == 1) & VALID).select(*on), on, "left_semi")
+    centre = pixel_centre(F.col("col"), F.col("row"), F.col("x0"), F.col("y1"), RES)
+    placed = tall.join(place.select("cell", "x0", "y1"), "cell").select(*on, centre[0].alias("x"), centre[1].alias("y")).withColumn("id", F.concat_ws("_", F.lit("11"), *on))
+    away = spatial.not_within(placed, reviewed(spark, sf_dir), NEAR)
+    return rounded(capped(away, ["cell"], F.col("id"), 2).drop("id"), 4)

@@ -47,7 +47,7 @@ _W = {r: windows(r, extra=f"a.v AS v, avg(b.v) AS m{r}, stddev_pop(b.v) AS s{r},
 def point_features(spark, sf_dir):
     e = roles.table(spark, sf_dir, "embeddings")
     points = e.select(F.col("vec_id").alias("cell"), (F.col("vec_id") % 8).cast("int").alias("row"), (F.col("label") % 8).cast("int").alias("col"), (F.col("label") >= 5).cast("int").alias("label"))
-    out = features.at_points(features.window_features(roles.pixels(spark, sf_dir), (1, 2), shape=False), points)
+    out = features.point_table(roles.pixels(spark, sf_dir), points, (1, 2), shape=False)
     return rounded(out.drop("row", "col"))
 
 
@@ -56,7 +56,7 @@ def feature_table(spark, sf_dir):
     """All window features of two radii at one point a tile, with temporal features of its cell."""
     e = roles.table(spark, sf_dir, "embeddings")
     points = e.select(F.col("vec_id").alias("cell"), (F.col("vec_id") % 8).cast("int").alias("row"), (F.col("label") % 8).cast("int").alias("col"), (F.col("label") >= 5).cast("int").alias("label"))
-    out = features.at_points(features.window_features(roles.pixels(spark, sf_dir), (1, 2)), points)
+    out = features.point_table(roles.pixels(spark, sf_dir), points, (1, 2))
     from tesselon.operators.temporal import with_stability
 
     return rounded(with_stability(out.withColumn("place", F.floor(F.col("cell") / 3)), ["place"], ["v_point"]))

@@ -158,10 +158,13 @@ def masked_focal_brightness(spark, sf_dir):
     return rounded(focal.masked_ratio(px, 1, "v", F.col("m")).drop("v", "m"))
 
 
-@query(f"""WITH px AS MATERIALIZED ({PIXELS}), k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)),
+_BLUR = f"""WITH px AS MATERIALIZED ({PIXELS}), k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)),
   m AS (SELECT t, d, w, CASE WHEN t + d < 0 THEN -1 - t - d WHEN t + d > 7 THEN 15 - t - d ELSE t + d END AS s FROM (SELECT unnest(range(0, 8)) AS t), k),
   a AS (SELECT cell, m.t AS row, col, sum(w * v) AS v FROM px JOIN m ON px.row = m.s GROUP BY ALL)
-  SELECT cell, row, m.t AS col, round(sum(w * v), 6) AS blur FROM a JOIN m ON a.col = m.s GROUP BY ALL""")
+  SELECT cell, row, m.t AS col, sum(w * v) AS v FROM a JOIN m ON a.col = m.s GROUP BY ALL"""
+
+
+@query(f"SELECT cell, row, col, round(v, 6) AS blur FROM ({_BLUR})")
 def gaussian_density(spark, sf_dir):
     return rounded(focal.gaussian(roles.pixels(spark, sf_dir), 1.0, 8, 8))
 
@@ -190,9 +193,13 @@ def focal_contrast(spark, sf_dir):
     return rounded(px.groupBy("cell").agg(F.avg("d").alias("contrast"), F.max("d").alias("most"), F.stddev_pop("d").alias("spread")))
 
 
-@query(f"""WITH g AS (SELECT cell, row, col, v, lag(v) OVER r AS ru, lead(v) OVER r AS rd, lag(v) OVER c AS cl, lead(v) OVER c AS cr FROM ({PIXELS}) WINDOW r AS (PARTITION BY cell, col ORDER BY row), c AS (PARTITION BY cell, row ORDER BY col)),
+def _shade(source: str) -> str:
+    return f"""WITH g AS (SELECT cell, row, col, v, lag(v) OVER r AS ru, lead(v) OVER r AS rd, lag(v) OVER c AS cl, lead(v) OVER c AS cr FROM ({source}) WINDOW r AS (PARTITION BY cell, col ORDER BY row), c AS (PARTITION BY cell, row ORDER BY col)),
   s AS (SELECT cell, row, col, CASE WHEN ru IS NULL THEN rd - v WHEN rd IS NULL THEN v - ru ELSE (rd - ru) / 2 END AS dy, CASE WHEN cl IS NULL THEN cr - v WHEN cr IS NULL THEN v - cl ELSE (cr - cl) / 2 END AS dx FROM g)
-  SELECT cell, row, col, round(least(greatest(((-dx * cos(radians(-225)) * cos(radians(35)) + dy * sin(radians(-225)) * cos(radians(35)) + sin(radians(35))) / sqrt(dx * dx + dy * dy + 1) + 1) / 2, 0), 1), 6) AS shade FROM s""")
+  SELECT cell, row, col, round(least(greatest(((-dx * cos(radians(-225)) * cos(radians(35)) + dy * sin(radians(-225)) * cos(radians(35)) + sin(radians(35))) / sqrt(dx * dx + dy * dy + 1) + 1) / 2, 0), 1), 6) AS shade FROM s"""
+
+
+@query(_shade(PIXELS))
 def hillshade(spark, sf_dir):
     return rounded(focal.hillshade(roles.pixels(spark, sf_dir)).drop("v"))
 
@@ -285,3 +292,38 @@ def masked_mse(spark, sf_dir):
 @query("SELECT epoch, round(CASE WHEN epoch < 10 THEN 0.00015 * epoch / 10 ELSE 0.00015 * 0.5 * (1 + cos(pi() * (epoch - 10) / 190.0)) END, 12) AS lr FROM (SELECT unnest(range(0, 201)) AS epoch)")
 def lr_schedule(spark, sf_dir):
     return rounded(spark.range(201).select(F.col("id").alias("epoch"), masking.learning_rate(F.col("id"), 10, 200, 0.00015).alias("lr")), 12)
+
+
+@query(_shade(_BLUR))
+def crown_relief(spark, sf_dir):
+    """The shaded relief of blurred tiles, so that noise doesn't hide what is a metre wide."""
+    return rounded(focal.hillshade(focal.gaussian(roles.pixels(spark, sf_dir), 1.0, 8, 8), value="blur").drop("blur"))
+
+
+_AREA = f"SELECT cell // 16 * 8 + row AS row, cell % 16 * 8 + col AS col, CASE WHEN cell % 16 < 6 THEN 0 ELSE abs(v) END AS v FROM ({PIXELS})"
+
+
+@query(f"""WITH px AS ({_AREA}), t AS (SELECT r, c, px.row - r * 16 AS row, px.col - c * 16 AS col, v FROM px JOIN (SELECT unnest(range(0, 200)) AS r) ON px.row BETWEEN r * 16 AND r * 16 + 19 JOIN (SELECT unnest(range(0, 20)) AS c) ON px.col BETWEEN c * 16 AND c * 16 + 19),
+  kept AS (SELECT r, c FROM t GROUP BY r, c HAVING max(v) <> 0 ORDER BY r, c LIMIT 40) SELECT r, c, row, col, round(v, 6) AS v FROM t JOIN kept USING (r, c)""")
+def cut_tiles(spark, sf_dir):
+    """The first 40 tiles with data that an area is cut into, 20 pixels wide and overlapping by 4."""
+    px = roles.pixels(spark, sf_dir)
+    area = px.select((F.floor(F.col("cell") / 16) * 8 + F.col("row")).cast("int").alias("row"), (F.col("cell") % 16 * 8 + F.col("col")).cast("int").alias("col"), F.when(F.col("cell") % 16 < 6, 0.0).otherwise(F.abs("v")).alias("v"))
+    return rounded(raster.cut_tiles(area, 20, 4, most=40))
+
+
+@query(f"""WITH b AS ({BANDS}), q AS (SELECT cell, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM (SELECT cell, unnest([nir, red]) AS v FROM b WHERE date = 0) GROUP BY cell)
+  SELECT cell, row, col, round(least(greatest((a.nir - lo) / greatest(hi - lo, 1e-6), 0), 1), 6) AS nir, round(least(greatest((a.red - lo) / greatest(hi - lo, 1e-6), 0), 1), 6) AS red, round(s.chm, 6) AS chm
+  FROM b a JOIN b s USING (cell, row, col) JOIN q USING (cell) WHERE a.date = 0 AND s.date = 1""")
+def backdrop(spark, sf_dir):
+    b = roles.bands(spark, sf_dir)
+    return rounded(raster.backdrop(b.filter("date = 0").drop("date", "chm"), b.filter("date = 1").select("cell", "row", "col", "chm"), ["nir", "red"]))
+
+
+@query(f"SELECT split, round(avg(loss), 6) AS loss, count(*) AS n FROM (SELECT CASE WHEN cell % 5 = 0 THEN 'val' ELSE 'train' END AS split, loss FROM (WITH t AS (SELECT cell, (row // 2) * 4 + col // 2 AS patch, v, v * 0.9 + 0.01 AS pred FROM ({PIXELS})), e AS (SELECT t.cell, t.patch, avg((pred - v) * (pred - v)) AS l FROM t JOIN ({_MASK}) m ON t.cell = m.cell AND t.patch = m.patch WHERE restore >= 4 GROUP BY ALL) SELECT cell, avg(l) AS loss FROM e GROUP BY cell)) GROUP BY split")
+def mean_losses(spark, sf_dir):
+    """Mean reconstruction loss of the training and the held-out tiles."""
+    tokens = masking.patchify(roles.pixels(spark, sf_dir), 2, 8).withColumn("pred", F.col("v") * 0.9 + 0.01)
+    loss = masking.masked_mse(tokens.join(random_masking(spark, sf_dir).select("cell", "patch", "masked"), ["cell", "patch"]), "v", "pred")
+    split = F.when(F.col("cell") % 5 == 0, "val").otherwise("train").alias("split")
+    return rounded(loss.groupBy(split).agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n")))

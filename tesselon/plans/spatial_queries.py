@@ -124,6 +124,19 @@ def largest_clusters(spark, sf_dir):
     return spatial.cluster_summary(_clusters(spark, sf_dir)).select("component", "n").orderBy(F.desc("n"), "component").limit(4)
 
 
+@query(f"""WITH RECURSIVE {_LINKED}, b AS (SELECT component, min(x) - 50 AS x0, max(x) + 50 AS x1, min(y) - 50 AS y0, max(y) + 50 AS y1 FROM clustered GROUP BY component)
+  SELECT component, count(p.id) AS n_near FROM b LEFT JOIN ({points_sql('customer')}) p ON p.x > x0 AND p.x < x1 AND p.y > y0 AND p.y < y1 GROUP BY component""")
+def points_near_clusters(spark, sf_dir):
+    """How many points lie in each cluster's box and 50 m around it."""
+    return spatial.near_clusters(spatial.cluster_summary(_clusters(spark, sf_dir)), roles.points(spark, sf_dir, "customer"), 50.0, 100.0)
+
+
+@query(f"SELECT round(max(xa), 4) AS x0, round(max(ya), 4) AS y0, round(min(xb), 4) AS x1, round(min(yb), 4) AS y1 FROM (SELECT id % 3 AS date, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM ({points_sql('customer')}) GROUP BY 1)")
+def overlap_box(spark, sf_dir):
+    """The box that all dates' extents share."""
+    return rounded(spatial.overlap_box(roles.points(spark, sf_dir, "customer").withColumn("date", F.col("id") % 3), "date"), 4)
+
+
 @query(f"SELECT cell, n FROM (SELECT cell, count(*) AS n FROM ({_CELLS % points_sql('customer')}) GROUP BY cell) ORDER BY cell LIMIT 25")
 def first_tiles(spark, sf_dir):
     """At most so many tiles that hold points, in the order of their keys."""
@@ -157,3 +170,12 @@ def paired_locations(spark, sf_dir):
   SELECT id, CASE WHEN i < floor(n * 0.2::DOUBLE) THEN 'val' WHEN i < floor(n * 0.2::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM p JOIN b USING (bx, cy)""")
 def spatial_block_split(spark, sf_dir):
     return sampling.spatial_blocks(roles.points(spark, sf_dir, "customer"), 250.0, 0.2, 0.1, "7").select("id", "split")
+
+
+@query(f"""SELECT id, round(x, 4) AS x, round(y, 4) AS y FROM ({_HASHED}) g WHERE NOT EXISTS (SELECT 1 FROM ({points_sql('supplier')}) s WHERE sqrt((s.x - g.x) ** 2 + (s.y - g.y) ** 2) < 100)
+  AND NOT EXISTS (SELECT 1 FROM ({points_sql('customer')}) c WHERE sqrt((c.x - g.x) ** 2 + (c.y - g.y) ** 2) < 15)""")
+def away_from_both_sets(spark, sf_dir):
+    """Draws away from the positives and, by another distance, from the candidates."""
+    draws = sampling.hashed_points(spark, 400, X0, Y0 - 2000, X0 + 2000, Y0, "3")
+    away = spatial.not_within(draws, roles.points(spark, sf_dir, "supplier"), 100.0)
+    return rounded(spatial.not_within(away, roles.points(spark, sf_dir, "customer"), 15.0), 4)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesselon.operators import features, focal, scoring, spatial
+from tesselon.operators import features, focal, labels, raster, scoring, spatial
 from tesselon.sinks import documents
 from tesselon.sources import config, tables, tiff, vector_files
 
@@ -65,7 +65,7 @@ def test_band_windows_equal_the_single_ones(spark, px):
 def test_prior_results_are_kept_and_not_scored_again(spark):
     places = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0)], "id int, x double, y double")
     prior = spark.createDataFrame([(1.0001, 2.0, "t", 0.5)], "x double, y double, tile string, predicted_prob double")
-    assert [r.id for r in scoring.unscored(places, prior).collect()] == [2]
+    assert [r.id for r in labels.not_done(places, prior).collect()] == [2]
 
 
 def test_scored_geojson_is_whole_and_ordered(spark, tmp_path):
@@ -149,3 +149,24 @@ seed: 42
     c["aoi"]["crs"] = "EPSG:4326"
     with pytest.raises(ValueError):
         config.area(c)
+
+
+def test_cut_tiles_overlap_and_skip_empty_ones(spark):
+    px = spark.createDataFrame([(r, c, 0.0 if c >= 6 else float(r * 10 + c + 1)) for r in range(7) for c in range(10)], "row int, col int, v double")
+    got = raster.cut_tiles(px, 4, 1)
+    tiles = {}
+    for t in got.collect():
+        tiles.setdefault((t.r, t.c), {})[t.row, t.col] = t.v
+    assert set(tiles) == {(r, c) for r in (0, 1, 2) for c in (0, 1)}
+    assert tiles[0, 1] == {(r, c - 3): (0.0 if c >= 6 else r * 10 + c + 1.0) for r in range(4) for c in range(3, 7)}
+    assert set(tiles[2, 0]) == {(0, c) for c in range(4)}
+    assert {(t.r, t.c) for t in raster.cut_tiles(px, 4, 1, most=3).select("r", "c").collect()} == {(0, 0), (0, 1), (1, 0)}
+
+
+def test_backdrop_wants_equal_shapes(spark):
+    rgb = spark.createDataFrame([("a", r, c, float(r + c), 1.0, 2.0) for r in range(3) for c in range(3)], "cell string, row int, col int, r double, g double, b double")
+    surface = rgb.select("cell", "row", "col", (F.col("r") * 2).alias("prob"))
+    rows = raster.backdrop(rgb, surface, ["r", "g", "b"]).collect()
+    assert len(rows) == 9 and all(0 <= x.r <= 1 and x.prob == 2 * (x.row + x.col) for x in rows)
+    with pytest.raises(Exception, match="shape"):
+        raster.backdrop(rgb, surface.filter("col < 2"), ["r", "g", "b"]).collect()
