@@ -47,7 +47,10 @@ def _windows(spark, sf_dir):
     return features.band_windows(pixels(spark, sf_dir), ["ndvi", "chm"], (1, 2), ("cell", "date"))
 
 
-VALID = spectral.is_valid(*[F.col(c) for c in ("nir", "red", "chm")])
+def valid():
+    return spectral.is_valid(*[F.col(c) for c in ("nir", "red", "chm")])
+
+
 FEATURES = [f"{b}_{s}" for b in ("ndvi", "chm") for s in ("point", "mean_1", "std_1", "max_1", "min_1", "mean_2", "std_2", "max_2", "min_2", "contrast", "point_std", "point_range")]
 
 _PX = f"SELECT printf('c%03d_r%03d', cell % {ACROSS}, cell // {ACROSS}) AS name, cell, date, row, col, nir, red, chm, (nir - red) / (nir + red + 1e-6) AS ndvi FROM (SELECT cell, date, row, col, CASE WHEN nir >= {FAINT} THEN nir ELSE 0 END AS nir, CASE WHEN nir >= {FAINT} THEN red ELSE 0 END AS red, CASE WHEN nir >= {FAINT} THEN chm ELSE 0 END AS chm FROM ({BANDS}))"
@@ -73,7 +76,7 @@ def _located(spark, sf_dir):
 def grid_location_features(spark, sf_dir):
     """Every location of the grid that is covered and not reviewed, with the features that a model scores."""
     t, places = _located(spark, sf_dir)
-    rows = scoring.location_features(places, t, _windows(spark, sf_dir), VALID, VALUES, WIDTH * RES)
+    rows = scoring.location_features(places, t, _windows(spark, sf_dir), valid(), VALUES, WIDTH * RES)
     return rounded(rows.drop("nir", "red", "chm", "ndvi"))
 
 
@@ -81,7 +84,7 @@ def grid_location_features(spark, sf_dir):
   QUALIFY row_number() OVER (PARTITION BY cell, row, col ORDER BY date DESC) = 1""")
 def dense_feature_stack(spark, sf_dir):
     """Every pixel's features from its newest valid date, with the stability over all valid ones."""
-    return rounded(scoring.dense_stack(_windows(spark, sf_dir), VALID, VALUES).drop("nir", "red", "chm", "ndvi"))
+    return rounded(scoring.dense_stack(_windows(spark, sf_dir), valid(), VALUES).drop("nir", "red", "chm", "ndvi"))
 
 
 def _model(spark, stack, sf_dir):
@@ -96,15 +99,15 @@ def grid_scores(spark, sf_dir):
     """The whole run: grid, exclusion, coverage, features over dates, a production model, and all locations ranked."""
     t, places = _located(spark, sf_dir)
     windows = _windows(spark, sf_dir)
-    model = _model(spark, scoring.dense_stack(windows, VALID, VALUES), sf_dir)
-    return rounded(scoring.scored_grid(model, scoring.location_features(places, t, windows, VALID, VALUES, WIDTH * RES)))
+    model = _model(spark, scoring.dense_stack(windows, valid(), VALUES), sf_dir)
+    return rounded(scoring.scored_grid(model, scoring.location_features(places, t, windows, valid(), VALUES, WIDTH * RES)))
 
 
 @query()
 def dense_surface(spark, sf_dir):
     """The probability of every pixel, as rows for the GeoTIFF sink: one raster a cell."""
     windows = _windows(spark, sf_dir)
-    stack = scoring.dense_stack(windows, VALID, VALUES)
+    stack = scoring.dense_stack(windows, valid(), VALUES)
     return scoring.rasters(scoring.dense_surface(_model(spark, stack, sf_dir), stack, windows), tiles(spark, sf_dir))
 
 
@@ -116,7 +119,7 @@ def controls_away_from_palms(spark, sf_dir):
     """Two canopy pixels a cell of a height range, that another date covers too, away from reviewed points."""
     px, place = pixels(spark, sf_dir), tiles(spark, sf_dir).filter("date = 0")
     on = ["cell", "row", "col"]
-    tall = px.filter((F.col("date") == 0) & F.col("chm").between(0.5, 4.0)).join(px.filter((F.col("date") == 1) & VALID).select(*on), on, "left_semi")
+    tall = px.filter((F.col("date") == 0) & F.col("chm").between(0.5, 4.0)).join(px.filter((F.col("date") == 1) & valid()).select(*on), on, "left_semi")
     centre = pixel_centre(F.col("col"), F.col("row"), F.col("x0"), F.col("y1"), RES)
     placed = tall.join(place.select("cell", "x0", "y1"), "cell").select(*on, centre[0].alias("x"), centre[1].alias("y")).withColumn("id", F.concat_ws("_", F.lit("11"), *on))
     away = spatial.not_within(placed, reviewed(spark, sf_dir), NEAR)

@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -84,3 +86,10 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
     assert q.seed_stability(spark, SF).count() == 3
     assert asked == [(64, 48, True, 300)] * 2
     assert seeds == [((1, 2, 3, 4, 5), d, leaf, m, 300) for d, leaf, m in ((None, 1, 0.5), (3, 2, 1.0), (5, 5, 1.5))]
+
+
+def test_queries_are_listed_without_a_session():
+    """Queries and SQL are registered before any session exists, as a driver that lists them needs."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
