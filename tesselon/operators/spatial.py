@@ -40,9 +40,12 @@ def _bucketed(df: DataFrame, size: float, reach: int, x: str, y: str) -> DataFra
 
 
 def near_pairs(left: DataFrame, right: DataFrame, distance: float, closed: bool = False) -> DataFrame:
-    """(left, right) rows less than (closed: at most) ``distance`` apart, with d; right columns are prefixed by r_."""
+    """(left, right) rows less than (closed: at most) ``distance`` apart, with d; right columns are prefixed by r_.
+
+    Sort-merge: by a file's size Spark would broadcast a side whose rows come nine times.
+    """
     named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    joined = _bucketed(left, distance, 0, "x", "y").join(_bucketed(named, distance, 1, "r_x", "r_y"), ["_bx", "_by"]).drop("_bx", "_by")
+    joined = _bucketed(left, distance, 0, "x", "y").join(_bucketed(named, distance, 1, "r_x", "r_y").hint("merge"), ["_bx", "_by"]).drop("_bx", "_by")
     d = F.hypot(F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y"))
     joined = joined.withColumn("d", d)
     return joined.filter(F.col("d") <= distance if closed else F.col("d") < distance)

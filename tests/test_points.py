@@ -199,3 +199,10 @@ def test_coordinates_agree_with_the_published_approximation(spark):
         assert abs(r.lon - lon) < 0.16 / 3600 and abs(r.lat - lat) < 0.12 / 3600
         if r.id == 99:
             assert abs(r.lon - (8 + 43 / 60 + 49.80 / 3600)) < 0.05 / 3600 and abs(r.lat - (46 + 2 / 60 + 38.86 / 3600)) < 0.05 / 3600
+
+
+def test_near_pairs_are_never_broadcast(layers):
+    """A side that is small as a file comes nine times: 8 million rows of a 9 MB file filled the driver."""
+    _, _, left, right = layers
+    plan = spatial.near_pairs(left, right, 20.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
