@@ -92,10 +92,14 @@ def nearest(left: DataFrame, right: DataFrame, start: float, key: str = "id", ot
 
 
 def pairs_within(points: DataFrame, distance: float, key: str = "id") -> DataFrame:
-    """Unordered pairs (a, b, d) at most ``distance`` apart."""
-    named = points.select(key, "x", "y")
-    pairs = near_pairs(named, named, distance, closed=True).filter(F.col(key) < F.col(f"r_{key}"))
-    return pairs.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "d")
+    """Unordered pairs (a, b, d) at most ``distance`` apart: each bucket with itself and with four of its eight neighbours."""
+    own = _bucketed(points.select(F.col(key).alias("a"), "x", "y"), distance, 0, "x", "y")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
+    far = own.select(F.col("a").alias("b"), F.col("x").alias("r_x"), F.col("y").alias("r_y"), "_bx", "_by", F.explode(steps).alias("_s"))
+    far = far.withColumns({"_bx": F.col("_bx") + F.col("_s.i"), "_by": F.col("_by") + F.col("_s.j"), "_same": (F.col("_s.i") == 0) & (F.col("_s.j") == 0)}).drop("_s")
+    pairs = own.join(far.hint("merge"), ["_bx", "_by"]).filter(F.when(F.col("_same"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    pairs = pairs.withColumn("d", F.hypot(F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y"))).filter(F.col("d") <= distance)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
 
 
 def single_linkage(points: DataFrame, distance: float, key: str = "id") -> DataFrame:

@@ -206,3 +206,14 @@ def test_near_pairs_are_never_broadcast(layers):
     _, _, left, right = layers
     plan = spatial.near_pairs(left, right, 20.0)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pairs_of_repeated_places(spark):
+    """Each pair once, whichever neighbouring bucket holds its other end; no broadcast, as every row comes five times."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), *p) for i, p in zip(rng.permutation(150), [*rng.uniform(-60, 60, (120, 2)).round(), *[(20.0, -20.0)] * 30], strict=True)]
+    want = sorted((min(i, j), max(i, j), math.hypot(x - u, y - v)) for (i, x, y), (j, u, v) in itertools.combinations(rows, 2) if math.hypot(x - u, y - v) <= 20)
+    found = spatial.pairs_within(points(spark, rows), 20.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in found.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
