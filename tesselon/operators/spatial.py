@@ -148,26 +148,52 @@ def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     return F.hypot(px - (ax + t * (bx - ax)), py - (ay + t * (by - ay)))
 
 
+def _crossed(lines: DataFrame, reach: float) -> DataFrame:
+    """Segments with each cell of side ``reach`` (_bx, _by) that may hold a point within ``reach`` of them.
+
+    A column of cells gets those beside the part of the segment that is near the column, not all of its box.
+    """
+    pad = F.lit(reach) + (F.abs("ax") + F.abs("ay") + F.abs("bx") + F.abs("by")) * 1e-9  # more than rounding moves
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor(b / reach)))
+    out = lines.withColumn("_bx", cells(low - pad, high + pad))
+    ends = [F.least(F.greatest(x, low), high) for x in (F.col("_bx") * reach - pad, (F.col("_bx") + 1) * reach + pad)]
+    at = [F.col("ay") + (x - F.col("ax")) / (F.col("bx") - F.col("ax")) * (F.col("by") - F.col("ay")) for x in ends]
+    steep = high - low <= reach  # no division by next to nothing
+    bottom, top = (F.when(steep, f("ay", "by")).otherwise(f(*at)) for f in (F.least, F.greatest))
+    return out.withColumn("_by", cells(bottom - pad, top + pad))
+
+
+def _first_reach(places: DataFrame, lines: DataFrame, start: float) -> float:
+    """A reach of at most ``start`` at which segments come about as often, by cell, as places meet them, and most places meet one."""
+    row = lines.agg(F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by")), F.sum(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).first()
+    n = places.count()
+    if row[0] is None or not n or not row[4]:
+        return start
+    area = (row[1] - row[0]) * (row[3] - row[2])
+    return min(start, max(math.sqrt(5 * area / (3 * n)), 2 * area / row[4]) or start)
+
+
 def segment_distance(points: DataFrame, lines: DataFrame, start: float, key: str = "id") -> DataFrame:
     """Distance to the nearest segment; null only if there is none.
 
-    Segments are indexed by the cells of their boxes, widened by a reach that begins at ``start`` and
-    doubles for the points that no segment within it settles.
+    Each place and each segment is looked up once, however many rows have it.  Segments are indexed by
+    the cells that they pass, widened by a reach that begins at ``start``, or less where there is much
+    to compare, and doubles for the places that no segment within it settles.
     """
-    waiting, done, reach = checkpointed(points.select(key, "x", "y")), None, start
+    waiting, done = checkpointed(points.select("x", "y").filter("x is not null and y is not null").distinct()), None
+    lines = checkpointed(lines.select("ax", "ay", "bx", "by").distinct())
+    reach = _first_reach(waiting, lines, start)
     extent = _extent((waiting, ["x"], ["y"]), (lines, ["ax", "bx"], ["ay", "by"]))
     while True:
-        span = lambda a, b, r=reach: F.explode(F.sequence(F.floor((F.least(a, b) - r) / r), F.floor((F.greatest(a, b) + r) / r)))
-        indexed = lines.withColumn("_bx", span(F.col("ax"), F.col("bx"))).withColumn("_by", span(F.col("ay"), F.col("by")))
-        joined = _bucketed(waiting, reach, 0, "x", "y").join(indexed, ["_bx", "_by"])
+        joined = _bucketed(waiting, reach, 0, "x", "y").join(_crossed(lines, reach).hint("merge"), ["_bx", "_by"])
         d = point_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        found = checkpointed(joined.select(key, d.alias("d")).filter(F.col("d") <= reach).groupBy(key).agg(F.min("d").alias("d")))
+        found = checkpointed(joined.select("x", "y", d.alias("d")).filter(F.col("d") <= reach).groupBy("x", "y").agg(F.min("d").alias("d")))
         done = found if done is None else done.unionByName(found)
-        if reach >= extent:
-            return points.join(done, key, "left")
-        waiting = checkpointed(waiting.join(found, key, "left_anti"))
-        if not waiting.limit(1).count():
-            return points.join(done, key, "left")
+        if reach < extent:
+            waiting = checkpointed(waiting.join(found, ["x", "y"], "left_anti"))
+        if reach >= extent or not waiting.limit(1).count():
+            return points.join(done, ["x", "y"], "left").select(*points.columns, "d")
         reach *= 2
 
 

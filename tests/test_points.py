@@ -217,3 +217,26 @@ def test_pairs_of_repeated_places(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted(tuple(r) for r in found.collect())
     assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_segments_are_indexed_by_the_cells_they_pass(spark):
+    """Long slanted segments took every cell of their boxes, 169 of 100 m for one over a square kilometre."""
+    rng = np.random.default_rng(5)
+    ends = np.concatenate([rng.uniform(0, 1000, (40, 4)), np.array([[500.0, 0, 500, 1000], [0, 300, 1000, 300], [7, 7, 7, 7], [500, 0, 500.001, 900]])]) + 2.7e6
+    held = [[float(v) for v in e] for e in [*ends, *ends[:5]]]
+    segs = spark.createDataFrame(held, "ax double, ay double, bx double, by double")
+    assert spatial._crossed(segs.limit(1).selectExpr("0D AS ax", "0D AS ay", "1000D AS bx", "1000D AS by"), 100.0).count() <= 90
+    places = rng.uniform(-200, 1200, (150, 2)) + 2.7e6
+    rows = [(i, *p) for i, p in enumerate([*places, *places[:20]])]
+
+    def distance(x, y):
+        out = []
+        for ax, ay, bx, by in held:
+            length = (bx - ax) ** 2 + (by - ay) ** 2
+            t = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / length, 0), 1) if length else 0
+            out.append(math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        return min(out)
+
+    for start in (3.0, 150.0):
+        got = {r.id: r.d for r in spatial.segment_distance(points(spark, rows), segs, start).collect()}
+        assert len(got) == 170 and all(got[i] == pytest.approx(distance(x, y), abs=1e-6) for i, x, y in rows)
