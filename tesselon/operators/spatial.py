@@ -197,21 +197,27 @@ def segment_distance(points: DataFrame, lines: DataFrame, start: float, key: str
         reach *= 2
 
 
-def draws_away(points: DataFrame, n: int, distance: float, box: tuple[float, float, float, float], seed: str, patience: int = 12) -> DataFrame:
+def draws_away(points: DataFrame, n: int, distance: float, box: tuple[float, float, float, float], seed: str, patience: int = 12, most: int | None = None) -> DataFrame:
     """The first n hashed draws of a box that lie no nearer to any point than ``distance``: id, x, y.
 
-    Draws are made until n have passed, each time as many more as before; after ``patience`` doublings
-    without enough, the points leave next to no room and ValueError is raised.
+    Draws are made until n have passed, each time as many more as before.  With ``most``, the draws there
+    are, those of them that pass are the result, however few; without, after ``patience`` doublings with
+    too few the points leave next to no room and ValueError is raised.
     """
     from tesselon.operators.sampling import hashed_points
 
-    draws = 2 * n
-    for _ in range(patience):
-        kept = checkpointed(not_within(hashed_points(points.sparkSession, draws, *box, seed), points, distance).orderBy("id").limit(n))
-        if kept.count() == n:
+    places = checkpointed(points.select("x", "y").distinct())
+    kept, begin, draws = None, 0, 2 * n
+    while True:
+        draws = draws if most is None else min(draws, most)
+        found = not_within(hashed_points(points.sparkSession, draws, *box, seed).filter(F.col("id") >= begin), places, distance)
+        kept = checkpointed((found if kept is None else kept.unionByName(found)).orderBy("id").limit(n))
+        patience -= 1
+        if draws == most or kept.count() == n:
             return kept
-        draws *= 2
-    raise ValueError(f"of {draws // 2} draws fewer than {n} lie {distance} from all points")
+        if most is None and not patience:
+            raise ValueError(f"of {draws} draws fewer than {n} lie {distance} from all points")
+        begin, draws = draws, 2 * draws
 
 
 def grid_points(spark, x0: float, y0: float, x1: float, y1: float, spacing: float) -> DataFrame:

@@ -240,3 +240,12 @@ def test_segments_are_indexed_by_the_cells_they_pass(spark):
     for start in (3.0, 150.0):
         got = {r.id: r.d for r in spatial.segment_distance(points(spark, rows), segs, start).collect()}
         assert len(got) == 170 and all(got[i] == pytest.approx(distance(x, y), abs=1e-6) for i, x, y in rows)
+
+
+def test_draws_without_room_end(spark):
+    """Of a given number of draws those that pass are the result: none where points fill the box, an error before."""
+    held = points(spark, [(i, 10.0 * (i % 10), 10.0 * (i // 10)) for i in range(100)])
+    assert spatial.draws_away(held, 15, 60.0, (0.0, 0.0, 90.0, 90.0), "1", most=500).count() == 0
+    some = spatial.draws_away(held, 15, 6.5, (0.0, 0.0, 100.0, 100.0), "1", most=100).collect()
+    every = spatial.draws_away(held, 15, 6.5, (0.0, 0.0, 100.0, 100.0), "1").collect()
+    assert 0 < len(some) < 15 and sorted(some) == sorted(every)[: len(some)] and max(r.id for r in some) < 100
