@@ -314,6 +314,21 @@ def _copied(groups: DataFrame) -> DataFrame:
     return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
 
 
+def _asked(minor: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, c, csize): each minor member with the larger components, of several sets, that share a signature with it.
+
+    Signatures share lists of such components (at most ``MEMBERS`` in one), and a member meets each list
+    once, in however many signatures, so the rows are not those of members by components of every signature.
+    """
+    held = cluster.stored(minor.select("id", "size", "component", F.explode("lists").alias("list")).distinct(), "held")
+    lists = state.select(F.explode(F.arrays_zip(F.col("lists").alias("list"), F.col("large").alias("large"))).alias("l")).select("l.*").dropDuplicates(["list"])
+    lists = cluster.stored(lists.join(held.groupBy("list").agg(F.count(F.lit(1)).alias("rows")), "list"), "lists")
+    met = cluster.spread_join(held, lists, "list", "rows", "id")
+    larger = F.filter("large", lambda c: c > F.struct("size", "component"))
+    every = met.groupBy("id", "size", "component").agg(F.array_distinct(F.flatten(F.collect_list(larger))).alias("larger"))
+    return every.select("id", F.explode("larger").alias("l")).select("id", F.col("l.component").alias("c"), F.col("l.size").alias("csize"))
+
+
 def _rest(member: DataFrame, sets: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """Links between different components that share a signature.
 
@@ -328,12 +343,11 @@ def _rest(member: DataFrame, sets: DataFrame, labels: DataFrame, parts: int) ->
     sizes = cluster.stored(held.join(counted, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))), "sizes")
     member = cluster.stored(cluster.spread_join(member, sizes, "component", "rows", "id").drop("rows"), "sized")
     rank = F.struct("size", "component")
-    top = _copied(member.groupBy("sig").agg(F.max(rank).alias("top"), F.max("ways").alias("ways")))
-    minor = cluster.stored(member.join(top, on).filter(rank < F.col("top")).drop("top"), "minor")
-
-    large = _copied(member.filter("size > 1").select("sig", "ways", F.col("component").alias("c"), F.col("size").alias("csize")).distinct())
-    asked = minor.join(large, on).filter(F.struct("size", "component") < F.struct("csize", "c")).select("id", "c", "csize").distinct()
-    asked = cluster.stored(asked, "asked")
+    state = member.groupBy("sig").agg(F.max(rank).alias("top"), F.max("ways").alias("ways"), F.array_sort(F.collect_set(F.when(F.col("size") > 1, rank))).alias("large"))
+    state = state.withColumn("large", F.when(F.size("large") > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size("large") / MEMBERS).cast("int") - 1), lambda i: F.slice("large", i * MEMBERS + 1, MEMBERS))).otherwise(F.array()))
+    state = cluster.stored(state.withColumn("lists", F.transform("large", lambda a: F.concat_ws("_", F.xxhash64(a), F.xxhash64(a, F.lit(7))))), "lists")
+    minor = cluster.stored(member.join(_copied(state.drop("large")), on).filter(rank < F.col("top")).drop("top"), "minor")
+    asked = cluster.stored(_asked(minor, state), "asked")
     blocks = lambda size: F.ceil(size / MEMBERS).cast("int")
     part = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), cluster.ways(n)).cast("int").alias("part")
     every = lambda n: F.explode(F.sequence(F.lit(0), cluster.ways(n) - 1)).alias("part")

@@ -1,8 +1,8 @@
-"""What joins of the text operators may broadcast."""
+"""What joins of the text operators may broadcast, and how many rows they make."""
 
 from pyspark.sql import functions as F
 
-from tesselon.llm import cluster
+from tesselon.llm import cluster, jaccard_join
 
 
 def test_compressed_tables_are_not_broadcast_unasked(spark):
@@ -18,3 +18,35 @@ def test_compressed_tables_are_not_broadcast_unasked(spark):
         cluster.small_batches(spark)
         assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == kept
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_members_meet_larger_components_once(spark, monkeypatch):
+    """Signatures with the same components of several sets make a row a member, not a row a member and signature."""
+    counts, kept = {}, cluster.stored
+
+    def stored(df, name):
+        out = kept(df, name)
+        counts[name] = out.count()
+        return out
+
+    sigs = [(s, i, 1, i, 1) for s in range(40) for i in range(20)]  # single sets in every signature
+    sigs += [(s, 100 + i, 1, 100 + c, 9 + c) for s in range(40) for c in range(70) for i in (2 * c,)]
+    sigs += [(99, 3, 1, 3, 1), (99, 700, 1, 700, 5)]
+    member = spark.createDataFrame(sigs, "sig long, id long, ways int, component long, size long").withColumn("salt", F.lit(0))
+    labels = spark.createDataFrame([(10_000 + k, c) for c, n in {x[3:] for x in sigs} if n > 1 for k in range(n)], "id long, component long")
+    rank = F.struct("size", "component")
+    top = member.groupBy("sig").agg(F.max(rank).alias("top"))
+    minor = member.join(top, "sig").filter(rank < F.col("top")).drop("top")
+    large = member.filter("size > 1").select("sig", F.col("component").alias("c"), F.col("size").alias("csize")).distinct()
+    want = {tuple(r) for r in minor.join(large, "sig").filter(F.struct("size", "component") < F.struct("csize", "c")).select("id", "c", "csize").collect()}
+
+    monkeypatch.setattr(cluster, "stored", stored)
+    found, real = [], jaccard_join._asked
+    monkeypatch.setattr(jaccard_join, "_asked", lambda *a: found.append(real(*a)) or found[0])
+    monkeypatch.setattr(jaccard_join, "_blocked", lambda *a, **b: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(jaccard_join, "_verified", lambda *a, **b: spark.createDataFrame([], "a long, b long"))
+    sets = spark.createDataFrame([], "id long, grams binary")
+    jaccard_join._rest(member.drop("size").withColumns({"n": F.lit(10), "shared": F.lit(10)}), sets, labels, 4)
+    got = [tuple(r) for r in found[0].collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert counts["held"] <= 2 * 90 + 2 < 40 * 20  # members by lists of 64
