@@ -102,3 +102,20 @@ def test_location_folds(spark):
     sizes = sorted(r["count"] for r in dealt.filter("label = 0").groupBy("fold").count().collect())
     assert len(sizes) == 4 and sizes[-1] - sizes[0] <= 1
     assert {r.fold for r in sampling.location_folds(rows.withColumn("label", F.lit(0)), F.col("tile"), F.col("id").cast("string")).collect()} == {0}
+
+
+def test_forests_grow_in_parts(monkeypatch):
+    """All trees whatever the memory: 300 trees of 100000 rows were drawn at once, over 1 GB a task."""
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 16, (400, 6)).astype(np.uint8)
+    label = (bins[:, 1] + rng.integers(0, 10, 400) > 12).astype(float)
+    whole = forest.grow(bins, label, np.ones(400), 20, None, 1, 5)
+    monkeypatch.setattr(forest, "NODES_AT_ONCE", 7)  # the same trees from fewer histograms at once
+    few = forest.grow(bins, label, np.ones(400), 20, None, 1, 5)
+    assert np.array_equal(whole.feature, few.feature) and np.array_equal(whole.cut, few.cut) and np.allclose(whole.gains, few.gains)
+    monkeypatch.setattr(forest, "ROWS_AT_ONCE", 1300)  # three trees at once
+    parts = list(forest.grown(bins, label, np.ones(400), 20, None, 1, 5))
+    assert [p.trees for p in parts] == [3] * 6 + [2] and not np.array_equal(parts[0].feature, parts[1].feature)
+    said, gains = forest.voted(iter(parts), bins)
+    assert np.allclose(said, np.concatenate([p.leaves(bins) for p in parts]).mean(0)) and gains.sum() == pytest.approx(1)
+    assert ((said > 0.5) == (label == 1)).mean() > 0.9
