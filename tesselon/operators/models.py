@@ -1,4 +1,4 @@
-"""Classifiers with location-grouped cross-validation: MLlib, and whole forests a task where the table is small."""
+"""Classifiers with location-grouped cross-validation: MLlib, and whole forests or networks a task where the table is small."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.operators import forest
+from tesselon.operators import forest, network
 from tesselon.operators.evaluation import confusion, pooled
 from tesselon.operators.graph import checkpointed
 
@@ -70,6 +70,14 @@ def grouped_cv(rows: DataFrame, features: Sequence[str], kind: str, fold: str =
     return out, [m for m, _ in fitted]
 
 
+def mlp_cv(rows: DataFrame, features: Sequence[str], fold: str = "fold", seed: int = 42, n: int = 100, hidden: int = 32) -> DataFrame:
+    """Confusion of each fold by networks of the other folds: a whole fit a task where the table is small, else MLlib's."""
+    if not network.is_small(rows, features):
+        return grouped_cv(rows, features, "mlp", fold, seed=seed, n=n, hidden=hidden)[0]
+    right = F.col("true_pos") + F.col("true_neg")
+    return network.cross_validated(rows, features, hidden, n, fold, seed).withColumn("accuracy", right / (right + F.col("false_pos") + F.col("false_neg")))
+
+
 def forest_cv(rows: DataFrame, features: Sequence[str], settings: Sequence[dict], fold: str = "fold", importance: bool = False, kind: str = "rf") -> DataFrame:
     """Confusion and accuracy of each setting (n, max_depth, min_leaf, multiplier, seed) and fold of a small table; ``kind``: rf or gbt."""
     usual = {"n": 300, "max_depth": None, "min_leaf": 1, "multiplier": 1.0, "seed": 42}

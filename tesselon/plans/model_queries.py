@@ -83,7 +83,11 @@ def gbt_loto_cv(spark, sf_dir):
 
 
 _cv("linear", "linear_probe_cv", n=200)
-_cv("mlp", "mlp_probe_cv", n=200, hidden=32)
+
+
+@query()
+def mlp_probe_cv(spark, sf_dir):
+    return rounded(models.mlp_cv(labelled(spark, sf_dir), FEATURES, n=200, hidden=32))
 
 
 @query()
