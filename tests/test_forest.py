@@ -119,3 +119,40 @@ def test_forests_grow_in_parts(monkeypatch):
     said, gains = forest.voted(iter(parts), bins)
     assert np.allclose(said, np.concatenate([p.leaves(bins) for p in parts]).mean(0)) and gains.sum() == pytest.approx(1)
     assert ((said > 0.5) == (label == 1)).mean() > 0.9
+
+
+def test_forests_that_differ_in_depth_are_grown_once(spark, monkeypatch):
+    """The grid grew a forest for each depth, too many for the time given; now as many trees vote, each cut at every depth."""
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 16, (300, 5)).astype(np.uint8)
+    label = (bins[:, 1] + rng.integers(0, 10, 300) > 12).astype(float)
+    weight = np.where(label == 1, 1.7, 1.0)
+    monkeypatch.setattr(forest, "ROWS_AT_ONCE", 1300)  # in parts
+    said, _ = forest.voted(forest.grown(bins, label, weight, 10, None, 2, 9), bins, [0, 1, 3, None])
+    for depth, own in zip((0, 1, 3, None), said, strict=True):
+        assert np.array_equal(own, forest.voted(forest.grown(bins, label, weight, 10, depth, 2, 9), bins)[0])
+    monkeypatch.undo()
+    rows = spark.createDataFrame([(*map(int, b), int(y), i % 3) for i, (b, y) in enumerate(zip(bins, label, strict=True))], "a int, b int, c int, d int, e int, label int, fold long")
+    settings = [{"n": 10, "max_depth": d, "min_leaf": leaf, "multiplier": m} for d in (None, 1, 3) for leaf in (1, 4) for m in (0.5, 1.0)]
+    runs = models.forest_cv(rows, list("abcde"), settings)
+    found = {(r.setting, r.fold): r.asDict() for r in runs.collect()}
+    assert len(found) == 36 and runs.rdd.getNumPartitions() == 12  # 36 forests of 10 trees before
+    for i, s in enumerate(settings):
+        for r in models.forest_cv(rows, list("abcde"), [s]).collect():
+            assert r.asDict() | {"setting": i} == found[i, r.fold]
+
+
+def test_cuts_are_the_best():
+    rng = np.random.default_rng(5)
+    for min_leaf in (1, 3):
+        count, positive = rng.integers(0, 3, (2, 200, forest.BINS))
+        negative = count * (rng.random(count.shape) < 0.2)
+        hist = (negative + positive * forest._POSITIVE).astype(float)
+        value, at = forest._best_cuts(hist, hist.sum(1), 1.7, min_leaf)
+        for i in range(200):
+            n, p = negative[i], positive[i] * 1.7
+            of = lambda n, p: 2 * n * p / (n + p) if n + p else 0.0
+            gains = [of(n.sum(), p.sum()) - of(n[:c].sum(), p[:c].sum()) - of(n[c:].sum(), p[c:].sum()) if min((n + positive[i])[:c].sum(), (n + positive[i])[c:].sum()) >= min_leaf else -1 for c in range(1, forest.BINS)]
+            assert value[i] == pytest.approx(max(gains), abs=1e-9) and (value[i] < 1e-9 or gains[at[i]] == pytest.approx(value[i], abs=1e-9))
+    with pytest.raises(ValueError, match="label"):
+        forest.grow(np.zeros((2, 1), np.uint8), np.zeros(2), np.array([1.0, 2.0]), 1, None, 1, 1)
