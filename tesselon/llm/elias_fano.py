@@ -10,6 +10,7 @@ import numpy as np
 
 _BYTES = np.uint64(0x0101010101010101)
 _TOPS = np.uint64(0x8080808080808080)
+_ONE, _LAST = np.uint64(1), np.uint64(63)
 _ODD, _PAIRS, _LOWS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
 #: By 8 * byte + rank: the place of the byte's set bit of that rank.
 _IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
@@ -88,35 +89,41 @@ class Sequence:
         self.n, self.low_bits = (int(x) for x in arrays[f"{name}.meta"])
         self.low, self.high, self.ones, self.zeros = (arrays[f"{name}.{k}"] for k in ("low", "high", "ones", "zeros"))
         self.mask = np.uint64((1 << self.low_bits) - 1)
-        # Eight bytes from any byte on, as one integer: overlapping views of the packed low bits.
-        self.octets = np.lib.stride_tricks.as_strided(self.low[:8].view("<u8"), (len(self.low) - 7,), (1,), writeable=False)
+        self.words = self.low[: len(self.low) & ~7].view("<u8")  # aligned: reads of unaligned integers take several times as long
 
     def _low(self, i: np.ndarray) -> np.ndarray:
+        """Low bits of each element; any value where i is none."""
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
         bit = i * self.low_bits
-        return (self.octets[bit >> 3] >> (bit & 7).astype(np.uint64)) & self.mask
+        shift = (bit & 63).view(np.uint64)
+        bit >>= 6
+        out = self.words.take(bit, mode="clip")
+        out >>= shift
+        bit += 1
+        over = self.words.take(bit, mode="clip")
+        over <<= _ONE
+        np.subtract(_LAST, shift, out=shift)
+        over <<= shift
+        out |= over
+        out &= self.mask
+        return out
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
         return word * 64 + _select(~self.high[word], k - self.zeros[word].astype(np.int64))
 
-    def _ones_from(self, at: np.ndarray) -> np.ndarray:
-        """Set bits in a row from each bit on: the elements of one high part."""
+    def _ones_from(self, at: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+        """Set bits in a row from each bit on, before which lie so many zeros: the elements of one high part."""
         word, bit = at >> 6, (at & 63).astype(np.uint64)
         window = self.high[word] >> bit
-        window |= np.where(bit > 0, self.high[word + 1] << ((np.uint64(64) - bit) & np.uint64(63)), np.uint64(0))
+        window |= self.high[word + 1] << _ONE << (_LAST - bit)
         count = np.bitwise_count((window ^ (window + np.uint64(1))) >> np.uint64(1)).astype(np.int64)
         long = np.flatnonzero(count >= 63)
         if len(long):
-            zeros = at[long] - self._rank1(at[long])
-            count[long] = self._select0(zeros) - at[long]
+            count[long] = self._select0(zeros[long]) - at[long]
         return count
 
-    def _rank1(self, at: np.ndarray) -> np.ndarray:
-        below = self.high[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-        return self.ones[at >> 6].astype(np.int64) + np.bitwise_count(below).astype(np.int64)
-
     def access(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
         at = word * 64 + _select(self.high[word], i - self.ones[word].astype(np.int64))
@@ -130,17 +137,27 @@ class Sequence:
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         target = values & self.mask
         lo = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0)
-        end = lo + self._ones_from(lo + high)
-        hi = end.copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self._low(mid) < target[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-        found = lo < end
-        at = np.flatnonzero(found)
-        found[at] = self._low(lo[at]) == target[at]
+        size = self._ones_from(lo + high, high)
+        some = np.flatnonzero(size)
+        at, target = lo[some], target[some]
+        # Halving without branches: the place is among ``left`` elements from ``own`` on, if any element is not below.
+        active, own, left, sought = slice(None), at.copy(), size[some], target
+        while len(left):
+            open_ = left > 1
+            n = np.count_nonzero(open_)
+            if 5 * n < 4 * len(left):  # else it costs less to carry the others along
+                at[active] = own
+                open_ = np.flatnonzero(open_)
+                active = open_ if isinstance(active, slice) else active[open_]
+                own, left, sought = own[open_], left[open_], sought[open_]
+                if not n:
+                    break
+            half = left >> 1
+            left -= half
+            own += half * (self._low(own + half - 1) < sought)
+        at[active] = own
+        value = self._low(at)
+        found = np.zeros(len(values), bool)
+        found[some] = value == target
+        lo[some] = at + (value < target)
         return lo, found

@@ -221,17 +221,22 @@ def _contexts(ids: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarra
     return u, v
 
 
-def _ordered(*keys: np.ndarray) -> np.ndarray:
-    """Order of rows of non-negative integers, packed into as few sort keys as their ranges allow."""
-    packed, room = [keys[0]], int(keys[0].max(initial=0)) + 1
+def _one_key(*keys: np.ndarray) -> np.ndarray | None:
+    """One integer a row, in the rows' lexical order; None if the ranges of these non-negative integers don't allow it."""
+    packed, room = keys[0], int(keys[0].max(initial=0)) + 1
     for k in keys[1:]:
         size = int(k.max(initial=0)) + 1
-        if room * size < 1 << 63:
-            packed[-1], room = packed[-1] * size + k, room * size
-        else:
-            packed.append(k)
-            room = size
-    return np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed[::-1])
+        room *= size
+        if room >= 1 << 63:
+            return None
+        packed = packed * size + k
+    return packed
+
+
+def _ordered(*keys: np.ndarray) -> np.ndarray:
+    """Lexical order of rows of non-negative integers."""
+    packed = _one_key(*keys)
+    return np.lexsort(keys[::-1]) if packed is None else np.argsort(packed)
 
 
 def _by_bucket(place: np.ndarray, buckets: int) -> np.ndarray:
@@ -241,14 +246,19 @@ def _by_bucket(place: np.ndarray, buckets: int) -> np.ndarray:
 
 def _count_rows(keys: tuple[np.ndarray, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in lexical order, and how often each occurs."""
-    order = _ordered(*keys)
-    keys = [k[order] for k in keys]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    starts = np.flatnonzero(new)
-    return [k[starts] for k in keys], np.diff(np.append(starts, len(order)))
+    packed = _one_key(*keys)
+    if packed is None:
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        starts = _runs(*keys)
+        return [k[starts] for k in keys], np.diff(np.append(starts, len(order)))
+    packed.sort()
+    starts = _runs(packed)
+    count, rest, columns = np.diff(np.append(starts, len(packed))), packed[starts], []
+    for k in keys[:0:-1]:
+        rest, column = np.divmod(rest, int(k.max(initial=0)) + 1)
+        columns.append(column)
+    return [rest, *columns[::-1]], count
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -272,10 +282,11 @@ def _gram_rows(batches: Iterator[pa.RecordBatch], words: Words, spread: Spread)
     for batch in gathered(batches, "text", SCORE_SLICE):
         for piece in slices(batch, "text", SCORE_SLICE):
             unique, which, first = token_hashes(piece.column("text"))
-            w = words.find(unique)[0][which]
-            u, v = _contexts(w, first, words.start)
+            ids = np.append(words.find(unique)[0], words.start)
+            u, v = _contexts(which, first, len(unique))  # numbers within the slice are small, and ascend as ids do
             rows = []
-            (v, w, u), count = _count_rows((v, w, u))
+            found, count = _count_rows((v, which, u))
+            v, w, u = (ids[x] for x in found)
             pair = _runs(v, w)  # one sort serves both levels
             both = ((2, [v[pair], w[pair]], np.add.reduceat(count, pair)), (3, [v, u, w], count))
             for kind, found, count in both:
@@ -292,14 +303,17 @@ def _gram_rows(batches: Iterator[pa.RecordBatch], words: Words, spread: Spread)
 def _summed(blobs: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
     parts = [_unpacked(b, width + 1) for b in blobs]
     columns = [np.concatenate([p[i] for p in parts]) for i in range(width + 1)]
-    order = _ordered(*columns[:width])
-    columns = [c[order] for c in columns]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns[:width]:
-        new[1:] |= c[1:] != c[:-1]
-    starts = np.flatnonzero(new)
-    return [c[starts] for c in columns[:width]], np.add.reduceat(columns[width], starts)
+    runs = _runs(columns[0])  # a bucket has few of all first ids, so their ranks leave room for the others
+    rank = np.repeat(np.unique(columns[0][runs], return_inverse=True)[1], np.diff(np.append(runs, len(columns[0]))))
+    packed = _one_key(rank, *columns[1:width])
+    if packed is None:
+        order = np.lexsort(columns[width - 1 :: -1])
+        starts = _runs(*(c[order] for c in columns[:width]))
+    else:
+        order = np.argsort(packed)
+        starts = _runs(packed[order])
+    first = order[starts]
+    return [c[first] for c in columns[:width]], np.add.reduceat(columns[width][order], starts)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -508,19 +522,17 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
             for piece in slices(batch, "text", SCORE_SLICE):
                 unique, which, first = token_hashes(piece.column("text"))
                 ids, counts = words.find(unique)
-                w, c = ids[which], counts[which]
-                u, v = _contexts(w, first, words.start)
-                c_v = _contexts(c, first, start_count)[1]
-                p1 = model.unigram(c)
-                key = _ordered(v, u, w)
-                su, sv, sw = u[key], v[key], w[key]
-                new = np.ones(len(key), bool)
-                new[1:] = (su[1:] != su[:-1]) | (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])
-                one = key[new]
-                p = model.probabilities(u[one], v[one], w[one], c_v[one], p1[one])
+                c, p1 = counts[which], model.unigram(counts)
+                u, v = _contexts(which, first, len(unique))  # numbers within the slice, which are small
+                key = _ordered(v, u, which)
+                starts = _runs(v[key], u[key], which[key])
+                one = key[starts]
+                u, v, w = u[one], v[one], which[one]
+                ids, of = np.append(ids, words.start), np.append(counts, start_count)
+                p = model.probabilities(ids[u], ids[v], ids[w], of[v], p1[w])
                 logs = np.empty(len(key))
-                logs[key] = np.log10(p)[np.cumsum(new) - 1]
-                base = np.add.reduceat(np.log10(p1), first[:-1])
+                logs[key] = np.repeat(np.log10(p), np.diff(np.append(starts, len(key))))
+                base = np.add.reduceat(np.log10(p1)[which], first[:-1])
                 total = np.add.reduceat(logs, first[:-1])
                 known = np.add.reduceat((c > 0).astype(np.int64), first[:-1])
                 columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(base), words.total)), pa.array(base), pa.array(total)]

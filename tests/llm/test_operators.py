@@ -155,6 +155,44 @@ def test_elias_fano_access_and_search(tmp_path):
         assert (place == np.searchsorted(values, sought)).all() and (found == np.isin(sought, values)).all()
 
 
+def test_trie_rows_are_sorted_by_one_key(monkeypatch):
+    """Ids of millions of words left no room for three in one integer, and sorting by several cost the trie its CPU budget."""
+    rng = np.random.default_rng(6)
+    rows = np.stack([rng.choice(rng.integers(0, 4_000_000, 50), 3000), *rng.integers(3_999_990, 4_000_000, (2, 3000))])
+    plain = collections.Counter(map(tuple, rows.T.tolist()))
+    expected = sorted((*k, c) for k, c in plain.items())
+
+    def summed():
+        halves = []
+        for half in (rows[:, :1400], rows[:, 1400:]):
+            found, count = ngram_trie._count_rows(tuple(half))
+            halves.append(ngram_trie._packed([*found, count]))
+        columns, count = ngram_trie._summed(halves, 3)
+        return list(zip(*(c.tolist() for c in (*columns, count)), strict=True))
+
+    assert summed() == expected
+    monkeypatch.setattr(ngram_trie, "_one_key", lambda *keys: None)  # the way of wider ranges
+    assert summed() == expected
+    monkeypatch.undo()
+    halves = [ngram_trie._packed([*r, np.ones(len(r[0]), int)]) for r in (rows[:, :1400], rows[:, 1400:])]
+    monkeypatch.setattr(ngram_trie.np, "lexsort", lambda *a: pytest.fail("several sorts"))
+    assert ngram_trie._summed(halves, 3)[1].sum() == 3000
+
+
+def test_elias_fano_groups_of_any_size():
+    """Dense and empty high parts together, last elements and low bits across words."""
+    rng = np.random.default_rng(7)
+    for universe in (1 << 20, 3 * 10**11, 1 << 45):
+        dense = universe // 3 + np.arange(3000) * 2
+        values = np.unique(np.concatenate([dense, rng.integers(0, universe, 2000), [universe - 1]]))
+        arrays = {k: np.frombuffer(bytearray(a.tobytes()), a.dtype) for k, a in elias_fano.encode("a", values, universe).items()}
+        s = elias_fano.Sequence(arrays, "a")
+        assert (s.access(np.arange(len(values))) == values).all() and s.words.flags.aligned
+        sought = np.concatenate([values, dense + 1, rng.integers(0, universe, 3000), [0, universe - 1]])
+        place, found = s.find(sought)
+        assert (place == np.searchsorted(values, sought)).all() and (found == np.isin(sought, values)).all()
+
+
 def plain_scores(rows, m2=ngram_trie.M2, m3=ngram_trie.M3):
     docs = {i: [*words(t), "</end>"] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}
