@@ -1,4 +1,6 @@
-"""What joins of the text operators may broadcast, and how many rows they make."""
+"""What joins of the text operators may broadcast, how many rows they make, and into how many files their results go."""
+
+import glob
 
 from pyspark.sql import functions as F
 
@@ -50,3 +52,21 @@ def test_members_meet_larger_components_once(spark, monkeypatch):
     got = [tuple(r) for r in found[0].collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert counts["held"] <= 2 * 90 + 2 < 40 * 20  # members by lists of 64
+
+
+def test_narrow_tables_of_many_tasks_are_few_files(spark, monkeypatch, tmp_path):
+    """Links and screened rows come from as many tasks as the input has partitions: a file each cost the executors processes."""
+    monkeypatch.setattr(cluster, "new_path", lambda _, name, kept=cluster.new_path: kept(spark, name).replace(cluster.shared_dir(spark), f"file://{tmp_path}"))
+    base = [" ".join(f"w{g}x{i}" for i in range(40)) for g in range(60)]
+    rows = [(3 * g + k, f"{t} more{k}") for g, t in enumerate(base) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard_join.document_components(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: 3 * (i // 3) for i in range(180)}
+    for name in ("links", "screened"):
+        tables = glob.glob(f"{tmp_path}/{name}-*")
+        assert tables and all(len(glob.glob(f"{t}/*.parquet")) <= 4 for t in tables), name
