@@ -355,7 +355,7 @@ def _rest(member: DataFrame, sets: DataFrame, labels: DataFrame, parts: int) ->
     spread = cluster.spread_join(asked.select("id", F.col("c").alias("component")), sought, "component", "n", "id")
     spread = spread.select("id", "component", part(F.col("n")), F.explode(F.sequence(F.lit(0), blocks(F.col("csize")) - 1)).alias("block"))
     members = cluster.spread_join(labels, sought, "component", "csize", "id").select("component", F.pmod(F.xxhash64("id"), blocks(F.col("csize"))).cast("int").alias("block"), "id", every(F.col("n")))
-    found = cluster.stored(cluster.merged(_blocked(spread.join(sets, "id"), members.join(sets, "id"), parts, linked=True)), "links")
+    found = cluster.stored(cluster.merged(_blocked(spread.join(sets, "id"), members.join(sets, "id"), parts, linked=True), parts), "links")
 
     alone = member.filter("size = 1").select("sig", "ways", "salt", "id", "n", "shared")
     groups = alone.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max("ways").alias("ways"), F.sum(F.xxhash64("id") % (1 << 40)).alias("a"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("b"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("m > 1")
@@ -364,7 +364,7 @@ def _rest(member: DataFrame, sets: DataFrame, labels: DataFrame, parts: int) ->
     left = alone.join(few, on).drop("salt", "ways")
     right = left.select("sig", F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("shared").alias("ls"))
     pairs = left.join(right, "sig").filter(F.expr("id > leader and " + _fit("n", "ln", "shared", "ls"))).select("leader", "id", F.lit(0).alias("salt")).distinct()
-    found = found.union(cluster.stored(cluster.merged(_verified(cluster.stored(pairs, "pairs"), sets, parts)), "links"))
+    found = found.union(cluster.stored(cluster.merged(_verified(cluster.stored(pairs, "pairs"), sets, parts), parts), "links"))
 
     # Of signatures with the same single sets one suffices.
     many = groups.filter(F.col("m") > MEMBERS).groupBy("m", "a", "b", "lo", "hi").agg(F.min(F.struct("sig", "ways")).alias("one")).select("one.*", "m")
@@ -372,7 +372,7 @@ def _rest(member: DataFrame, sets: DataFrame, labels: DataFrame, parts: int) ->
     later = own.select("component", F.explode(F.sequence(F.col("block"), blocks(F.col("m")) - 1)).alias("block"), "id", part(F.col("m")))
     if own.limit(1).count():
         met = _blocked(later.join(sets, "id"), own.select("component", "block", "id", every(F.col("m"))).join(sets, "id"), parts, linked=False)
-        found = found.union(cluster.stored(cluster.merged(met), "links"))
+        found = found.union(cluster.stored(cluster.merged(met, parts), "links"))
     return found
 
 
@@ -401,7 +401,7 @@ def _linked(index: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
             pairs = member.drop("ways").join(_copied(state.select("sig", "ways", "head")), ["sig", "salt"])
             pairs = pairs.select("id", "n", "shared", "component", "salt", F.col("head.id").alias("leader"), F.col("head.n").alias("ln"), F.col("head.shared").alias("ls"), F.col("head.component").alias("lc"))
             pairs = pairs.filter("component <> lc and " + _fit("n", "ln", "shared", "ls")).groupBy("leader", "id").agg(F.max("salt").alias("salt"))
-            new = cluster.stored(cluster.merged(_verified(cluster.stored(pairs, "pairs"), sets, parts)), "links")
+            new = cluster.stored(cluster.merged(_verified(cluster.stored(pairs, "pairs"), sets, parts), parts), "links")
         edges = edges.union(new)
         labels = components(edges)
     return labels
@@ -435,7 +435,7 @@ def _documents(docs: DataFrame) -> DataFrame:
     keyed = exchange.with_keys(docs)
     parts = exchange.partitions(spark, cluster.text_bytes(docs))
     asked = exchange.answer(exchange.ask(keyed, _screen, parts), parts, exchange.reply_shared)
-    every = cluster.stored(cluster.merged(exchange.collect_home(asked, parts, _screened, "u1", "k1 long, k2 long, n long, alive boolean")), "screened")
+    every = cluster.stored(cluster.merged(exchange.collect_home(asked, parts, _screened, "u1", "k1 long, k2 long, n long, alive boolean"), parts), "screened")
     alive = cluster.stored(every.filter("alive").select("k1", "k2").distinct(), "alive")
     rows = cluster.stored(_set_rows(cluster.sized_join(keyed, alive, ["k1", "k2"], "inner", 40)).dropDuplicates(["k1", "k2"]), "sets")
     # Equal sets are one, numbered as they are stored; a document's keys don't fit one number.
