@@ -156,3 +156,37 @@ def test_cuts_are_the_best():
             assert value[i] == pytest.approx(max(gains), abs=1e-9) and (value[i] < 1e-9 or gains[at[i]] == pytest.approx(value[i], abs=1e-9))
     with pytest.raises(ValueError, match="label"):
         forest.grow(np.zeros((2, 1), np.uint8), np.zeros(2), np.array([1.0, 2.0]), 1, None, 1, 1)
+
+
+def test_java_grows_the_same_forests(spark, monkeypatch):
+    """Forests of different leaves and weights were grown one by one in numpy, too slowly for 1 GB; together in Java they vote the same."""
+    from tesselon.operators import compiled
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 70))
+    label = (x[:, 1] + rng.normal(size=400) > 0.4).astype(int)
+    rows = spark.createDataFrame([(*map(float, r), int(y), i % 4) for i, (r, y) in enumerate(zip(x, label, strict=True))], ", ".join(f"x{i} double" for i in range(70)) + ", label int, fold long")
+    names = [f"x{i}" for i in range(70)]
+    settings = [{"n": 7, "max_depth": d, "min_leaf": leaf, "multiplier": m, "seed": s} for s in (1, 2) for d in (0, 3, None) for leaf in (1, 4, 10) for m in (0.5, 1.0, 1.5)]
+    together, calls = forest._together, []
+    monkeypatch.setattr(forest, "_together", lambda *a: calls.append(1) or together(*a))
+    found = sorted(models.forest_cv(rows, names, settings).collect())
+    one = sorted(models.forest_cv(rows, names, settings[24:27], importance=True).collect())
+    assert calls == [1, 1] and len(found) == 4 * 54
+
+    def refused(*_):
+        raise AttributeError("no Java")
+
+    monkeypatch.setattr(compiled, "function", refused)
+    with pytest.warns(UserWarning, match="no Java"):
+        assert sorted(models.forest_cv(rows, names, settings).collect()) == found
+        alone = sorted(models.forest_cv(rows, names, settings[24:27], importance=True).collect())
+    assert calls == [1, 1] and [r[:6] for r in alone] == [r[:6] for r in one]
+    assert all(np.allclose(a.gains, b.gains) for a, b in zip(alone, one, strict=True))
+
+
+def test_forests_of_the_grid_share_their_tasks(spark):
+    rows = spark.range(60).selectExpr("cast(id % 7 as double) a", "cast(id % 11 as double) b", "cast(id % 2 as int) label", "id % 3 fold")
+    runs = models.forest_cv(rows, ["a", "b"], [{"n": 3, "min_leaf": leaf, "multiplier": m} for leaf in range(1, 10) for m in (0.5, 2.0)])  # more than are grown together, fewer trees than those
+    assert runs.groupBy("setting").count().filter("count = 3").count() == 18
+    assert runs.filter("true_pos + true_neg + false_pos + false_neg = 20").count() == 54
