@@ -114,11 +114,21 @@ def grid_search(rows: DataFrame, features: Sequence[str], kind: str, grid: dict[
     return spark.createDataFrame(found, schema).orderBy(*best_first)
 
 
-def seed_stability(rows: DataFrame, features: Sequence[str], kind: str, seeds: Sequence[int], **p) -> DataFrame:
-    """Mean and deviation of the pooled accuracy over model seeds; the folds stay."""
+def seed_runs(rows: DataFrame, features: Sequence[str], kind: str, seeds: Sequence[int], settings: Sequence[dict]) -> tuple[list[dict], DataFrame] | None:
+    """All settings over all seeds in one run, as forests of one seed are grown together: for ``seed_stability`` of each; None for larger tables."""
+    if kind != "rf" or not forest.is_small(rows, features):
+        return None
+    tried = [s | {"seed": seed} for s in settings for seed in seeds]
+    return tried, checkpointed(forest_cv(rows, features, tried))
+
+
+def seed_stability(rows: DataFrame, features: Sequence[str], kind: str, seeds: Sequence[int], runs: tuple[list[dict], DataFrame] | None = None, **p) -> DataFrame:
+    """Mean and deviation of the pooled accuracy over model seeds; the folds stay.  ``runs``: those of ``seed_runs``, if the setting is among them."""
     spark = rows.sparkSession
-    if kind == "rf" and forest.is_small(rows, features):
-        runs = forest_cv(rows, features, [p | {"seed": s} for s in seeds]).groupBy("setting")
+    if runs is not None or kind == "rf" and forest.is_small(rows, features):
+        own = [p | {"seed": s} for s in seeds]
+        tried, found = runs or (own, forest_cv(rows, features, own))
+        runs = found.filter(F.col("setting").isin([tried.index(s) for s in own])).groupBy("setting")
         runs = runs.agg((F.sum(F.col("true_pos") + F.col("true_neg")) / F.sum(F.col("true_pos") + F.col("true_neg") + F.col("false_pos") + F.col("false_neg"))).alias("pooled_accuracy"))
         return runs.agg(F.avg("pooled_accuracy").alias("mean"), F.stddev_pop("pooled_accuracy").alias("std"), F.count(F.lit(1)).alias("seeds"))
     found = [(s, float(pooled(grouped_cv(rows, features, kind, seed=s, **p)[0]).first()["pooled_accuracy"])) for s in seeds]

@@ -98,10 +98,14 @@ def grid_search(spark, sf_dir):
 @query()
 def seed_stability(spark, sf_dir):
     """The best settings of the grid, each over all seeds."""
-    rows, out = labelled(spark, sf_dir), None
+    rows, out, settings = labelled(spark, sf_dir), None, []
     for best in models.grid_search(rows, FEATURES, "rf", GRID, MULTIPLIERS, n=TREES).limit(BEST).collect():
-        depth, leaf, multiplier = best["max_depth"], int(best["min_leaf"]), best["class_weight_multiplier"]
-        found = models.seed_stability(rows, FEATURES, "rf", SEEDS, n=TREES, max_depth=None if depth is None else int(depth), min_leaf=leaf, multiplier=multiplier)
+        depth = best["max_depth"]
+        settings.append({"n": TREES, "max_depth": None if depth is None else int(depth), "min_leaf": int(best["min_leaf"]), "multiplier": best["class_weight_multiplier"]})
+    runs = models.seed_runs(rows, FEATURES, "rf", SEEDS, settings)
+    for s in settings:
+        depth, leaf, multiplier = s["max_depth"], s["min_leaf"], s["multiplier"]
+        found = models.seed_stability(rows, FEATURES, "rf", SEEDS, runs=runs, **s)
         found = found.select(F.lit(depth).cast("double").alias("max_depth"), F.lit(leaf).alias("min_leaf"), F.lit(multiplier).alias("class_weight_multiplier"), "*")
         out = found if out is None else out.unionByName(found)
     return rounded(out)

@@ -190,3 +190,15 @@ def test_forests_of_the_grid_share_their_tasks(spark):
     runs = models.forest_cv(rows, ["a", "b"], [{"n": 3, "min_leaf": leaf, "multiplier": m} for leaf in range(1, 10) for m in (0.5, 2.0)])  # more than are grown together, fewer trees than those
     assert runs.groupBy("setting").count().filter("count = 3").count() == 18
     assert runs.filter("true_pos + true_neg + false_pos + false_neg = 20").count() == 54
+
+
+def test_seeds_of_the_best_settings_run_together(spark):
+    """Each of the best settings grew its forests alone, too slowly for 1 GB; one run of all finds the same."""
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(*map(float, r), int(r[0] + rng.normal() > 0), i % 3) for i, r in enumerate(rng.normal(size=(90, 4)))], "a double, b double, c double, d double, label int, fold long")
+    settings = [{"n": 5, "max_depth": d, "min_leaf": leaf, "multiplier": 1.0} for d, leaf in ((None, 1), (2, 1), (None, 4))]
+    runs = models.seed_runs(rows, list("abcd"), "rf", (1, 2, 3), settings)
+    assert len(runs[0]) == 9 and runs[1].count() == 27
+    for s in settings:
+        assert models.seed_stability(rows, list("abcd"), "rf", (1, 2, 3), runs=runs, **s).collect() == models.seed_stability(rows, list("abcd"), "rf", (1, 2, 3), **s).collect()
+    assert models.seed_runs(rows, list("abcd"), "gbt", (1,), settings) is None
